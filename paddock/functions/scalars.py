@@ -132,7 +132,7 @@ def title_of(path: Column) -> Column:
 
 def text_list(text: Column) -> Column:
     """Comma-separated items, trimmed, empties removed."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def year_list(text: Column) -> Column:

@@ -43,27 +43,42 @@ def totals_before(
     weight: str,
     width: float | None = BUCKET_WIDTH,
     out: str = "before",
+    lowest: str | None = None,
+    total: str | None = None,
 ) -> DataFrame:
     """Sum of ``weight`` over the smaller keys of the same group.
 
     ``counts`` holds one row per (group, key), both non-null.  ``width`` is the
     span of key values ordered within one task; None says that the keys of a
-    group are few (points, positions of a fixed table).
+    group are few (points, positions of a fixed table).  The smallest key and
+    the total weight of the group can be had from the same pass.
     """
     zero = F.lit(0).cast("bigint")
+    whole = Window.partitionBy(*group)
+
+    def extras(key_col: str, weight_col: str) -> dict[str, Column]:
+        found = {}
+        if lowest:
+            found[lowest] = F.min(key_col).over(whole)
+        if total:
+            found[total] = F.sum(weight_col).over(whole)
+        return found
+
+    def running(weight_col: str, *, by: Sequence[str], order: str) -> Column:
+        w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(weight_col).over(w), zero)
+
     if width is None:
-        w = Window.partitionBy(*group).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-        return counts.withColumn(out, F.coalesce(F.sum(weight).over(w), zero))
+        return counts.withColumns({out: running(weight, by=group, order=key), **extras(key, weight)})
     bucketed = counts.withColumn("_bucket", F.floor(F.col(key) / F.lit(width)))
-    within = Window.partitionBy(*group, "_bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    across = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         bucketed.groupBy(*group, "_bucket")
-        .agg(F.sum(weight).alias("_total"))
-        .select(*group, "_bucket", F.coalesce(F.sum("_total").over(across), zero).alias("_offset"))
+        .agg(F.sum(weight).alias("_total"), F.min(key).alias("_lowest"))
+        .withColumns({"_offset": running("_total", by=group, order="_bucket"), **extras("_lowest", "_total")})
+        .drop("_total", "_lowest")
     )
     return (
-        bucketed.withColumn("_within", F.coalesce(F.sum(weight).over(within), zero))
+        bucketed.withColumn("_within", running(weight, by=[*group, "_bucket"], order=key))
         .join(offsets, [*group, "_bucket"])
         .withColumn(out, F.col("_offset") + F.col("_within"))
         .drop("_bucket", "_offset", "_within")
@@ -71,11 +86,11 @@ def totals_before(
 
 
 def value_ranks(
-    df: DataFrame, group: Sequence[str], key: str, width: float | None = BUCKET_WIDTH
+    df: DataFrame, group: Sequence[str], key: str, width: float | None = BUCKET_WIDTH, **extra: str
 ) -> DataFrame:
     """One row per distinct non-null key of a group: how many rows come before it and how many tie."""
     counts = df.where(F.col(key).isNotNull()).groupBy(*group, key).agg(F.count(F.lit(1)).alias("ties"))
-    return totals_before(counts, group, key, "ties", width)
+    return totals_before(counts, group, key, "ties", width, **extra)
 
 
 def with_min_rank(
@@ -117,9 +132,7 @@ def exact_medians(
 
     Picked from running counts, so no group is buffered as a whole.
     """
-    ranked = value_ranks(long, group, value, width)
-    sizes = long.groupBy(*group).agg(F.count(value).alias("_n"))
-    placed = attach(ranked, sizes, group, "inner")
+    placed = value_ranks(long, group, value, width, total="_n")
     last = F.col("before") + F.col("ties")
 
     def at(place: Column) -> Column:

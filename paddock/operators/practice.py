@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paddock.functions.scalars import first_filled, row_mean, session_label
-from paddock.operators.ordering import BUCKET_WIDTH, attach, keep_last, value_ranks
+from paddock.operators.ordering import BUCKET_WIDTH, keep_last, value_ranks
 from paddock.schemas import EVENT, SESSIONS
 
 
@@ -27,8 +27,7 @@ def session_features(
     lap time alone, so they are computed once per distinct time and joined back.
     """
     session = [*event, "session"]
-    fastest = best.groupBy(*session).agg(F.min("best_lap").alias("_fastest"))
-    times = attach(value_ranks(best, session, "best_lap", width), fastest, session, "inner")
+    times = value_ranks(best, session, "best_lap", width, lowest="_fastest")
     scored = times.select(
         *session,
         "best_lap",

@@ -243,8 +243,8 @@ def search_scopes(spark, d):
 @register(
     "resolve_unique",
     with_views(
-        """, hits AS (SELECT q, sport, name FROM projects, (VALUES ('customer 7'), ('customer 149'), ('none')) t(q)
-             WHERE contains(trim(replace(lower(name), '_', ' ')), q) AND lower(sport) = 'machinery')
+        """, hits AS (SELECT q, sport, name FROM projects, (VALUES ('customer 7'), ('tomer 000000149 '), ('none')) t(q)
+             WHERE contains(trim(replace(lower(name), '_', ' ')), trim(q)) AND (q <> 'none' OR lower(sport) = 'machinery'))
            SELECT q, min(sport) AS sport, min(name) AS name FROM hits GROUP BY q HAVING count(*) = 1""",
         "projects",
     ),
@@ -254,22 +254,18 @@ def resolve_unique(spark, d):
 
     items = views.projects(spark, d).select("sport", "name")
     found = [
-        catalog.resolve_unique(items, q, ["name"], "Machinery").select(F.lit(q).alias("q"), "sport", "name")
-        for q in ("customer 7", "customer 149", "none")
+        catalog.resolve_unique(items, q, ["name"], sport).select(F.lit(q).alias("q"), "sport", "name")
+        for q, sport in (("customer 7", None), ("tomer 000000149 ", None), ("none", "Machinery"))
     ]
     return union_sources(found)
 
 
 @register(
     "resolve_exact",
-    with_views("SELECT sport, name FROM projects WHERE lower(name) = 'customer_149' LIMIT 1", "projects"),
+    with_views("SELECT sport, name FROM projects WHERE lower(name) = 'customer_000000149' LIMIT 1", "projects"),
 )
 def resolve_exact(spark, d):
-    items = views.projects(spark, d)
-    sport = "machinery"
-    by_any = catalog.resolve_exact(items, "CUSTOMER 149", "", "name")
-    del sport
-    return by_any.select("sport", "name")
+    return catalog.resolve_exact(views.projects(spark, d), "CUSTOMER 000000149", "", "name").select("sport", "name")
 
 
 @register(
@@ -289,13 +285,11 @@ def overview_counts(spark, d):
 
 @register(
     "catalog_enrich",
-    with_views(
-        """SELECT CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE sport END AS sport,
+    """SELECT CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE sport END AS sport,
              CASE WHEN p_partkey % 3 = 0 THEN 'Paper on ' || p_name ELSE replace(regexp_extract(path, '([^/]+)\\.pdf$', 1), '-', ' ') END AS title,
              path AS file, CASE WHEN p_partkey % 3 = 0 THEN 'http://papers.example/' || p_partkey END AS source
            FROM (SELECT p_type AS sport, 'papers/' || p_type || '/' || replace(p_name, ' ', '-') || '-' || p_partkey || '.pdf' AS path,
-             p_partkey, p_brand, p_name FROM part)"""
-    ),
+             p_partkey, p_brand, p_name FROM part)""",
 )
 def catalog_enrich(spark, d):
     """Every third part is in the index, with its brand as sport."""

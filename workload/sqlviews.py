@@ -141,7 +141,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "projects": (
         (),
-        """SELECT c_mktsegment AS sport, regexp_replace(c_name, '#0*', '_') AS name,
+        """SELECT c_mktsegment AS sport, replace(c_name, '#', '_') AS name,
               CASE WHEN c_custkey % 3 <> 0 THEN 'Jupyter' END AS notebook,
               CASE WHEN c_custkey % 5 <> 0 THEN 'Python' END AS python_dir FROM customer""",
     ),

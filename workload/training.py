@@ -11,6 +11,7 @@ from paddock.operators.walkforward import fit_ridge, fold_errors, fold_predictio
 from paddock.plans.predict import Tables, predict_round
 from paddock.plans.sweep import sweep_predictions, sweep_scores
 from paddock.schemas import DELTAS, DRIVER, EVENT, QUALIFYING_FEATURES, RACE_FEATURES
+from paddock.session import cut_lineage
 from workload import views
 from workload.registry import register
 from workload.scans import heuristic_top, with_predictions
@@ -66,6 +67,11 @@ def current_features(spark, d):
     return rows.select(*DRIVER, *RACE_FEATURES)
 
 
+def _materialised(spark, d):
+    """Race training rows, written once because every fold and model reads them again."""
+    return cut_lineage(views.train_race(spark, d))
+
+
 def _folds(train):
     return walk_forward_folds(train.select("event_key").distinct())
 
@@ -112,7 +118,7 @@ def _walk_sql(p: str, x: str) -> str:
     with_views(_walk_sql("a", "fp1_delta") + " SELECT event_key, round(mae, 6) AS mae FROM a_err", "folds"),
 )
 def fold_errors_query(spark, d):
-    train = views.train_race(spark, d)
+    train = _materialised(spark, d)
     errors = fold_errors(fold_predictions(train, ["fp1_delta"], _folds(train)))
     return errors.select("event_key", F.round("mae", 6).alias("mae"))
 
@@ -122,7 +128,7 @@ def fold_errors_query(spark, d):
     with_views(_walk_sql("a", "fp_mean_rank") + " SELECT round(avg(mae), 6) AS mae, count(*) AS folds FROM a_err", "folds"),
 )
 def walk_forward_mae(spark, d):
-    train = views.train_race(spark, d)
+    train = _materialised(spark, d)
     score = mean_of_folds(fold_errors(fold_predictions(train, ["fp_mean_rank"], _folds(train))))
     return score.select(F.round("mae", 6).alias("mae"), "folds")
 
@@ -130,7 +136,7 @@ def walk_forward_mae(spark, d):
 @register("walk_forward_predictions")
 def walk_forward_predictions(spark, d):
     """All race features, every fold: fitted in one job and scored on its validation event."""
-    train = views.train_race(spark, d)
+    train = _materialised(spark, d)
     scored = fold_predictions(train, list(RACE_FEATURES), _folds(train))
     return scored.select(*DRIVER, "event_key", "target", "pred")
 
@@ -146,7 +152,7 @@ def _single_feature(name: str, priority: int, feature: str) -> models.Candidate:
 
 def _board(spark, d):
     """Two ridge models on one feature each, so that SQL can check the scores."""
-    train = views.train_race(spark, d)
+    train = _materialised(spark, d)
     known = [_single_feature("gap", 0, "fp1_delta"), _single_feature("grid", 1, "qualy_position")]
     return models.leaderboard(train, [], _folds(train), known)
 
@@ -181,7 +187,7 @@ def model_select(spark, d):
     ),
 )
 def ridge_fit(spark, d):
-    model = fit_ridge(views.train_race(spark, d), ["fp2_delta"])
+    model = fit_ridge(_materialised(spark, d), ["fp2_delta"])
     return model.select(
         F.round("intercept", 6).alias("intercept"), F.round(F.col("weights")[0] * 1e6, 4).alias("weight_millionths")
     )
@@ -191,7 +197,7 @@ def ridge_fit(spark, d):
 def gbt_fit(spark, d):
     """Boosted trees on all race rows, five rounds of boosting, scored on the same rows."""
     tree = next(m for m in models.candidates(iterations=5) if m.name == "hist_gradient_boosting")
-    train = views.train_race(spark, d)
+    train = _materialised(spark, d)
     return tree.predict(train, train, list(RACE_FEATURES)).select(*DRIVER, "target", "pred")
 
 

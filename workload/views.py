@@ -153,7 +153,7 @@ def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     return table(spark, sf_dir, "customer").select(
         F.col("c_mktsegment").alias("sport"),
-        F.regexp_replace("c_name", "#0*", "_").alias("name"),
+        F.replace("c_name", F.lit("#"), F.lit("_")).alias("name"),
         F.when(key % 3 != 0, F.lit("Jupyter")).alias("notebook"),
         F.when(key % 5 != 0, F.lit("Python")).alias("python_dir"),
     )
