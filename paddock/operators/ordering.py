@@ -11,6 +11,8 @@ bucket width or by the number of buckets, not by the number of rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +25,15 @@ def _fan(df: DataFrame) -> int:
     return max(2, min(MAX_FAN, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
+def known(df: DataFrame, *cols: str) -> DataFrame:
+    """Rows in which all the columns have a value.
+
+    Stated once at the bottom of a pipeline, this is also what joins infer for
+    their keys, so all branches over the same input share one exchange.
+    """
+    return df.where(reduce(and_, [F.col(c).isNotNull() for c in cols]))
+
+
 def attach(rows: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join one-row-per-group statistics to the rows of the groups.
 
@@ -79,7 +90,7 @@ def totals_before(
     )
     return (
         bucketed.withColumn("_within", running(weight, by=[*group, "_bucket"], order=key))
-        .join(offsets, [*group, "_bucket"])
+        .join(offsets, [*group, "_bucket"], "left")
         .withColumn(out, F.col("_offset") + F.col("_within"))
         .drop("_bucket", "_offset", "_within")
     )

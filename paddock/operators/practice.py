@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paddock.functions.scalars import first_filled, row_mean, session_label
-from paddock.operators.ordering import BUCKET_WIDTH, keep_last, value_ranks
+from paddock.operators.ordering import BUCKET_WIDTH, keep_last, known, value_ranks
 from paddock.schemas import EVENT, SESSIONS
 
 
 def best_laps(laps: DataFrame, event: Sequence[str] = EVENT, time: str = "lap_time") -> DataFrame:
-    """Fastest lap per driver and session; laps without driver or time are dropped."""
-    known = laps.select(*event, "session", "driver_id", time).dropna(subset=["driver_id", time])
-    return known.groupBy(*event, "session", "driver_id").agg(F.min(time).alias("best_lap"))
+    """Fastest lap per driver and session; laps without driver, time or session are dropped."""
+    cols = [*event, "session", "driver_id", time]
+    return known(laps.select(*cols), *cols).groupBy(*event, "session", "driver_id").agg(F.min(time).alias("best_lap"))
 
 
 def session_features(

@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paddock.functions.scalars import first_nonzero, points_for
-from paddock.operators.ordering import with_min_rank
+from paddock.operators.ordering import known, with_min_rank
 from paddock.operators.practice import _rounds_with_sessions
 
 
 def race_points(races: DataFrame, season: Sequence[str] = ("source", "year")) -> DataFrame:
     """Points per driver and round; positions past the table or missing give no row."""
-    scored = races.withColumn("points", points_for(F.col("position"))).where("points is not null and driver_id is not null")
-    return scored.groupBy(*season, "round_number", "driver_id").agg(F.sum("points").alias("points"))
+    scored = races.withColumn("points", points_for(F.col("position")))
+    return known(scored, *season, "round_number", "driver_id", "points").groupBy(*season, "round_number", "driver_id").agg(F.sum("points").alias("points"))
 
 
 def standings_before_round(

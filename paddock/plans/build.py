@@ -30,7 +30,7 @@ def build_dataset(
 ) -> Build:
     """Write the wide dataset and its coverage as CSV and as Parquet by source and year.
 
-    The merged rows feed both outputs in both formats, so they are checkpointed once.
+    The merged rows feed both outputs in both formats, so they are written once.
     """
     rounds = ds.first_rounds(calendar, max_rounds)
     merged = cut_lineage(ds.merge_kinds(ds.stack_kinds(practice, qualifying, race, standings)))

@@ -91,7 +91,7 @@ def predict_round(tables: Tables, mode: str, year: int, round_number: int, seaso
     """Ranked prediction of one round by the model with the smallest walk-forward error.
 
     Without training rows the prediction falls back to the heuristic.  The
-    training table feeds several fits, so it is checkpointed once.
+    training table feeds several fits, so it is written once.
     """
     features = feature_columns(mode, include_standings)
     result = Prediction(table=None, model="heuristic", version="V1" if round_number <= 1 else f"V{round_number}")
@@ -121,5 +121,9 @@ def predict_round(tables: Tables, mode: str, year: int, round_number: int, seaso
 
 
 def predict_all_heuristic(practice: DataFrame, width: float = 65536, n: int = TOP_N) -> DataFrame:
-    """Heuristic top ``n`` of every round at once."""
+    """Heuristic top ``n`` of every round at once.
+
+    The features are read for the medians and again to be filled, so they are written once.
+    """
+    practice = cut_lineage(practice.select(*EVENT, "driver_id", "driver_name", *DELTAS), "features")
     return top_table(models.heuristic(practice, EVENT, DELTAS, width), EVENT, n)

@@ -18,6 +18,7 @@ from paddock.operators.practice import (
 )
 from paddock.operators.standings import standings_after_previous_round
 from paddock.schemas import DRIVER, EVENT, SESSIONS
+from paddock.session import cut_lineage
 from paddock.sources.sinks import in_order
 from workload import views
 from workload.registry import register
@@ -207,18 +208,12 @@ def standings_previous_round(spark, d):
 # -- dataset -----------------------------------------------------------------
 
 
-def kinds(spark, d):
-    return {
-        "practice": views.practice_features(spark, d),
-        "qualifying": views.quali(spark, d),
-        "race": views.race(spark, d),
-        "standings": views.standings(spark, d),
-    }
-
-
 def stacked_kinds(spark, d):
-    k = kinds(spark, d)
-    return ds.stack_kinds(k["practice"], k["qualifying"], k["race"], k["standings"])
+    """The four kinds of every round; race results also feed the standings, so they are written once."""
+    races = cut_lineage(views.race(spark, d), "race")
+    return ds.stack_kinds(
+        views.practice_features(spark, d), views.quali(spark, d), races, views.standings(spark, d, races)
+    )
 
 
 def merged_kinds(spark, d):

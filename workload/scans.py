@@ -10,7 +10,7 @@ from paddock.operators import dataset as ds
 from paddock.operators.experiments import result_rows
 from paddock.plans.predict import predict_all_heuristic
 from paddock.schemas import EVENT
-from paddock.session import scratch_path
+from paddock.session import cut_lineage, scratch_path
 from paddock.sources import readers, sinks
 from workload import views
 from workload.dataset import merged_kinds
@@ -193,7 +193,7 @@ def sink_prediction_json(spark, d):
     ),
 )
 def dataset_summary(spark, d):
-    merged, rounds = merged_kinds(spark, d), views.calendar(spark, d)
+    merged, rounds = cut_lineage(merged_kinds(spark, d), "merged"), views.calendar(spark, d)
     return ds.summary(ds.dataset_rows(rounds, merged), ds.coverage(rounds, merged))
 
 

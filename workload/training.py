@@ -93,7 +93,8 @@ def walk_forward_folds_query(spark, d):
     ),
 )
 def median_impute(spark, d):
-    filled = impute_medians(views.practice_features(spark, d), EVENT, DELTAS)
+    features = cut_lineage(views.practice_features(spark, d).select(*DRIVER, *DELTAS), "features")
+    filled = impute_medians(features, EVENT, DELTAS)
     return filled.select(*DRIVER, *DELTAS[:3], F.round("fp_mean_delta", 6).alias("fp_mean_delta"))
 
 
@@ -268,12 +269,13 @@ def sweep_scores_query(spark, d):
 
 def _scored(spark, d):
     """Grid position as the prediction of the finishing position."""
-    return views.train_race(spark, d).withColumn("pred", F.col("qualy_position"))
+    return _materialised(spark, d).withColumn("pred", F.col("qualy_position"))
 
 
 @register("mae", with_views("SELECT event_key, avg(abs(target - qualy_position)) AS mae FROM train_race GROUP BY ALL", "train_race"))
 def mae(spark, d):
-    return metrics.mean_absolute_error(_scored(spark, d), ["event_key"])
+    graded = views.train_race(spark, d).withColumn("pred", F.col("qualy_position"))
+    return metrics.mean_absolute_error(graded, ["event_key"])
 
 
 @register(

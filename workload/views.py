@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paddock.functions.scalars import event_key
-from paddock.operators.ordering import with_min_rank
+from paddock.operators.ordering import known, with_min_rank
 from paddock.operators.practice import features_from_laps
 from paddock.operators.standings import standings_before_round
 from paddock.operators.training import qualifying_training, race_training
 from paddock.schemas import DRIVER, EVENT
+from paddock.session import cut_lineage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,13 +47,13 @@ def laps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _driver_rounds(spark: SparkSession, sf_dir: str, status: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where(F.col("l_linestatus") == status)
-    return rows.select(
+    rows = table(spark, sf_dir, "lineitem").where(F.col("l_linestatus") == status).select(
         *_round("l_shipdate"),
         F.col("l_suppkey").cast("string").alias("driver_id"),
         "l_extendedprice",
         _cents("l_extendedprice").alias("cents"),
-    ).groupBy(*DRIVER).agg(
+    )
+    return known(rows, *DRIVER).groupBy(*DRIVER).agg(
         F.min("l_extendedprice").alias("best"), F.min("cents").alias("best_ms"), F.sum("cents").alias("total")
     )
 
@@ -81,8 +82,9 @@ def practice_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features_from_laps(laps(spark, sf_dir), EVENT, "lap_ms")
 
 
-def standings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return standings_before_round(calendar(spark, sf_dir), race(spark, sf_dir))
+def standings(spark: SparkSession, sf_dir: str, races: DataFrame | None = None) -> DataFrame:
+    races = race(spark, sf_dir) if races is None else races
+    return standings_before_round(calendar(spark, sf_dir), races)
 
 
 def train_qualifying(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,11 +93,14 @@ def train_qualifying(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def train_race(spark: SparkSession, sf_dir: str, with_standings: bool = False) -> DataFrame:
+    races = race(spark, sf_dir)
+    if with_standings:
+        races = cut_lineage(races, "race")
     return race_training(
         practice_features(spark, sf_dir),
         quali(spark, sf_dir),
-        race(spark, sf_dir),
-        standings(spark, sf_dir) if with_standings else None,
+        races,
+        standings(spark, sf_dir, races) if with_standings else None,
     )
 
 
