@@ -1,11 +1,13 @@
-"""Ranks, medians and carries that never put a whole group into one task.
+"""Ranks, medians and carries that never put an unbounded group into one task.
 
 A plain ``Window.partitionBy(group)`` sorts each group in a single task, and
-one event may hold a third of all rows.  The functions here give the same exact
-answers in two tiers: values are first counted (map-side combine), distinct
-values are ordered inside narrow buckets of the value range, and only bucket
-totals are accumulated per group.  The widest window is then bounded by the
-bucket width or by the number of buckets, not by the number of rows.
+one event may hold a third of all rows.  That is used only when everything the
+frame reads is no larger than one file split (``fits_one_task``).  Beyond that
+size the same exact answers come in two tiers: values are first counted
+(map-side combine), distinct values are ordered inside narrow buckets of the
+value range, and only bucket totals are accumulated per group.  The widest
+window is then bounded by the bucket width or by the number of buckets, not by
+the number of rows.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paddock.session import cut_lineage, fits_one_task
+
 BUCKET_WIDTH = 65536
 MAX_FAN = 64
 
@@ -41,6 +45,8 @@ def attach(rows: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "l
     hot group is spread over that many tasks.  The copies are few: statistics
     have one row per group.  Small statistics become a broadcast at run time.
     """
+    if fits_one_task(rows):
+        return rows.join(stats, list(keys), how)
     fan = _fan(rows)
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(fan)).cast("int")
     copies = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(fan - 1))))
@@ -113,6 +119,10 @@ def with_min_rank(
     width: float | None = BUCKET_WIDTH,
 ) -> DataFrame:
     """Add the rank of ``key`` in its group, ties sharing the smallest rank; null keys have no rank."""
+    if fits_one_task(df):
+        order = F.col(key).desc_nulls_last() if descending else F.col(key).asc_nulls_last()
+        place = F.rank().over(Window.partitionBy(*group).orderBy(order)).cast("bigint")
+        return df.withColumn(out, F.when(F.col(key).isNotNull(), place))
     sort_key = F.col(key) * (-1 if descending else 1)
     keyed = df.withColumn("_key", sort_key)
     ranks = value_ranks(keyed, group, "_key", width).select(*group, "_key", (F.col("before") + 1).alias(out))
@@ -123,6 +133,10 @@ def with_average_rank(
     df: DataFrame, group: Sequence[str], key: str, out: str, width: float | None = BUCKET_WIDTH
 ) -> DataFrame:
     """Add the rank of ``key`` in its group, ties sharing the mean of their places."""
+    if fits_one_task(df):
+        first = F.rank().over(Window.partitionBy(*group).orderBy(F.col(key).asc_nulls_last()))
+        ties = F.count(key).over(Window.partitionBy(*group, key))
+        return df.withColumn(out, F.when(F.col(key).isNotNull(), first + (ties - 1) / F.lit(2)))
     ranks = value_ranks(df, group, key, width).select(
         *group, key, (F.col("before") + (F.col("ties") + 1) / F.lit(2)).alias(out)
     )
@@ -157,6 +171,8 @@ def wide_medians(
     df: DataFrame, group: Sequence[str], cols: Sequence[str], width: float | None = BUCKET_WIDTH
 ) -> DataFrame:
     """One row per group with the median of every column as ``<col>_median``, null for an all-null column."""
+    if fits_one_task(df):
+        return df.groupBy(*group).agg(*[F.median(c).alias(f"{c}_median") for c in cols])
     medians = exact_medians(melt(df, group, cols), [*group, "name"], width=width)
     picks = [F.max(F.when(F.col("name") == c, F.col("median"))).alias(f"{c}_median") for c in cols]
     return medians.groupBy(*group).agg(*picks)
@@ -165,7 +181,16 @@ def wide_medians(
 def impute_medians(
     df: DataFrame, group: Sequence[str], cols: Sequence[str], width: float | None = BUCKET_WIDTH
 ) -> DataFrame:
-    """Fill nulls of ``cols`` with the median of their group, then with 0."""
+    """Fill nulls of ``cols`` with the median of their group, then with 0.
+
+    A large frame is read for the medians and again to be filled, so it is written once.
+    """
+    if fits_one_task(df):
+        whole = Window.partitionBy(*group)
+        return df.withColumns(
+            {c: F.coalesce(F.col(c).cast("double"), F.median(c).over(whole), F.lit(0.0)) for c in cols}
+        )
+    df = cut_lineage(df, "impute")
     filled = attach(df, wide_medians(df, group, cols, width), group)
     values = {c: F.coalesce(F.col(c).cast("double"), F.col(f"{c}_median"), F.lit(0.0)) for c in cols}
     return filled.withColumns(values).drop(*[f"{c}_median" for c in cols])
@@ -195,6 +220,9 @@ def carry_forward(
     Rows are ordered by an integer position and filled inside blocks of
     positions; each block starts from the value carried over from the blocks before.
     """
+    if fits_one_task(df):
+        so_far = Window.partitionBy(*group).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({c: F.last(c, ignorenulls=True).over(so_far) for c in cols})
     cut = df.withColumn("_block", F.floor(F.col(position) / F.lit(block)))
     inside = Window.partitionBy(*group, "_block").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)

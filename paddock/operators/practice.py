@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from paddock.functions.scalars import first_filled, row_mean, session_label
 from paddock.operators.ordering import BUCKET_WIDTH, keep_last, known, value_ranks
 from paddock.schemas import EVENT, SESSIONS
+from paddock.session import fits_one_task
 
 
 def best_laps(laps: DataFrame, event: Sequence[str] = EVENT, time: str = "lap_time") -> DataFrame:
@@ -24,9 +25,18 @@ def session_features(
     """Gap to the fastest driver of the session and rank, ties sharing the smallest rank.
 
     ``best`` holds one row per driver and session.  Both columns depend on the
-    lap time alone, so they are computed once per distinct time and joined back.
+    lap time alone, so for a large table they are computed once per distinct
+    time and joined back.
     """
     session = [*event, "session"]
+    if fits_one_task(best):
+        whole = Window.partitionBy(*session)
+        return best.withColumns(
+            {
+                "delta": F.col("best_lap") - F.min("best_lap").over(whole),
+                "rank": F.rank().over(whole.orderBy("best_lap")).cast("bigint"),
+            }
+        )
     times = value_ranks(best, session, "best_lap", width, lowest="_fastest")
     scored = times.select(
         *session,

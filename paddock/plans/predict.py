@@ -121,9 +121,6 @@ def predict_round(tables: Tables, mode: str, year: int, round_number: int, seaso
 
 
 def predict_all_heuristic(practice: DataFrame, width: float = 65536, n: int = TOP_N) -> DataFrame:
-    """Heuristic top ``n`` of every round at once.
-
-    The features are read for the medians and again to be filled, so they are written once.
-    """
-    practice = cut_lineage(practice.select(*EVENT, "driver_id", "driver_name", *DELTAS), "features")
+    """Heuristic top ``n`` of every round at once."""
+    practice = practice.select(*EVENT, "driver_id", "driver_name", *DELTAS)
     return top_table(models.heuristic(practice, EVENT, DELTAS, width), EVENT, n)

@@ -41,6 +41,29 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "20g
     return spark
 
 
+# Overrides the input size up to which one task may hold a whole table; 0 turns that off.
+SINGLE_TASK_SETTING = "paddock.singleTaskBytes"
+
+
+def fits_one_task(df: DataFrame) -> bool:
+    """Whether everything a frame reads is no larger than one file split.
+
+    Sizes come from the leaves of the plan (files and local rows), each counted
+    once, without optimising the plan or starting a job.  Leaves of unknown
+    size count as too large.
+    """
+    spark = df.sparkSession
+    limit = spark.conf.get(SINGLE_TASK_SETTING, None)
+    if limit is None:
+        limit = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    sizes = {}
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        sizes[leaf.semanticHash()] = int(str(leaf.stats().sizeInBytes()))
+    return sum(sizes.values()) <= int(limit)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, named by ``spark.checkpoint.dir``.
 
@@ -72,3 +95,8 @@ def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def reuse(df: DataFrame, label: str = "stage") -> DataFrame:
+    """A frame that several branches read: written once unless reading it again is one task's work."""
+    return df if fits_one_task(df) else cut_lineage(df, label)

@@ -18,7 +18,7 @@ from paddock.operators.practice import (
 )
 from paddock.operators.standings import standings_after_previous_round
 from paddock.schemas import DRIVER, EVENT, SESSIONS
-from paddock.session import cut_lineage
+from paddock.session import reuse
 from paddock.sources.sinks import in_order
 from workload import views
 from workload.registry import register
@@ -209,8 +209,8 @@ def standings_previous_round(spark, d):
 
 
 def stacked_kinds(spark, d):
-    """The four kinds of every round; race results also feed the standings, so they are written once."""
-    races = cut_lineage(views.race(spark, d), "race")
+    """The four kinds of every round; race results also feed the standings."""
+    races = reuse(views.race(spark, d), "race")
     return ds.stack_kinds(
         views.practice_features(spark, d), views.quali(spark, d), races, views.standings(spark, d, races)
     )

@@ -11,7 +11,7 @@ from paddock.operators.walkforward import fit_ridge, fold_errors, fold_predictio
 from paddock.plans.predict import Tables, predict_round
 from paddock.plans.sweep import sweep_predictions, sweep_scores
 from paddock.schemas import DELTAS, DRIVER, EVENT, QUALIFYING_FEATURES, RACE_FEATURES
-from paddock.session import cut_lineage
+from paddock.session import cut_lineage, reuse
 from workload import views
 from workload.registry import register
 from workload.scans import heuristic_top, with_predictions
@@ -93,7 +93,7 @@ def walk_forward_folds_query(spark, d):
     ),
 )
 def median_impute(spark, d):
-    features = cut_lineage(views.practice_features(spark, d).select(*DRIVER, *DELTAS), "features")
+    features = views.practice_features(spark, d).select(*DRIVER, *DELTAS)
     filled = impute_medians(features, EVENT, DELTAS)
     return filled.select(*DRIVER, *DELTAS[:3], F.round("fp_mean_delta", 6).alias("fp_mean_delta"))
 
@@ -292,7 +292,8 @@ def mae(spark, d):
     ),
 )
 def spearman(spark, d):
-    return metrics.spearman(_scored(spark, d), ["event_key"]).withColumn("spearman", F.round("spearman", 9))
+    graded = reuse(views.train_race(spark, d).withColumn("pred", F.col("qualy_position")), "graded")
+    return metrics.spearman(graded, ["event_key"]).withColumn("spearman", F.round("spearman", 9))
 
 
 _TOPS = """, p AS (SELECT event_key, driver_id FROM train_race QUALIFY row_number() OVER (PARTITION BY event_key ORDER BY qualy_position, driver_id) <= 10),

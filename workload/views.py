@@ -16,11 +16,28 @@ from paddock.operators.practice import features_from_laps
 from paddock.operators.standings import standings_before_round
 from paddock.operators.training import qualifying_training, race_training
 from paddock.schemas import DRIVER, EVENT
-from paddock.session import cut_lineage
+from paddock.session import reuse
+
+
+# Columns of the supplied tables; with them a scan needs no job to read file footers first.
+TABLES = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _round(date: str) -> list:
@@ -32,7 +49,7 @@ def _round(date: str) -> list:
 
 
 def _cents(col: str):
-    return F.round(F.col(col) * 100).cast("bigint")
+    return F.rint(F.col(col) * 100).cast("bigint")
 
 
 def laps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +112,7 @@ def train_qualifying(spark: SparkSession, sf_dir: str) -> DataFrame:
 def train_race(spark: SparkSession, sf_dir: str, with_standings: bool = False) -> DataFrame:
     races = race(spark, sf_dir)
     if with_standings:
-        races = cut_lineage(races, "race")
+        races = reuse(races, "race")
     return race_training(
         practice_features(spark, sf_dir),
         quali(spark, sf_dir),
