@@ -53,9 +53,11 @@ def ridge_errors(train: DataFrame, features: Sequence[str], folds: DataFrame) ->
 
 def ridge_predict(train: DataFrame, current: DataFrame, features: Sequence[str]) -> DataFrame:
     model = fit_ridge(train, features, RIDGE_ALPHA)
-    # The model is one row.
-    scored = _one_group(current, features).crossJoin(F.broadcast(model))
-    return scored.withColumn("pred", linear_score(features)).drop("intercept", "weights")
+    # The model is one row, read as a scalar subquery.
+    row = model.select(F.struct("intercept", "weights")).scalar()
+    filled = _one_group(current, features).withColumn("_model", row)
+    score = linear_score(features, F.col("_model.intercept"), F.col("_model.weights"))
+    return filled.withColumn("pred", score).drop("_model")
 
 
 # -- boosted trees -----------------------------------------------------------

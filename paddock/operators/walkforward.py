@@ -17,10 +17,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paddock.operators.ordering import attach, exact_medians, impute_medians, melt, totals_before
+from paddock.session import fits_one_task
 
 # Events whose moments one task holds before it hands them on.
 EVENTS_IN_TASK = 4096
@@ -63,43 +64,72 @@ def event_moments(train: DataFrame, features: Sequence[str]) -> DataFrame:
     )
 
 
-def running_medians(long: DataFrame, folds: DataFrame, slices: int = SLICES) -> DataFrame:
+def _counts_before_folds(counts: DataFrame, folds: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Sum of ``n`` over the events before each fold, per key.
+
+    The running sum of a key changes only at its own events, so each state is
+    written out for the folds up to the key's next event: one output row per
+    fold and key, rather than one per fold and earlier event.  The list of
+    folds is as long as the calendar.
+    """
+    fold_list = folds.agg(F.array_sort(F.collect_list("event_key"))).scalar()
+    by_event = Window.partitionBy(*by).orderBy("event_key")
+    states = counts.select(
+        *by,
+        F.sum("n").over(by_event.rowsBetween(Window.unboundedPreceding, 0)).alias("n"),
+        F.col("event_key").alias("_after"),
+        F.lead("event_key").over(by_event).alias("_until"),
+    ).withColumn("_folds", fold_list)
+    after, until = F.col("_after"), F.col("_until")
+    valid = F.filter("_folds", lambda fold: (fold > after) & (until.isNull() | (fold <= until)))
+    return states.select(*by, "n", F.explode(valid).alias("_fold"))
+
+
+def running_medians(
+    long: DataFrame, folds: DataFrame, slices: int = SLICES, steps: int | None = None
+) -> DataFrame:
     """Exact median of every feature over all events before each fold.
 
-    ``long`` has (event_key, name, value).  Values are counted in slices of the
-    column's range; the slice holding the middle is found from slice counts
-    alone, and only values inside it are looked at per fold.
+    ``long`` has (event_key, name, value).  Each step cuts the value range into
+    slices and finds, from slice counts alone, the slice that holds the middle
+    of every fold; the next step cuts only those.  Values meet the folds at the
+    end, inside the last slices.  The slice ranges are exact minima and maxima,
+    so heavy tails cost a step, not correctness.
     """
-    span = long.groupBy("name").agg(F.min("value").alias("_low"), F.max("value").alias("_high"))
-    share = (F.col("value") - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))
-    slot = F.coalesce(F.least(F.floor(share * slices), F.lit(slices - 1)), F.lit(0)).cast("int")
-    # One row per feature.
+    if steps is None:
+        steps = 1 if fits_one_task(long) else 2
     counted = (
         long.groupBy("event_key", "name", "value")
         .agg(F.count(F.lit(1)).alias("n"))
-        .join(F.broadcast(span), "name")
-        .select("event_key", "name", "value", "n", slot.alias("_slot"))
-    )
-    ends = folds.select(F.col("event_key").alias("_fold"))
-    earlier = F.col("event_key") < F.col("_fold")
-    # At most slices x events x features rows meet the folds here, however many drivers there are.
-    slots = counted.groupBy("event_key", "name", "_slot").agg(F.sum("n").alias("n"))
-    per_fold = slots.join(ends, earlier).groupBy("_fold", "name", "_slot").agg(F.sum("n").alias("n"))
-    by_fold = Window.partitionBy("_fold", "name")
-    placed = totals_before(per_fold, ["_fold", "name"], "_slot", "n", width=None, out="_start").withColumn(
-        "_n", F.sum("n").over(by_fold)
+        .withColumn("_slot", F.lit(0).cast("bigint"))
     )
     low, high = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
-    middle = placed.where((F.col("_start") < high) & (F.col("_start") + F.col("n") >= low)).select(
-        "_fold", "name", "_slot", "_start", "_n"
-    )
-    inside = (
-        counted.join(middle, ["name", "_slot"])
-        .where(earlier)
-        .groupBy("_fold", "name", "_slot", "_start", "_n", "value")
-        .agg(F.sum("n").alias("n"))
-    )
-    exact = totals_before(inside, ["_fold", "name", "_slot"], "value", "n", width=None)
+    chosen = None
+    for step in range(steps):
+        # At most features x slices^step rows.
+        span = counted.groupBy("name", "_slot").agg(F.min("value").alias("_low"), F.max("value").alias("_high"))
+        share = (F.col("value") - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))
+        part = F.coalesce(F.least(F.floor(share * slices), F.lit(slices - 1)), F.lit(0))
+        cut = counted.join(F.broadcast(span), ["name", "_slot"]).select(
+            "event_key", "name", "value", "n", "_slot", (F.col("_slot") * slices + part).alias("_part")
+        )
+        sizes = cut.groupBy("event_key", "name", "_slot", "_part").agg(F.sum("n").alias("n"))
+        if chosen is not None:
+            sizes = sizes.join(F.broadcast(chosen.select("name", "_slot").distinct()), ["name", "_slot"], "left_semi")
+        per_fold = _counts_before_folds(sizes, folds, ["name", "_slot", "_part"])
+        group = ["_fold", "name", "_slot"]
+        if chosen is None:
+            placed = totals_before(per_fold, group, "_part", "n", width=None, out="_first", total="_n")
+        else:
+            placed = totals_before(per_fold.join(chosen, group), group, "_part", "n", width=None, out="_first")
+            placed = placed.withColumn("_first", F.col("_first") + F.col("_start"))
+        middle = placed.where((F.col("_first") < high) & (F.col("_first") + F.col("n") >= low))
+        # At most two slices per fold and feature.
+        chosen = middle.select("_fold", "name", F.col("_part").alias("_slot"), F.col("_first").alias("_start"), "_n")
+        counted = cut.select("event_key", "name", "value", "n", F.col("_part").alias("_slot"))
+    inside = counted.join(F.broadcast(chosen.select("name", "_slot").distinct()), ["name", "_slot"], "left_semi")
+    values = _counts_before_folds(inside, folds, ["name", "_slot", "value"]).join(chosen, ["_fold", "name", "_slot"])
+    exact = totals_before(values, ["_fold", "name", "_slot"], "value", "n", width=None)
     first = F.col("_start") + F.col("before")
 
     def at(place):
@@ -183,11 +213,11 @@ def fit_ridge(train: DataFrame, features: Sequence[str], alpha: float = 1.0, wid
     return _solve(sums, known, features, alpha).select("intercept", "weights")
 
 
-def linear_score(features: Sequence[str]):
-    """Column expression of a linear prediction from ``intercept`` and ``weights``."""
-    score = F.col("intercept")
+def linear_score(features: Sequence[str], intercept: Column, weights: Column) -> Column:
+    """Column expression of a linear prediction."""
+    score = intercept
     for i, c in enumerate(features):
-        score = score + F.col(c) * F.get(F.col("weights"), F.lit(i))
+        score = score + F.col(c) * F.get(weights, F.lit(i))
     return score
 
 
@@ -201,7 +231,7 @@ def fold_predictions(
     validation = train.join(folds.select("event_key"), "event_key", "left_semi")
     filled = impute_medians(validation, ["event_key"], features, width)
     scored = attach(filled, fold_coefficients(train, features, folds, alpha), ["event_key"], "inner")
-    return scored.withColumn("pred", linear_score(features)).drop("intercept", "weights")
+    return scored.withColumn("pred", linear_score(features, F.col("intercept"), F.col("weights"))).drop("intercept", "weights")
 
 
 def fold_errors(predictions: DataFrame) -> DataFrame:

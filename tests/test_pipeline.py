@@ -181,12 +181,12 @@ def test_walk_forward_equals_a_loop(sized, history):
     assert all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
 
 
-@pytest.mark.parametrize("slices", [1, 3, 128])
-def test_running_medians(spark, history, slices):
+@pytest.mark.parametrize("slices,steps", [(1, 1), (3, 1), (3, 2), (128, 2)])
+def test_running_medians(spark, history, slices, steps):
     df = spark.createDataFrame(history[["event_key", "b"]].rename(columns={"b": "value"})).withColumn("name", F.lit("b"))
     df = df.union(df.select("event_key", F.lit(7.0).alias("value"), F.lit("k").alias("name")))
     folds = df.select("event_key").distinct().where("event_key > 202402")
-    got = {(r.event_key, r.name): r["median"] for r in walkforward.running_medians(df, folds, slices).collect()}
+    got = {(r.event_key, r.name): r["median"] for r in walkforward.running_medians(df, folds, slices, steps).collect()}
     for k in range(202403, 202409):
         assert got[k, "k"] == 7.0
         assert got[k, "b"] == history.loc[history["event_key"] < k, "b"].median()
