@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paddock.functions.scalars import first_filled, row_mean, session_label
-from paddock.operators.ordering import BUCKET_WIDTH, keep_last, known, value_ranks
+from paddock.operators.ordering import BUCKET_WIDTH, attach, keep_last, known, value_ranks
 from paddock.schemas import EVENT, SESSIONS
 from paddock.session import fits_one_task
 
@@ -137,13 +137,24 @@ def driver_names(drivers: DataFrame) -> DataFrame:
 
 
 def results_with_names(results: DataFrame, drivers: DataFrame) -> DataFrame:
-    """Result rows keyed by driver id, with the driver's name or else the id."""
-    keyed = results.withColumn("driver_id", F.col("driver_number").cast("string")).where("driver_id is not null")
-    named = keyed.join(driver_names(drivers), ["session_key", "driver_id"], "left")
-    return named.withColumn("driver_name", F.coalesce("driver_name", "driver_id")).drop("driver_number")
+    """Result rows by driver id, with the driver's name or else the id.
+
+    A duration is a number of seconds or a list of three segment times.
+    """
+    keyed = results.select(
+        "session_key",
+        F.col("driver_number").cast("string").alias("driver_id"),
+        F.col("position").try_cast("double").alias("position"),
+        F.try_variant_get("duration", "$", "double").alias("seconds"),
+        F.try_variant_get("duration", "$[2]", "double").alias("q3_time"),
+        "ord",
+    )
+    named = known(keyed, "driver_id").join(driver_names(drivers), ["session_key", "driver_id"], "left")
+    return named.withColumn("driver_name", F.coalesce("driver_name", "driver_id"))
 
 
-def _rounds_with_sessions(meetings: DataFrame, sessions: DataFrame) -> DataFrame:
+def rounds_with_sessions(meetings: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Sessions with their source, season and round: a few rows per race weekend."""
     rounds = number_meetings(meetings).select(*EVENT, "meeting_key")
     return rounds.join(session_keys(sessions), "meeting_key")
 
@@ -151,12 +162,13 @@ def _rounds_with_sessions(meetings: DataFrame, sessions: DataFrame) -> DataFrame
 def practice_from_results(
     meetings: DataFrame, sessions: DataFrame, results: DataFrame, drivers: DataFrame, width: float = 0.25
 ) -> DataFrame:
-    """Wide practice table of all rounds from session results; a duration is a number of seconds."""
-    practice = _rounds_with_sessions(meetings, sessions).withColumn("session", session_label(F.col("session_name")))
+    """Wide practice table of all rounds from session results; rows without a time are skipped."""
+    practice = rounds_with_sessions(meetings, sessions).withColumn("session", session_label(F.col("session_name")))
     practice = practice.where(F.col("session").isNotNull())
-    seconds = F.try_variant_get(F.col("duration"), "$", "double")
-    timed = results_with_names(results, drivers).withColumn("best_lap", seconds).where("best_lap is not null")
-    best = timed.join(practice, "session_key").select(*EVENT, "session", "driver_id", "driver_name", "best_lap")
+    timed = known(results_with_names(results, drivers).withColumnRenamed("seconds", "best_lap"), "best_lap")
+    best = attach(timed, practice, ["session_key"], "inner").select(
+        *EVENT, "session", "driver_id", "driver_name", "best_lap"
+    )
     return with_row_means(practice_wide(session_features(best, EVENT, width)))
 
 
@@ -164,17 +176,15 @@ def qualifying_from_results(
     meetings: DataFrame, sessions: DataFrame, results: DataFrame, drivers: DataFrame
 ) -> DataFrame:
     """Qualifying positions and third-segment times of all rounds."""
-    quali = _rounds_with_sessions(meetings, sessions).where(F.col("session_name") == "Qualifying")
-    third = F.try_variant_get(F.col("duration"), "$[2]", "double")
-    named = results_with_names(results, drivers).withColumn("q3_time", third)
-    return named.join(quali, "session_key").select(
-        *EVENT, "driver_id", "driver_name", F.col("position").try_cast("double").alias("position"), "q3_time", "ord"
+    quali = rounds_with_sessions(meetings, sessions).where(F.col("session_name") == "Qualifying")
+    named = results_with_names(results, drivers)
+    return attach(named, quali, ["session_key"], "inner").select(
+        *EVENT, "driver_id", "driver_name", "position", "q3_time", "ord"
     )
 
 
 def race_from_results(meetings: DataFrame, sessions: DataFrame, results: DataFrame, drivers: DataFrame) -> DataFrame:
     """Race positions of all rounds."""
-    race = _rounds_with_sessions(meetings, sessions).where(F.col("session_name") == "Race")
-    return results_with_names(results, drivers).join(race, "session_key").select(
-        *EVENT, "driver_id", "driver_name", F.col("position").try_cast("double").alias("position"), "ord"
-    )
+    race = rounds_with_sessions(meetings, sessions).where(F.col("session_name") == "Race")
+    named = results_with_names(results, drivers)
+    return attach(named, race, ["session_key"], "inner").select(*EVENT, "driver_id", "driver_name", "position", "ord")
