@@ -160,7 +160,7 @@ def solve_ridge(moments: np.ndarray, medians: np.ndarray, alpha: float) -> tuple
 
 
 def _solve(sums: DataFrame, medians: DataFrame, features: Sequence[str], alpha: float) -> DataFrame:
-    """Coefficients per event from (event_key, pos, total) and the medians used in training."""
+    """Coefficients per event from (event_key, pos, total) and the medians used in training, 0 where there is none."""
     side = 2 * len(features) + 2
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -179,26 +179,28 @@ def _solve(sums: DataFrame, medians: DataFrame, features: Sequence[str], alpha:
 
     # (2p+2)^2 numbers per event.
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "total"))), lambda s: s["total"])
-    packed = sums.groupBy("event_key").agg(ordered.alias("moments")).join(medians, "event_key")
+    zeros = F.array(*[F.lit(0.0)] * len(features))
+    packed = (
+        sums.groupBy("event_key")
+        .agg(ordered.alias("moments"))
+        .join(_median_arrays(medians, features), "event_key", "left")
+        .withColumn("medians", F.coalesce("medians", zeros))
+    )
     return packed.mapInPandas(run, "event_key int, intercept double, weights array<double>")
 
 
 def fold_coefficients(train: DataFrame, features: Sequence[str], folds: DataFrame, alpha: float = 1.0) -> DataFrame:
     """Ridge coefficients for every fold, trained on all events before it."""
-    ends = folds.select("event_key")
     before = Window.partitionBy("pos").orderBy("event_key").rowsBetween(Window.unboundedPreceding, -1)
     sums = (
         event_moments(train, features)
         .withColumn("total", F.sum("own").over(before))
         .where("total is not null")
-        .join(ends, "event_key", "left_semi")
+        .join(folds, "event_key", "left_semi")
         .select("event_key", "pos", "total")
     )
     medians = running_medians(melt(train, ["event_key"], features), folds)
-    known = ends.join(_median_arrays(medians, features), "event_key", "left").withColumn(
-        "medians", F.coalesce("medians", F.array(*[F.lit(0.0)] * len(features)))
-    )
-    return _solve(sums, known, features, alpha)
+    return _solve(sums, medians, features, alpha)
 
 
 def fit_ridge(train: DataFrame, features: Sequence[str], alpha: float = 1.0, width: float = 65536) -> DataFrame:
@@ -206,11 +208,7 @@ def fit_ridge(train: DataFrame, features: Sequence[str], alpha: float = 1.0, wid
     whole = train.withColumn("event_key", F.lit(0))
     sums = event_moments(whole, features).withColumnRenamed("own", "total")
     medians = exact_medians(melt(whole, ["event_key"], features), ["event_key", "name"], width=width)
-    everything = sums.select("event_key").distinct()
-    known = everything.join(_median_arrays(medians, features), "event_key", "left").withColumn(
-        "medians", F.coalesce("medians", F.array(*[F.lit(0.0)] * len(features)))
-    )
-    return _solve(sums, known, features, alpha).select("intercept", "weights")
+    return _solve(sums, medians, features, alpha).select("intercept", "weights")
 
 
 def linear_score(features: Sequence[str], intercept: Column, weights: Column) -> Column:
