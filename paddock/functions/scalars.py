@@ -125,6 +125,11 @@ def normalise(c: Column) -> Column:
     return F.trim(F.replace(F.lower(c), F.lit("_"), F.lit(" ")))
 
 
+def short_id(c: Column) -> Column:
+    """First eight characters, as shown in lists."""
+    return F.substring(c, 1, 8)
+
+
 def title_of(path: Column) -> Column:
     """File name without folder and extension, dashes as spaces."""
     return F.replace(F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1), F.lit("-"), F.lit(" "))

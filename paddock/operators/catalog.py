@@ -54,6 +54,12 @@ def resolve_exact(items: DataFrame, name: str, sport: str, order: str) -> DataFr
     return _in_sport(items, sport).where(same).orderBy(order).limit(1)
 
 
+def resolve_nth(items: DataFrame, n: int, order: Sequence[str], sport: str | None = None) -> DataFrame:
+    """The n-th item of the ordered list, counted from 1; empty outside the list."""
+    listed = _in_sport(items, sport)
+    return listed.orderBy(*order).offset(n - 1).limit(1) if n >= 1 else listed.limit(0)
+
+
 def parse_index(lines: DataFrame) -> DataFrame:
     """Paper index lines (doc, line, text) to one row per file: title, sport, source.
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from paddock.operators import dataset as ds
+from paddock.schemas import EVENT
 from paddock.session import cut_lineage
 from paddock.sources.sinks import in_order, write_csv, write_parquet
 
@@ -16,7 +19,8 @@ class Build:
     dataset: DataFrame
     coverage: DataFrame
     notes: DataFrame
-    paths: dict[str, str]
+    paths: dict[str, str | None]
+    failures: list[str] = field(default_factory=list)
 
 
 def build_dataset(
@@ -37,8 +41,34 @@ def build_dataset(
     dataset, covered = ds.dataset_rows(rounds, merged), ds.coverage(rounds, merged)
     kinds = {"practice": practice, "qualifying": qualifying, "race": race, "standings": standings}
     notes = ds.missing_notes(rounds, kinds)
-    paths = {}
+    paths: dict[str, str | None] = {}
+    failures: list[str] = []
     for name, frame in (("dataset", in_order(dataset)), ("coverage", covered)):
         paths[f"{name}_csv"] = write_csv(frame, f"{out_dir}/{name}_csv")
-        paths[f"{name}_parquet"] = write_parquet(frame, f"{out_dir}/{name}_parquet", ["source", "year"])
-    return Build(dataset, covered, notes, paths)
+        try:
+            paths[f"{name}_parquet"] = write_parquet(frame, f"{out_dir}/{name}_parquet", ["source", "year"])
+        except Exception as exc:  # the CSV stands on its own
+            paths[f"{name}_parquet"] = None
+            failures.append(f"{name}: no Parquet written ({type(exc).__name__}); the CSV is complete")
+    return Build(dataset, covered, notes, paths, failures)
+
+
+def summary_document(build: Build, config: dict[str, object], generated_at: str) -> DataFrame:
+    """One JSON document: configuration, row and event totals, paths, and notes in calendar order.
+
+    Notes are one per round and missing kind, so the list is as long as the calendar.
+    """
+    ordered = F.transform(
+        F.array_sort(F.collect_list(F.struct(*EVENT, "stage", "message"))), lambda n: n["message"]
+    )
+    notes = F.concat(build.notes.agg(ordered).scalar(), F.array(*map(F.lit, build.failures)).cast("array<string>"))
+    fields = [
+        F.from_json(F.lit(json.dumps(config)), "map<string,string>").alias("config"),
+        "rows",
+        "events",
+        *[F.lit(path).cast("string").alias(f"{name}_path") for name, path in build.paths.items()],
+        notes.alias("notes"),
+        F.lit(generated_at).alias("generated_at"),
+    ]
+    totals = ds.summary(build.dataset, build.coverage)
+    return totals.select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("document"))

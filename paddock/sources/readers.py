@@ -165,6 +165,34 @@ def notebooks_under(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def projects_under(spark: SparkSession, root: str) -> DataFrame:
+    """Project folders below the sports: name, research notebook and code folder, null where missing.
+
+    A project is a folder that holds the notebook or any non-empty file of a code folder.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    parts = F.split(F.regexp_extract("path", r"/projects/(.*)$", 1), "/")
+    split = files.select(
+        "path",
+        F.get(parts, F.lit(0)).alias("sport"),
+        F.get(parts, F.lit(1)).alias("name"),
+        F.get(parts, F.lit(2)).alias("folder"),
+        F.get(parts, F.lit(3)).alias("file"),
+    )
+    notebook = (F.col("folder") == "Jupyter") & (F.col("file") == "model-research.ipynb")
+    code = (F.col("folder") == "Python") & F.col("file").isNotNull()
+    home = F.regexp_extract("path", r"^(.*/projects/[^/]+/[^/]+)/", 1)
+    visible = ~F.col("sport").startswith(".") & ~F.col("name").startswith(".")
+    return (
+        split.where((notebook | code) & visible)
+        .groupBy("sport", "name")
+        .agg(
+            F.min(F.when(notebook, F.col("path"))).alias("notebook"),
+            F.min(F.when(code, F.concat(home, F.lit("/Python")))).alias("python_dir"),
+        )
+    )
+
+
 def notebook_cells(documents: DataFrame, key: str = "file", text: str = "text") -> DataFrame:
     """One row per notebook cell; a source given as a list of lines is joined."""
     parsed = documents.select(key, F.from_json(text, schemas.NOTEBOOK_DOCUMENT).alias("nb"))

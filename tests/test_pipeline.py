@@ -1,5 +1,7 @@
 """Practice features, standings, datasets, training and predictions on inline tables."""
 
+import json
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -9,9 +11,8 @@ from pyspark.sql import functions as F
 from paddock import schemas
 from paddock.operators import dataset as ds
 from paddock.operators import metrics, models, practice, standings, training, walkforward
-from paddock.plans.build import build_dataset
+from paddock.plans.build import build_dataset, summary_document
 from paddock.plans.predict import Tables, predict_all_heuristic, predict_round
-from paddock.session import scratch_path
 
 
 def laps(spark, rows):
@@ -126,6 +127,9 @@ def test_merge_coverage_and_notes(sized, tmp_path):
     assert sized.read.parquet(built.paths["dataset_parquet"]).count() == 2
     assert sized.read.option("header", True).csv(built.paths["coverage_csv"]).count() == 1
     assert built.notes.where("stage = 'standings'").count() == 1
+    document = json.loads(summary_document(built, {"years": [2024]}, "now").first()["document"])
+    assert document["rows"] == 2 and document["events"] == 1 and document["config"] == {"years": "[2024]"}
+    assert document["notes"] == ["s 2024 round 1: no standings data"] and document["dataset_csv_path"].endswith("dataset_csv")
 
 
 @pytest.mark.parametrize("n,first", [(3, None), (4, 3), (12, 4)])

@@ -100,8 +100,13 @@ def test_research_tree(spark, tmp_path):
     assert [r.sport for r in papers.collect()] == ["F1"]
     index = spark.createDataFrame([("other.pdf", "T", "S", "u")], "file string, title string, sport string, source string")
     assert catalog.enrich_papers(papers, index).select("sport", "title", "source").first() == ("F1", "lap times", None)
+    (tmp_path / "projects/F1/Quali/Jupyter/model-research.ipynb").write_text("{}")
+    (tmp_path / "projects/Tennis/Serve/Python").mkdir(parents=True)
+    (tmp_path / "projects/Tennis/Serve/Python/run.py").write_text("pass")
+    found = values(readers.projects_under(spark, f"{tmp_path}/projects"))
+    assert [(r[0], r[1], bool(r[2]), (r[3] or "")[-7:]) for r in found] == [("F1", "Quali", True, ""), ("Tennis", "Serve", False, "/Python")]
     books = readers.notebooks_under(spark, f"{tmp_path}/projects").collect()
-    assert [(b.sport, b.project, b.file.rsplit("/", 1)[1]) for b in books] == [("F1", "Quali", "a.ipynb")]
+    assert [(b.sport, b.project, b.file.rsplit("/", 1)[1]) for b in sorted(books, key=lambda b: b.file)] == [("F1", "Quali", "a.ipynb"), ("F1", "Quali", "model-research.ipynb")]
 
 
 def test_search_and_resolve(spark):
@@ -110,6 +115,9 @@ def test_search_and_resolve(spark):
     assert catalog.resolve_unique(items, "rain model", ["name"]).first() == ("F1", "Rain_Model")
     assert catalog.resolve_unique(items, "rain", ["name"]).count() == 0
     assert catalog.resolve_exact(items, "RAIN", "f1", "name").first() == ("F1", "Rain")
+    assert catalog.resolve_nth(items, 2, ["sport", "name"]).first() == ("F1", "Rain_Model")
+    assert catalog.resolve_nth(items, 1, ["name"], "football").first() == ("Football", "Goals")
+    assert catalog.resolve_nth(items, 9, ["name"]).count() == 0 and catalog.resolve_nth(items, 0, ["name"]).count() == 0
     papers = spark.createDataFrame([("F1", "Wet laps", "rain.pdf")], "sport string, title string, file string")
     assert values(catalog.search_scopes(items, papers, "rain")) == [("papers", "F1", "Wet laps"), ("projects", "F1", "Rain"), ("projects", "F1", "Rain_Model")]
     assert catalog.search_scopes(items, papers, "rain", "papers").count() == 1

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paddock.functions import scalars as fn
+from paddock.functions.parameters import MOTORSPORT, savings, typed_parameters
 from paddock.operators.training import align, before_target, qualifying_targets
 from paddock.schemas import DRIVER, RACE_FEATURES
 from workload import views
@@ -313,3 +314,39 @@ def config_fingerprint(spark, d):
         F.col("l_suppkey").cast("string"),
     )
     return views.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", fn.fingerprint(params).alias("digest"))
+
+
+@register(
+    "project_parameters",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'race' ELSE 'qualifying' END AS mode, 'fastf1' AS source,
+         CASE WHEN o_orderkey % 3 = 1 THEN CAST(2026 AS BIGINT) ELSE CAST(year(o_orderdate) AS BIGINT) END AS year,
+         CAST(month(o_orderdate) AS BIGINT) AS round_number, 'auto' AS train_seasons,
+         o_orderkey % 3 = 0 AS include_standings, '.cache/fastf1' AS cache_dir, '' AS meeting_name, '' AS country_name FROM orders""",
+)
+def project_parameters(spark, d):
+    """Orders as run configurations: complete, with texts for numbers, and with gaps."""
+    year, month = F.year("o_orderdate").cast("string"), F.month("o_orderdate").cast("string")
+    kind = F.col("o_orderkey") % 3
+    config = (
+        F.when(kind == 0, F.concat(F.lit('{"mode":"race","include_standings":true,"year":'), year, F.lit(',"round_number":'), month, F.lit("}")))
+        .when(kind == 1, F.concat(F.lit('{"include_standings":"true","round_number":"'), month, F.lit('. round"}')))
+        .otherwise(F.concat(F.lit('{"mode":null,"year":"'), year, F.lit('","round_number":'), month, F.lit(".7}")))
+    )
+    return views.table(spark, d, "orders").select("o_orderkey", *typed_parameters(config, MOTORSPORT))
+
+
+@register(
+    "savings_in_range",
+    """SELECT c_custkey, greatest(0.0::DOUBLE, c_acctbal) AS bankroll, CAST(c_nationkey AS DOUBLE) AS "monthlySavingsTarget",
+         0.0::DOUBLE AS "reserveBalance", 10.0::DOUBLE AS "defaultStake", least(100.0::DOUBLE, c_nationkey * 10.0::DOUBLE) AS "maxStakePercent",
+         c_custkey % 2 = 0 AS "autoSaveProfit" FROM customer""",
+)
+def savings_in_range(spark, d):
+    """Customers as saved preferences with numbers, texts, a wrong kind and a missing field."""
+    nation = F.col("c_nationkey").cast("string")
+    config = F.concat(
+        F.lit('{"bankroll":'), F.col("c_acctbal").cast("decimal(18,2)").cast("string"),
+        F.lit(',"monthlySavingsTarget":"'), nation, F.lit(' per month","reserveBalance":true,"maxStakePercent":'),
+        (F.col("c_nationkey") * 10).cast("string"), F.lit(',"autoSaveProfit":'), F.when(F.col("c_custkey") % 2 == 0, "true").otherwise("false"), F.lit("}"),
+    )
+    return views.table(spark, d, "customer").select("c_custkey", *savings(config))
