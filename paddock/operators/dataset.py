@@ -127,8 +127,9 @@ def dataset_order() -> list[Column]:
 
 def coverage(calendar: DataFrame, merged: DataFrame) -> DataFrame:
     """Drivers and available kinds of every calendar round; rounds without data stay with zeros."""
+    # Merged rows are unique per driver and round, so distinct drivers are plain rows.
     found = merged.groupBy(*EVENT).agg(
-        F.count_distinct("driver_id").alias("drivers"),
+        F.count("driver_id").alias("drivers"),
         *[F.max(F.col(f"has_{k}").cast("int")).alias(f"{k}_available") for k in KINDS],
     )
     counts = ["drivers", *[f"{k}_available" for k in KINDS]]

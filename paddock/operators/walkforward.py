@@ -13,16 +13,21 @@ give the moments of the imputed features for any medians.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paddock.operators.ordering import attach, exact_medians, impute_medians, melt, totals_before
 from paddock.session import fits_one_task
 
+# Tasks get the functions themselves, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Events whose moments one task holds before it hands them on.
 EVENTS_IN_TASK = 4096
 # Slices of a column's value range in the first step of a running median.

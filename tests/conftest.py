@@ -16,8 +16,8 @@ def spark():
 @pytest.fixture(params=["small", "large"])
 def sized(request, spark):
     """The session once with plans for small inputs and once with plans for large ones."""
-    if request.param == "large":
-        spark.conf.set(SINGLE_TASK_SETTING, "0")
+    # Rows from Python have no known size, so "small" needs a limit above the planner's default.
+    spark.conf.set(SINGLE_TASK_SETTING, "0" if request.param == "large" else str(2**100))
     yield spark
     spark.conf.unset(SINGLE_TASK_SETTING)
 
