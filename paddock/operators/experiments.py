@@ -137,8 +137,8 @@ def daily_counts(spark, created: DataFrame, last_day: str, days: int) -> DataFra
         (F.col("created_at") >= F.date_sub(end, days - 1)) & (F.col("created_at") < F.date_add(end, 1))
     )
     counts = recent.groupBy(F.to_date("created_at").alias("day")).agg(F.count(F.lit(1)).alias("runs"))
-    # The calendar has ``days`` rows; the counts no more.
-    return F.broadcast(calendar).join(counts, "day", "left").select(
+    # Both sides have at most ``days`` rows.
+    return calendar.join(F.broadcast(counts), "day", "left").select(
         F.date_format("day", "yyyy-MM-dd").alias("day"), F.coalesce("runs", F.lit(0).cast("bigint")).alias("runs")
     )
 

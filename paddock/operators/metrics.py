@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paddock.operators.ordering import first_places, with_average_rank
+from paddock.operators.ordering import AUTO, Width, first_places, with_average_rank
 
 TOP = 10
 
@@ -17,7 +17,7 @@ def mean_absolute_error(df: DataFrame, group: Sequence[str] = (), truth: str = "
 
 
 def spearman(
-    df: DataFrame, group: Sequence[str], truth: str = "target", pred: str = "pred", width: float = 65536
+    df: DataFrame, group: Sequence[str], truth: str = "target", pred: str = "pred", width: Width = AUTO
 ) -> DataFrame:
     """Correlation of the average ranks of truth and prediction, per group."""
     both = df.where(F.col(truth).isNotNull() & F.col(pred).isNotNull())

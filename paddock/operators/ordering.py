@@ -18,12 +18,18 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paddock.session import cut_lineage, fits_one_task
 
+# Bucket a key by its kind: whole numbers by a fixed span, fractions by slices of their group's range.
+AUTO = "auto"
 BUCKET_WIDTH = 65536
+BUCKET_SLICES = 4096
 MAX_FAN = 64
 
+Width = float | str | None
+
 
 def _fan(df: DataFrame) -> int:
     return max(2, min(MAX_FAN, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
@@ -53,12 +59,24 @@ def attach(rows: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "l
     return rows.withColumn("_salt", spread).join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
+def _with_bucket(counts: DataFrame, group: Sequence[str], key: str, width: float | str) -> DataFrame:
+    """Add a number that never falls as the key rises."""
+    if width == AUTO and isinstance(counts.schema[key].dataType, T.IntegralType):
+        width = BUCKET_WIDTH
+    if width != AUTO:
+        return counts.withColumn("_bucket", F.floor(F.col(key) / F.lit(width)))
+    span = counts.groupBy(*group).agg(F.min(key).alias("_low"), F.max(key).alias("_high"))
+    share = (F.col(key) - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))
+    slot = F.coalesce(F.least(F.floor(share * BUCKET_SLICES), F.lit(BUCKET_SLICES - 1)), F.lit(0))
+    return attach(counts, span, group, "inner").withColumn("_bucket", slot).drop("_low", "_high")
+
+
 def totals_before(
     counts: DataFrame,
     group: Sequence[str],
     key: str,
     weight: str,
-    width: float | None = BUCKET_WIDTH,
+    width: Width = AUTO,
     out: str = "before",
     lowest: str | None = None,
     total: str | None = None,
@@ -66,9 +84,10 @@ def totals_before(
     """Sum of ``weight`` over the smaller keys of the same group.
 
     ``counts`` holds one row per (group, key), both non-null.  ``width`` is the
-    span of key values ordered within one task; None says that the keys of a
-    group are few (points, positions of a fixed table).  The smallest key and
-    the total weight of the group can be had from the same pass.
+    span of key values ordered within one task, chosen by the kind of key if
+    not given; None says that the keys of a group are few (points, positions of
+    a fixed table).  The smallest key and the total weight of the group can be
+    had from the same pass.
     """
     zero = F.lit(0).cast("bigint")
     whole = Window.partitionBy(*group)
@@ -87,7 +106,7 @@ def totals_before(
 
     if width is None:
         return counts.withColumns({out: running(weight, by=group, order=key), **extras(key, weight)})
-    bucketed = counts.withColumn("_bucket", F.floor(F.col(key) / F.lit(width)))
+    bucketed = _with_bucket(counts, group, key, width)
     offsets = (
         bucketed.groupBy(*group, "_bucket")
         .agg(F.sum(weight).alias("_total"), F.min(key).alias("_lowest"))
@@ -103,7 +122,7 @@ def totals_before(
 
 
 def value_ranks(
-    df: DataFrame, group: Sequence[str], key: str, width: float | None = BUCKET_WIDTH, **extra: str
+    df: DataFrame, group: Sequence[str], key: str, width: Width = AUTO, **extra: str
 ) -> DataFrame:
     """One row per distinct non-null key of a group: how many rows come before it and how many tie."""
     counts = df.where(F.col(key).isNotNull()).groupBy(*group, key).agg(F.count(F.lit(1)).alias("ties"))
@@ -116,7 +135,7 @@ def with_min_rank(
     key: str,
     out: str,
     descending: bool = False,
-    width: float | None = BUCKET_WIDTH,
+    width: Width = AUTO,
 ) -> DataFrame:
     """Add the rank of ``key`` in its group, ties sharing the smallest rank; null keys have no rank."""
     if fits_one_task(df):
@@ -130,7 +149,7 @@ def with_min_rank(
 
 
 def with_average_rank(
-    df: DataFrame, group: Sequence[str], key: str, out: str, width: float | None = BUCKET_WIDTH
+    df: DataFrame, group: Sequence[str], key: str, out: str, width: Width = AUTO
 ) -> DataFrame:
     """Add the rank of ``key`` in its group, ties sharing the mean of their places."""
     if fits_one_task(df):
@@ -151,7 +170,7 @@ def melt(df: DataFrame, group: Sequence[str], cols: Sequence[str]) -> DataFrame:
 
 
 def exact_medians(
-    long: DataFrame, group: Sequence[str], value: str = "value", width: float | None = BUCKET_WIDTH
+    long: DataFrame, group: Sequence[str], value: str = "value", width: Width = AUTO
 ) -> DataFrame:
     """Exact median per group: the middle value, or the mean of the two middle ones.
 
@@ -168,7 +187,7 @@ def exact_medians(
 
 
 def wide_medians(
-    df: DataFrame, group: Sequence[str], cols: Sequence[str], width: float | None = BUCKET_WIDTH
+    df: DataFrame, group: Sequence[str], cols: Sequence[str], width: Width = AUTO
 ) -> DataFrame:
     """One row per group with the median of every column as ``<col>_median``, null for an all-null column."""
     if fits_one_task(df):
@@ -179,7 +198,7 @@ def wide_medians(
 
 
 def impute_medians(
-    df: DataFrame, group: Sequence[str], cols: Sequence[str], width: float | None = BUCKET_WIDTH
+    df: DataFrame, group: Sequence[str], cols: Sequence[str], width: Width = AUTO
 ) -> DataFrame:
     """Fill nulls of ``cols`` with the median of their group, then with 0.
 

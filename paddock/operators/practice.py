@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paddock.functions.scalars import first_filled, row_mean, session_label
-from paddock.operators.ordering import BUCKET_WIDTH, attach, keep_last, known, value_ranks
+from paddock.operators.ordering import AUTO, Width, attach, keep_last, known, value_ranks
 from paddock.schemas import EVENT, SESSIONS
 from paddock.session import fits_one_task
 
@@ -20,7 +20,7 @@ def best_laps(laps: DataFrame, event: Sequence[str] = EVENT, time: str = "lap_ti
 
 
 def session_features(
-    best: DataFrame, event: Sequence[str] = EVENT, width: float = BUCKET_WIDTH
+    best: DataFrame, event: Sequence[str] = EVENT, width: Width = AUTO
 ) -> DataFrame:
     """Gap to the fastest driver of the session and rank, ties sharing the smallest rank.
 
@@ -85,7 +85,7 @@ def with_row_means(wide: DataFrame) -> DataFrame:
 
 
 def features_from_laps(
-    laps: DataFrame, event: Sequence[str] = EVENT, time: str = "lap_time", width: float = BUCKET_WIDTH
+    laps: DataFrame, event: Sequence[str] = EVENT, time: str = "lap_time", width: Width = AUTO
 ) -> DataFrame:
     """Laps to the wide practice table; the driver id doubles as the name."""
     scored = session_features(best_laps(laps, event, time), event, width)
@@ -160,7 +160,7 @@ def rounds_with_sessions(meetings: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def practice_from_results(
-    meetings: DataFrame, sessions: DataFrame, results: DataFrame, drivers: DataFrame, width: float = 0.25
+    meetings: DataFrame, sessions: DataFrame, results: DataFrame, drivers: DataFrame, width: Width = AUTO
 ) -> DataFrame:
     """Wide practice table of all rounds from session results; rows without a time are skipped."""
     practice = rounds_with_sessions(meetings, sessions).withColumn("session", session_label(F.col("session_name")))

@@ -22,7 +22,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paddock.operators.ordering import attach, exact_medians, impute_medians, melt, totals_before
+from paddock.operators.ordering import AUTO, Width, attach, exact_medians, impute_medians, melt, totals_before
 from paddock.session import fits_one_task
 
 # Tasks get the functions themselves, so executors need not have this package installed.
@@ -208,7 +208,7 @@ def fold_coefficients(train: DataFrame, features: Sequence[str], folds: DataFram
     return _solve(sums, medians, features, alpha)
 
 
-def fit_ridge(train: DataFrame, features: Sequence[str], alpha: float = 1.0, width: float = 65536) -> DataFrame:
+def fit_ridge(train: DataFrame, features: Sequence[str], alpha: float = 1.0, width: Width = AUTO) -> DataFrame:
     """One row (intercept, weights) for the whole training table, medians over all its rows."""
     whole = train.withColumn("event_key", F.lit(0))
     sums = event_moments(whole, features).withColumnRenamed("own", "total")
@@ -225,7 +225,7 @@ def linear_score(features: Sequence[str], intercept: Column, weights: Column) ->
 
 
 def fold_predictions(
-    train: DataFrame, features: Sequence[str], folds: DataFrame, alpha: float = 1.0, width: float = 65536
+    train: DataFrame, features: Sequence[str], folds: DataFrame, alpha: float = 1.0, width: Width = AUTO
 ) -> DataFrame:
     """Validation rows of every fold with the prediction of the model trained before it.
 

@@ -37,6 +37,22 @@ def test_min_rank(sized, sample, descending):
     assert (got == want.astype(int).sort_index()).all()
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e-9, 1e12])
+def test_fractions_of_any_unit(sized, sample, scale):
+    df = to_spark(sized, sample).withColumn("x", F.col("v") * F.lit(scale))
+    got = ordering.with_min_rank(df, ["g"], "x", "r").toPandas().set_index("id")["r"].sort_index()
+    want = sample.set_index("id").groupby("g")["v"].rank(method="min").astype(int).sort_index()
+    assert (got == want).all()
+
+
+def test_infinite_keys(sized):
+    inf = float("inf")
+    rows = [("a", x) for x in (2.0, -inf, inf, 1.0, inf)] + [("b", inf)]
+    df = sized.createDataFrame(rows, "g string, v double")
+    got = sorted((r.g, r.v, r.r) for r in ordering.with_min_rank(df, ["g"], "v", "r").collect())
+    assert got == [("a", -inf, 1), ("a", 1.0, 2), ("a", 2.0, 3), ("a", inf, 4), ("a", inf, 4), ("b", inf, 1)]
+
+
 def test_null_keys_have_no_rank(sized, sample):
     got = ordering.with_min_rank(to_spark(sized, sample, holes=7), ["g"], "v", "r", width=1000).toPandas()
     assert len(got) == len(sample)
