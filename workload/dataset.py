@@ -301,34 +301,37 @@ def union_sources(spark, d):
     return ds.union_sources([customers, parts])
 
 
-def _thin_race(spark, d):
-    return views.race(spark, d).where("round_number % 5 <> 0")
-
-
 @register(
     "rounds_with_data",
     with_views(
         f"""SELECT {E} FROM calendar WHERE ({E}) IN (SELECT ({E}) FROM features) AND ({E}) IN (SELECT ({E}) FROM quali)
-             AND ({E}) IN (SELECT ({E}) FROM race WHERE round_number % 5 <> 0)""",
+             AND ({E}) IN (SELECT ({E}) FROM race) AND ({E}) IN (SELECT ({E}) FROM standings)""",
         "features",
         "quali",
         "race",
+        "standings",
         "calendar",
     ),
 )
 def rounds_with_data(spark, d):
-    frames = [best_laps(views.laps(spark, d)), views.quali(spark, d), _thin_race(spark, d)]
+    races = reuse(views.race(spark, d), "race")
+    frames = [best_laps(views.laps(spark, d)), views.quali(spark, d), races, views.standings(spark, d, races)]
     return ds.rounds_with(views.calendar(spark, d), *frames).select(*EVENT)
 
 
 @register(
     "rounds_missing",
     with_views(
-        f"""SELECT 'race' AS stage, {E}, source || ' ' || year || ' round ' || round_number || ': no race data' AS message
-            FROM calendar WHERE ({E}) NOT IN (SELECT ({E}) FROM race WHERE round_number % 5 <> 0)""",
+        f"""SELECT stage, {E}, source || ' ' || year || ' round ' || round_number || ': no ' || stage || ' data' AS message FROM (
+              SELECT 'race' AS stage, {E} FROM calendar WHERE ({E}) NOT IN (SELECT ({E}) FROM race)
+              UNION ALL SELECT 'standings', {E} FROM calendar WHERE ({E}) NOT IN (SELECT ({E}) FROM standings))""",
         "race",
+        "standings",
         "calendar",
     ),
 )
 def rounds_missing(spark, d):
-    return ds.missing_notes(views.calendar(spark, d), {"race": _thin_race(spark, d)})
+    """The first round of a season has no standings yet."""
+    races = reuse(views.race(spark, d), "race")
+    frames = {"race": races, "standings": views.standings(spark, d, races)}
+    return ds.missing_notes(views.calendar(spark, d), frames)

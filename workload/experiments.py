@@ -15,8 +15,8 @@ from workload.sqlviews import with_views
 
 
 def _sweep_runs(spark, d):
-    """Every third run belongs to the sweep of its customer; the parameter value is the order's month."""
-    return views.table(spark, d, "orders").where("o_orderkey % 3 = 0").select(
+    """A run belongs to the sweep of its customer; the parameter value is the order's month."""
+    return views.table(spark, d, "orders").select(
         F.col("o_custkey").cast("string").alias("sweep_id"),
         F.col("o_orderkey").cast("string").alias("run_id"),
         F.month("o_orderdate").cast("string").alias("param_value"),
@@ -24,7 +24,7 @@ def _sweep_runs(spark, d):
 
 
 _SWEEP_RUNS = """sweep_runs AS (SELECT CAST(o_custkey AS VARCHAR) AS sweep_id, CAST(o_orderkey AS VARCHAR) AS run_id,
-  CAST(month(o_orderdate) AS VARCHAR) AS param_value FROM orders WHERE o_orderkey % 3 = 0)"""
+  CAST(month(o_orderdate) AS VARCHAR) AS param_value FROM orders)"""
 
 
 @register("run_score", with_views("SELECT run_id, round(sum(pred_ms)::DOUBLE / count(pred_ms), 6) AS score FROM run_results GROUP BY ALL", "run_results"))
@@ -285,15 +285,15 @@ def overview_counts(spark, d):
 
 @register(
     "catalog_enrich",
-    """SELECT CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE sport END AS sport,
-             CASE WHEN p_partkey % 3 = 0 THEN 'Paper on ' || p_name ELSE replace(regexp_extract(path, '([^/]+)\\.pdf$', 1), '-', ' ') END AS title,
-             path AS file, CASE WHEN p_partkey % 3 = 0 THEN 'http://papers.example/' || p_partkey END AS source
+    """SELECT CASE WHEN p_size <= 15 THEN p_brand ELSE sport END AS sport,
+             CASE WHEN p_size <= 15 THEN 'Paper on ' || p_name ELSE replace(regexp_extract(path, '([^/]+)\\.pdf$', 1), '-', ' ') END AS title,
+             path AS file, CASE WHEN p_size <= 15 THEN 'http://papers.example/' || p_partkey END AS source
            FROM (SELECT p_type AS sport, 'papers/' || p_type || '/' || replace(p_name, ' ', '-') || '-' || p_partkey || '.pdf' AS path,
-             p_partkey, p_brand, p_name FROM part)""",
+             p_partkey, p_brand, p_name, p_size FROM part)""",
 )
 def catalog_enrich(spark, d):
-    """Every third part is in the index, with its brand as sport."""
-    part = views.table(spark, d, "part").where("p_partkey % 3 = 0")
+    """The index knows the papers of small parts only, with their brand as sport."""
+    part = views.table(spark, d, "part").where("p_size <= 15")
     name = F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-"), F.col("p_partkey").cast("string"), F.lit(".pdf"))
     index = part.select(
         name.alias("file"),

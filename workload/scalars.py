@@ -125,13 +125,13 @@ def q3_from_array(spark, d):
 @register(
     "standing_fallback",
     """SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN s_nationkey WHEN s_suppkey % 5 = 0 THEN s_nationkey
-         ELSE CAST(s_suppkey % 20 AS INT) END AS position_start FROM supplier WHERE s_suppkey % 20 <> 0""",
+         ELSE CAST(s_suppkey % 20 AS INT) END AS position_start FROM supplier""",
 )
 def standing_fallback(spark, d):
     key = F.col("s_suppkey")
     start = F.when(key % 4 == 0, F.lit(None)).when(key % 5 == 0, 0).otherwise(key % 20).cast("int")
     shown = fn.first_nonzero(start, F.col("s_nationkey")).alias("position_start")
-    return views.table(spark, d, "supplier").where(key % 20 != 0).select("s_suppkey", shown)
+    return views.table(spark, d, "supplier").select("s_suppkey", shown)
 
 
 @register(
@@ -270,13 +270,13 @@ def status_normalise(spark, d):
 @register(
     "display_projection",
     """SELECT l_orderkey, CASE l_linenumber % 3 WHEN 0 THEN 'S' || l_suppkey WHEN 1 THEN CAST(l_partkey AS VARCHAR) ELSE 'Item' END AS label,
-         l_quantity AS value FROM lineitem WHERE l_linenumber % 2 = 0""",
+         l_quantity AS value FROM lineitem WHERE l_returnflag <> 'N'""",
 )
 def display_projection(spark, d):
     kind = F.col("l_linenumber") % 3
     team = F.when(kind == 0, F.concat(F.lit("S"), F.col("l_suppkey").cast("string")))
     rank = F.when(kind == 1, F.col("l_partkey"))
-    score = F.when(F.col("l_linenumber") % 2 == 0, F.col("l_quantity").cast("string")).otherwise("n/a")
+    score = F.when(F.col("l_returnflag") != "N", F.col("l_quantity").cast("string")).otherwise("n/a")
     shown = views.table(spark, d, "lineitem").select(
         "l_orderkey",
         fn.display_label(F.lit(None), team, rank).alias("label"),
