@@ -174,8 +174,10 @@ def exact_medians(
 ) -> DataFrame:
     """Exact median per group: the middle value, or the mean of the two middle ones.
 
-    Picked from running counts, so no group is buffered as a whole.
+    Picked from running counts, so no large group is buffered as a whole.
     """
+    if fits_one_task(long):
+        return long.groupBy(*group).agg(F.median(value).alias("median"))
     placed = value_ranks(long, group, value, width, total="_n")
     last = F.col("before") + F.col("ties")
 
