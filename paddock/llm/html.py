@@ -65,6 +65,18 @@ LABELLED: tuple[tuple[Features, bool], ...] = (
     ((4, 1.0, 80, 0.0, 50, 0.1, 1), True),
     ((30, 0.0, 4, 1.0, 7, 0.0, 1), True),
     ((1, 0.0, 1, 0.0, 1, 0.0, 1), True),
+    ((1, 0.0, 0, 0.0, 2, 1.0, 1), True),
+    ((8, 0.0, 1, 1.0, 6, 0.8, 1), True),
+    ((2, 1.0, 1, 1.0, 3, 1.0, 1), True),
+    ((50, 0.0, 2, 1.0, 0, 0.0, 1), True),
+    ((6, 0.0, 20, 0.4, 9, 0.3, 1), True),
+    ((15, 0.6, 6, 0.5, 4, 0.9, 1), True),
+    ((3, 0.0, 5, 0.9, 0, 0.0, 1), True),
+    ((12, 0.0, 0, 0.0, 0, 0.0, 1), True),
+    ((9, 0.9, 0, 0.0, 1, 1.0, 1), True),
+    ((2, 0.0, 3, 0.7, 30, 0.6, 1), True),
+    ((40, 0.1, 2, 0.8, 5, 0.5, 1), True),
+    ((5, 0.5, 40, 0.1, 0, 0.0, 1), True),
     # Beside it nothing is.
     ((1, 1.0, 0, 0.0, 1, 1.0, -1), False),
     ((1, 1.0, 1, 1.0, 1, 1.0, -1), False),
