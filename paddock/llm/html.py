@@ -88,6 +88,16 @@ LABELLED: tuple[tuple[Features, bool], ...] = (
     ((25, 0.0, 90, 0.0, 10, 0.0, -1), False),
     ((6, 0.0, 12, 0.0, 40, 0.0, -1), False),
     ((60, 0.0, 70, 0.0, 80, 0.0, -1), False),
+    ((70, 0.0, 60, 0.0, 0, 0.0, -1), False),
+    ((80, 0.0, 5, 0.0, 20, 0.1, -1), False),
+    ((35, 0.0, 80, 0.0, 35, 0.0, -1), False),
+    ((120, 0.0, 40, 0.2, 100, 0.0, -1), False),
+    ((55, 0.3, 120, 0.0, 65, 0.0, -1), False),
+    ((38, 0.0, 25, 0.0, 44, 0.0, -1), False),
+    ((5, 0.0, 38, 0.0, 150, 0.0, -1), False),
+    ((9, 1.0, 22, 0.0, 48, 0.0, -1), False),
+    ((200, 0.0, 2, 0.0, 3, 0.0, -1), False),
+    ((64, 0.1, 33, 0.0, 1, 1.0, -1), False),
     # Pages without marks: long blocks with few links, and short ones between them.
     ((80, 0.0, 9, 0.0, 60, 0.0, 0), True),
     ((60, 0.05, 80, 0.0, 45, 0.0, 0), True),
@@ -100,7 +110,19 @@ LABELLED: tuple[tuple[Features, bool], ...] = (
     ((7, 0.0, 60, 0.0, 55, 0.0, 0), True),
     ((3, 0.0, 50, 0.0, 40, 0.0, 0), True),
     ((2, 0.0, 40, 0.0, 38, 0.0, 0), True),
+    ((50, 0.0, 60, 0.0, 0, 0.0, 0), True),
+    ((40, 0.0, 30, 0.0, 3, 1.0, 0), True),
+    ((34, 0.1, 40, 0.0, 2, 0.5, 0), True),
+    ((65, 0.0, 2, 1.0, 4, 0.0, 0), True),
+    ((28, 0.0, 0, 0.0, 6, 0.0, 0), True),
+    ((90, 0.05, 3, 1.0, 8, 0.9, 0), True),
     # And what surrounds them.
+    ((2, 1.0, 1, 1.0, 70, 0.0, 0), False),
+    ((1, 1.0, 2, 1.0, 9, 0.0, 0), False),
+    ((3, 0.0, 5, 1.0, 5, 0.0, 0), False),
+    ((4, 0.0, 2, 0.0, 6, 0.0, 0), False),
+    ((6, 0.0, 4, 0.0, 7, 0.0, 0), False),
+    ((5, 1.0, 4, 1.0, 60, 0.0, 0), False),
     ((2, 1.0, 1, 1.0, 2, 1.0, 0), False),
     ((3, 1.0, 2, 1.0, 4, 0.9, 0), False),
     ((15, 0.9, 3, 1.0, 20, 0.95, 0), False),
