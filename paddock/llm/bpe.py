@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,6 +22,8 @@ from paddock.llm.texts import CACHE_ENTRIES, chunks, rows_of, small_batches, wor
 
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _NEVER = 1 << 60
+#: Stands before the first token.
+_START = 1 << 30
 
 
 class Vocabulary:
@@ -33,7 +35,14 @@ class Vocabulary:
         self.longest = max(map(len, ranks), default=0)
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._spines: dict[tuple[int, int], list[tuple[bytes, int]]] = {}
-        self._follows: dict[tuple[int, int], bool] = {}
+        self._follows: dict[int, bool] = {}
+        import ahocorasick
+
+        # All tokens that end at a byte, the longest first; a byte is a character of the automaton.
+        self.ending = ahocorasick.Automaton()
+        for data, rank in ranks.items():
+            self.ending.add_word(data.decode("latin-1"), (rank, len(data)))
+        self.ending.make_automaton()
 
     @classmethod
     def read(cls, path: str) -> Vocabulary:
@@ -79,28 +88,65 @@ class Vocabulary:
         return self._spines[key]
 
     def follows(self, left: int, right: int) -> bool:
-        """Whether the two tokens stay apart when their bytes are merged together.
+        """Whether the two tokens stay apart when their bytes are merged together; ``left`` may be the start.
 
         They don't if some token at the right end of ``left`` and some token at
         the left end of ``right`` merge while both exist.  Of equal merges the
         leftmost comes first.
         """
-        key = (left, right)
+        key = left << 32 | right
         known = self._follows.get(key)
         if known is None:
             ranks, ends = self.ranks, self.spine(right, 0)
-            known = True
-            for a, a_until in self.spine(left, 1):
+            known = left != _START or self.made(right)
+            for a, a_until in self.spine(left, 1) if left != _START else ():
                 for b, b_until in ends:
                     rank = ranks.get(a + b)
                     if rank is not None and rank < a_until and rank <= b_until:
                         known = False
-            if len(self._follows) > 4 * CACHE_ENTRIES:
+            if len(self._follows) > 2 * CACHE_ENTRIES:
                 self._follows.clear()
             self._follows[key] = known
         return known
 
 
+    def extend(self, data: bytes, last: list[int]) -> None:
+        """Add to ``last`` the last tokens of the prefixes of ``data`` that it lacks."""
+        follows, known, add = self.follows, self._follows.get, last.append
+        reached, n = len(last), len(data)
+        start = max(0, reached - self.longest)
+        for at, (token, size) in self.ending.iter(data[start:].decode("latin-1")):
+            end = start + at + 1
+            if end <= reached:  # known before, or found by a longer token
+                continue
+            before = last[end - size - 1] if size < end else _START
+            fits = known(before << 32 | token)
+            if fits is None:
+                fits = follows(before, token)
+            if fits:
+                if end != reached + 1:
+                    break
+                add(token)
+                reached = end
+        if reached != n:
+            raise ValueError(f"no token for byte {data[reached]}: the vocabulary lacks it")
+
+    def walk(self, last: list[int]) -> list[int]:
+        """The ids that the last tokens of all prefixes lead to."""
+        out, end, tokens = [], len(last), self.tokens
+        while end:
+            token = last[end - 1]
+            out.append(token)
+            end -= len(tokens[token])
+        out.reverse()
+        return out
+
+    def encode(self, data: bytes) -> list[int]:
+        last: list[int] = []
+        self.extend(data, last)
+        return self.walk(last)
+
+
 class PrefixEncoding:
     """The encoding of a byte string that can grow and change."""
 
@@ -110,27 +156,8 @@ class PrefixEncoding:
 
     def append(self, more: bytes) -> None:
         """Add bytes at the end; entries of earlier prefixes stay as they are."""
-        v, last = self.vocabulary, self.last
-        ranks, longest, follows, known = v.ranks, v.longest, v.follows, v._follows
-        done, self.data = len(self.data), self.data + more
-        data = self.data
-        for end in range(done + 1, len(data) + 1):
-            for start in range(max(0, end - longest), end):
-                token = ranks.get(data[start:end])
-                if token is None:
-                    continue
-                if start:
-                    before = last[start - 1]
-                    fits = known.get((before, token))
-                    if fits is None:
-                        fits = follows(before, token)
-                else:
-                    fits = v.made(token)
-                if fits:
-                    last.append(token)
-                    break
-            else:
-                raise ValueError(f"no token for byte {data[end - 1]}: the vocabulary lacks it")
+        self.data += more
+        self.vocabulary.extend(self.data, self.last)
 
     def replace(self, start: int, end: int, new: bytes) -> None:
         """Put ``new`` in place of bytes ``start`` to ``end``; only prefixes that reach beyond ``start`` change."""
@@ -139,12 +166,7 @@ class PrefixEncoding:
         self.append(rest)
 
     def ids(self) -> list[int]:
-        out, end, tokens = [], len(self.data), self.vocabulary.tokens
-        while end:
-            token = self.last[end - 1]
-            out.append(token)
-            end -= len(tokens[token])
-        return out[::-1]
+        return self.vocabulary.walk(self.last)
 
 
 class TextEncoder:
@@ -154,47 +176,63 @@ class TextEncoder:
         import regex
 
         self.vocabulary, self.find = vocabulary, regex.compile(pattern).findall
+        self.decimal = {i: str(i) for i in vocabulary.tokens}
         self.matches: dict[str, list[int]] = {}
         self.first: dict[str, tuple[int, str, bytes]] = {}
         self.later: dict[str, tuple[int, str, bytes]] = {}
 
-    def match_ids(self, match: str) -> list[int]:
-        found = self.matches.get(match)
-        if found is None:
-            data = match.encode()
-            # A match that is a token as a whole gives that token, as in the library to agree with.
-            whole = self.vocabulary.ranks.get(data)
-            found = [whole] if whole is not None else PrefixEncoding(self.vocabulary, data).ids()
-            if len(self.matches) >= CACHE_ENTRIES:
-                self.matches.clear()
-            if len(match) < 64:
-                self.matches[match] = found
-        return found
-
     def ids(self, text: str) -> list[int]:
-        return [i for m in self.find(text) for i in self.match_ids(m)]
+        self._learn_matches(found := self.find(text))
+        return [i for m in found for i in self.matches[m]]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.vocabulary.tokens[i] for i in ids])
 
-    def _chunk(self, chunk: str, cache: dict, lead: str) -> tuple[int, str, bytes]:
-        found = cache.get(chunk)
-        if found is None:
-            ids = self.ids(lead + chunk)
-            found = (len(ids), " ".join(map(str, ids)), self.decode(ids))
-            if len(cache) >= CACHE_ENTRIES:
+    def _learn_matches(self, found: Iterable[str]) -> None:
+        """Encode the matches not met before; in sorted order, so that each appends to what it shares with the last."""
+        ranks, v, last, before = self.vocabulary.ranks, self.vocabulary, [], b""
+        for data, match in sorted([(m.encode(), m) for m in set(found) if m not in self.matches]):
+            # A match that is a token as a whole gives that token, as in the library to agree with.
+            whole = ranks.get(data)
+            if whole is not None:
+                self.matches[match] = [whole]
+                continue
+            same = 0
+            for x, y in zip(before, data):
+                if x != y:
+                    break
+                same += 1
+            del last[same:]
+            v.extend(data, last)
+            before = data
+            self.matches[match] = v.walk(last)
+
+    def _learn(self, new: list[tuple[dict, str, str]]) -> None:
+        """Fill caches for chunks (cache, chunk, lead) not met before."""
+        cut = [self.find(lead + chunk) for _, chunk, lead in new]
+        self._learn_matches([m for found in cut for m in found])
+        decimal, matches = self.decimal, self.matches
+        for (cache, chunk, _), found in zip(new, cut):
+            ids = [i for m in found for i in matches[m]]
+            cache[chunk] = (len(ids), " ".join([decimal[i] for i in ids]), self.decode(ids))
+
+    def encoded(self, texts: list[str]) -> list[list[tuple[int, str, bytes]]]:
+        """Of each chunk of each text: number of ids, ids as decimal text, bytes decoded from them."""
+        for cache in (self.matches, self.first, self.later):
+            if len(cache) > CACHE_ENTRIES:
                 cache.clear()
-            if len(chunk) < 64:
-                cache[chunk] = found
-        return found
-
-    def encoded(self, text: str) -> list[tuple[int, str, bytes]]:
-        """Of each chunk: number of ids, ids as decimal text, bytes decoded from them."""
-        if not text:
-            return []
-        head, *rest = chunks(text)
-        later, chunk = self.later, self._chunk
-        return [chunk(head, self.first, ""), *[later.get(c) or chunk(c, later, " ") for c in rest]]
+        cut = [chunks(t) if t else [] for t in texts]
+        first, later = self.first, self.later
+        new = [(first, c, "") for c in {c[0] for c in cut if c} - first.keys()]
+        new += [(later, x, " ") for x in {x for c in cut for x in c[1:] if x not in later}]
+        self._learn(new)
+        out = [[first[c[0]], *[later[x] for x in c[1:]]] if c else [] for c in cut]
+        for cache, chunk, _ in new:
+            if len(chunk) >= 64:  # seldom met again, and of any size
+                del cache[chunk]
+        for match in [m for m in self.matches if len(m) >= 64]:
+            del self.matches[match]
+        return out
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -211,8 +249,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         encoder = worker_cache(f"bpe {path} {pattern}", lambda: TextEncoder(Vocabulary.read(path), pattern))
         for rows in rows_of(batches, "doc_id", "text"):
             out = []
-            for doc_id, text in rows:
-                parts = encoder.encoded(text or "")
+            for (doc_id, _), parts in zip(rows, encoder.encoded([text or "" for _, text in rows])):
                 ids, decoded = hashlib.sha256(" ".join([p[1] for p in parts]).encode()), hashlib.sha256()
                 decoded.update(b"".join([p[2] for p in parts]))
                 out.append((doc_id, sum([p[0] for p in parts]), ids.hexdigest(), decoded.hexdigest()))
