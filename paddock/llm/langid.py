@@ -50,6 +50,22 @@ class Model:
     def __init__(self, langs: list[str], pieces: list[str], table: np.ndarray):
         self.langs, self.index = langs, {p: i for i, p in enumerate(pieces)}
         self.table = np.vstack([table, np.full((1, max(1, len(langs))), UNKNOWN)])
+        self.sizes = np.array([*map(len, pieces), 1])
+        self._finder = None
+
+    def finder(self):
+        """An automaton that finds all pieces in a string; built where it is used, as it doesn't travel."""
+        if self._finder is None:
+            import ahocorasick
+
+            self._finder = ahocorasick.Automaton()
+            for piece, i in self.index.items():
+                self._finder.add_word(piece, i)
+            self._finder.make_automaton()
+        return self._finder
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_finder": None}
 
 
 def vocabulary(path: str) -> list[str]:
@@ -69,25 +85,29 @@ def text_words(text: str) -> list[str]:
     return found
 
 
-def arcs(words: Sequence[str], index: dict[str, int]) -> list[tuple[np.ndarray, ...]]:
+def arcs(words: Sequence[str], model: Model) -> list[tuple[np.ndarray, ...]]:
     """For each start, the pieces that occur there in the marked words: numbers of word, end and piece.
 
     A letter that no piece covers is an arc of its own, with the last row of the model's table.
     """
-    unknown, get = len(index), index.get
-    by_start: list[list[tuple[int, int, int]]] = [[] for _ in range(LONGEST_WORD + 1)]
-    for w, word in enumerate(words):
-        marked = WORD_START + word
-        n = len(marked)
-        for start in range(n):
-            held = by_start[start]
-            for end in range(start + 1, min(n, start + LONGEST_PIECE) + 1):
-                piece = get(marked[start:end])
-                if piece is not None:
-                    held.append((w, end, piece))
-                elif end == start + 1:
-                    held.append((w, end, unknown))
-    return [tuple(np.array(x, np.int64).reshape(-1, 3).T) for x in by_start]
+    marked = [WORD_START + w for w in words]
+    sizes = np.array([len(w) for w in marked])
+    begins = np.cumsum(sizes + 1) - (sizes + 1)
+    # One pass over all words; no piece holds the mark between them.
+    found = np.fromiter((x for at, piece in model.finder().iter("\n".join(marked)) for x in (at, piece)), np.int64).reshape(-1, 2)
+    last, piece = found[:, 0], found[:, 1]
+    covered = np.zeros(int(sizes.sum()) + len(words), bool)
+    covered[last[model.sizes[piece] == 1]] = True
+    covered[begins[1:] - 1] = True
+    bare = np.flatnonzero(~covered[: len(covered) - 1])
+    last, piece = np.concatenate([last, bare]), np.concatenate([piece, np.full(len(bare), len(model.index))])
+    w = np.searchsorted(begins, last, "right") - 1
+    end = last - begins[w] + 1
+    start = end - model.sizes[piece]
+    order = np.argsort(start, kind="stable")
+    w, end, piece, start = w[order], end[order], piece[order], start[order]
+    cuts = np.searchsorted(start, np.arange(LONGEST_WORD + 2))
+    return [(w[a:b], end[a:b], piece[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
 def forward(words: Sequence[str], model: Model) -> np.ndarray:
@@ -98,7 +118,7 @@ def forward(words: Sequence[str], model: Model) -> np.ndarray:
         ends = np.array([len(w) + 1 for w in block])
         sums = np.zeros((len(block), LONGEST_WORD + 2, model.table.shape[1]))
         sums[:, 0] = 1.0
-        for start, (w, end, piece) in enumerate(arcs(block, model.index)):
+        for start, (w, end, piece) in enumerate(arcs(block, model)):
             # A word has one arc at most from here to each end, so no place is met twice.
             sums[w, end] += sums[w, start] * model.table[piece]
         out[low : low + BLOCK_WORDS] = np.log(sums[np.arange(len(block)), ends])
@@ -114,7 +134,7 @@ def expected_uses(words: Sequence[str], langs: np.ndarray, counts: np.ndarray, m
         rows, ends = np.arange(len(block)), np.array([len(w) + 1 for w in block])
         ahead, behind = np.zeros((2, len(block), LONGEST_WORD + 2))
         ahead[:, 0] = behind[rows, ends] = 1.0
-        found = arcs(block, model.index)
+        found = arcs(block, model)
         for start, (w, end, piece) in enumerate(found):
             ahead[w, end] += ahead[w, start] * model.table[piece, lang[w]]
         for start in reversed(range(len(found))):
