@@ -123,6 +123,12 @@ LABELLED: tuple[tuple[Features, bool], ...] = (
     ((4, 0.0, 2, 0.0, 6, 0.0, 0), False),
     ((6, 0.0, 4, 0.0, 7, 0.0, 0), False),
     ((5, 1.0, 4, 1.0, 60, 0.0, 0), False),
+    ((1, 1.0, 70, 0.0, 0, 0.0, 0), False),
+    ((2, 1.0, 60, 0.0, 3, 1.0, 0), False),
+    ((3, 0.7, 50, 0.1, 2, 0.0, 0), False),
+    ((4, 1.0, 35, 0.0, 9, 0.0, 0), False),
+    ((4, 0.0, 55, 0.0, 0, 0.0, 0), False),
+    ((6, 0.0, 80, 0.0, 2, 1.0, 0), False),
     ((2, 1.0, 1, 1.0, 2, 1.0, 0), False),
     ((3, 1.0, 2, 1.0, 4, 0.9, 0), False),
     ((15, 0.9, 3, 1.0, 20, 0.95, 0), False),

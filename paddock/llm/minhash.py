@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paddock.llm.components import components
-from paddock.llm.texts import CACHE_ENTRIES, small_batches, stage, words, worker_cache
+from paddock.llm.texts import CACHE_ENTRIES, fresh, small_batches, stage, words, worker_cache
 
 #: 40 bands of 5: a pair of similarity 0.8 shares none with probability 1.3e-7.
 BANDS, ROWS = 40, 5
@@ -285,5 +285,6 @@ def keep_first(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     Repeated rows of one doc_id with different texts stay together; equal rows stay as often as they occur.
     Rows without doc_id are judged by none and stay.
     """
-    gone = near_duplicates(docs, n, percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    (name,) = fresh(docs, "_gone")
+    gone = near_duplicates(docs, n, percent).where("NOT kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paddock.llm.texts import stage
+from paddock.llm.texts import fresh, stage
 
 #: Target shares are proportional to the source's characters to this power, unless weights are given.
 TEMPERATURE = 0.5
@@ -35,21 +35,22 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, temperature:
 
     ``weights`` (source, weight) states target shares up to a factor; sources
     it doesn't name get none.  Without it shares follow ``temperature``.  A
-    source without characters has rate 1: its documents carry no weight.
+    source without characters has rate 1 if it takes part: its documents carry no weight.
     """
     # Two steps, so that a hot source is added up in many tasks first.
     held = F.length(F.coalesce(F.col("text"), F.lit(""))).cast("long")
     sizes = docs.groupBy("source").agg(F.sum(held).alias("chars"))
     if weights is None:
-        targets = sizes.withColumn("_weight", F.pow(F.col("chars").cast("double"), F.lit(temperature)))
+        targets = sizes.withColumns({"_weight": F.pow(F.col("chars").cast("double"), F.lit(temperature)), "_plain": F.lit(1.0)})
     else:
         named = weights.groupBy(F.col("source").alias("_source")).agg(F.sum("weight").cast("double").alias("_weight"))
         targets = sizes.join(named, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-        targets = targets.withColumn("_weight", F.when(F.col("chars") > 0, F.coalesce(F.col("_weight"), F.lit(0.0))).otherwise(0.0))
+        weight = F.coalesce("_weight", F.lit(0.0))
+        targets = targets.withColumns({"_weight": F.when(F.col("chars") > 0, weight).otherwise(0.0), "_plain": F.when(weight > 0, 1.0).otherwise(0.0)})
     targets = stage(targets, "targets")
     all_chars, weights_sum = targets.agg(F.sum("chars")).scalar(), targets.agg(F.sum("_weight")).scalar()
     rate = F.col("_weight") / F.nullif(weights_sum, F.lit(0.0)) * all_chars / F.nullif(F.col("chars"), F.lit(0))
-    rate = F.when(F.col("chars") > 0, F.coalesce(rate, F.lit(0.0))).otherwise(1.0)
+    rate = F.when(F.col("chars") > 0, F.coalesce(rate, F.lit(0.0))).otherwise(F.col("_plain"))
     too_often = F.raise_error(F.lit(f"a rate above {MOST_COPIES:g} copies of a document"))
     rate = F.when(rate > MOST_COPIES, too_often.cast("double")).otherwise(rate)
     return targets.select("source", "chars", rate.alias("rate"))
@@ -85,21 +86,21 @@ def mix(
 
     Rows with the same doc_id and source are replicated alike; rows of a null
     doc_id share one number.  Sources with rate 0 and empty tables give no
-    rows.  Columns named ``copy``, ``rate`` or ``shuffle_key`` in ``docs`` give
-    way to those of the mix.
+    rows.  Columns named ``copy`` or ``shuffle_key`` in ``docs`` give way to those
+    of the mix.
     """
-    docs = docs.drop("copy", "rate", "shuffle_key")
-    spark = docs.sparkSession
+    docs = docs.drop("copy", "shuffle_key")
+    named, rate, count = fresh(docs, "_source", "_rate", "_count")
     # Written, so that its real size decides on a broadcast; sources may be many.
-    rates = stage(source_rates(docs, weights, temperature).withColumnRenamed("source", "_source"), "rates")
-    u = hashed(F.lit(f"{seed}:count"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) / F.lit(float(1 << _BITS))
-    rated = docs.join(rates.select("_source", "rate"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    drawn = rated.withColumn("_n", copies(F.col("rate"), u)).where(F.col("_n") > 0)
-    out = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).withColumn(
-        "shuffle_key",
-        hashed(F.lit(f"{seed}:place"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string")),
+    rates = stage(source_rates(docs, weights, temperature), "rates").select(F.col("source").alias(named), F.col("rate").alias(rate))
+    doc_id = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    u = hashed(F.lit(f"{seed}:count"), doc_id) / F.lit(float(1 << _BITS))
+    rated = docs.join(rates, F.col("source").eqNullSafe(F.col(named)))
+    drawn = rated.withColumn(count, copies(F.col(rate), u)).where(F.col(count) > 0)
+    out = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(count)))).withColumn(
+        "shuffle_key", hashed(F.lit(f"{seed}:place"), doc_id, F.col("copy").cast("string"))
     )
-    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return (
         out.select(*docs.columns, F.col("copy").cast("long"), "shuffle_key")
         .repartition(parts, "shuffle_key")

@@ -68,7 +68,7 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     words = F.filter(F.split(F.col("_body"), _SPACE), lambda w: w != "")
     lines = F.filter(F.split(F.col("_body"), "\n"), lambda x: F.regexp_replace(x, _SPACE, "") != "")
     count = lambda pattern: (F.length("_body") - F.length(F.regexp_replace("_body", pattern, ""))).cast("long")
-    base = docs.select(*given, body.alias("_body")).select("*", words.alias("_words"), lines.alias("_lines"))
+    base = docs.select(F.struct(*given).alias("_row"), body.alias("_body")).select("*", words.alias("_words"), lines.alias("_lines"))
     # Windows as 64-bit hashes; a text without equal ones, that is nearly every text, needs no more than this.
     windows = F.when(
         F.size("_words") >= WINDOW,
@@ -90,7 +90,7 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     places = F.array_sort(F.array_distinct(F.flatten(F.filter(alike, lambda x: x.isNotNull()))))
     found = marked.withColumn("_places", F.when(F.col("_sorted").isNotNull(), places))
     return found.select(
-        *given,
+        "_row.*",
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.regexp_replace("_body", _SPACE, "")).cast("long").alias("word_chars"),
         count(r"[#*$%&|<>]").alias("n_symbols"),

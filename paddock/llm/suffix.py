@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paddock.llm.texts import small_batches, stage, worker_cache
+from paddock.llm.texts import fresh, small_batches, stage, worker_cache
 
 LENGTH = 200
 #: Bytes of a substring that can be a minimizer.
@@ -327,18 +327,19 @@ def _cut(text: str | None, pieces: list[dict] | None, length: int) -> tuple[byte
 
 
 def _with_spans(docs: DataFrame, length: int, seed: int) -> DataFrame:
-    """The rows of ``docs`` (structs ``row`` with ``text``) with the pieces of their text, null if it has no repeats."""
+    """``docs`` with the pieces of their texts in a last column, null if a text has no repeats."""
+    k1, k2, last = fresh(docs, "_t1", "_t2", "_pieces")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both = [_text_key((t or "").encode()) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             t1, t2 = ([k[i] for k in both] for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(t1, pa.int64()), pa.array(t2, pa.int64())], [*batch.schema.names, "_t1", "_t2"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(t1, pa.int64()), pa.array(t2, pa.int64())], [*batch.schema.names, k1, k2])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    keyed = docs.mapInArrow(keys, f"{schema}, _t1 long, _t2 long")
-    spans = repeated_spans(docs, length, seed).select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("pieces").alias("_pieces"))
-    return keyed.join(spans, ["_t1", "_t2"], "left").drop("_t1", "_t2")
+    keyed = docs.mapInArrow(keys, f"{schema}, `{k1}` long, `{k2}` long")
+    spans = repeated_spans(docs, length, seed).select(F.col("t1").alias(k1), F.col("t2").alias(k2), F.col("pieces").alias(last))
+    return keyed.join(spans, [k1, k2], "left").drop(k1, k2)
 
 
 def removal_report(docs: DataFrame, length: int = LENGTH, seed: int = SEED_BYTES) -> DataFrame:
@@ -369,7 +370,6 @@ def removal_report(docs: DataFrame, length: int = LENGTH, seed: int = SEED_BYTES
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return (
         _with_spans(slim, length, seed)
-        .select("doc_id", "text", "_pieces")
         .mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     )
 
@@ -401,7 +401,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED_BYTE
             columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns[:-1])]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
 
-    spans = _with_spans(docs, length, seed).select(*docs.columns, "_pieces")
+    spans = _with_spans(docs, length, seed)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     out = spans.mapInArrow(run, schema)
     if "n_chars" not in docs.columns:

@@ -94,6 +94,8 @@ def _compared(buckets: DataFrame, least: float) -> DataFrame:
             np.add.at(links, j[first], n[i[first]])
             a.append(i)
             b.append(j)
+        if not a:
+            return []
         i, j = np.concatenate(a), np.concatenate(b)
         while True:  # smallest label of the neighbours, then of the label's label
             before = root.copy()
