@@ -7,8 +7,9 @@ for similar documents.  Candidates whose sketches are far apart go; the rest
 are confirmed on their full sets of shingles.
 
 Only links between components matter, so a bucket's documents are first linked
-to its smallest one, and only what remains apart is compared further: first
-each document with those whose sketches are closest, then all that is left.
+to its smallest one, and only what remains apart is compared further: by
+sketches, block by block, and then the documents with close sketches exactly.
+What leaves a task is linear in the documents it got.
 """
 
 from __future__ import annotations
@@ -26,10 +27,8 @@ from paddock.llm.texts import CACHE_ENTRIES, fresh, small_batches, stage, words,
 #: 40 bands of 5: a pair of similarity 0.8 shares none with probability 1.3e-7.
 BANDS, ROWS = 40, 5
 SKETCH_BITS = 512
-#: Sketches further apart than a similarity of this suggests are no candidates: 7 standard deviations below 0.8.
+#: Sketches further apart than a similarity of this suggests are no candidates: 6 standard deviations below 0.8.
 SKETCH_LEAST = 0.60
-#: Closest partners by sketch that a document is compared with before all others.
-CLOSEST = 4
 #: Documents of one bucket that one task compares with as many others.
 BLOCK = 512
 _SEED = 20240229
@@ -176,47 +175,94 @@ def _apart(shared: DataFrame, roots: DataFrame) -> DataFrame:
     return member.join(split, "key")
 
 
-def _rest(members: DataFrame, sketches: DataFrame, closest: int | None) -> DataFrame:
-    """Pairs of one bucket but of different components whose sketches are close.
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[list]]]:
+    """Rows that follow each other with the same first ``keys`` columns, as lists of their other columns."""
+    group, rows = None, []
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns]):
+            if row[:keys] != group:
+                if rows:
+                    yield group, rows
+                group, rows = row[:keys], []
+            rows.append(row[keys:])
+    if rows:
+        yield group, rows
+
+
+def _suspects(members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(k, i, j, left, right, cid, root): documents of a bucket with a document of another component and a close sketch.
 
     ``members``: (key, cid, root) of the buckets that hold several components.
-    A bucket is cut into blocks, and each task compares two of them.  With
-    ``closest``, a document gets so many partners at most from each comparison.
+    A bucket is cut into blocks, and each task compares two of them.
     """
     sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     placed = members.join(sizes, "key").join(sketches, "cid").withColumn("mine", mine)
     paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        F.col("key").alias("k"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).alias("left"), (F.col("mine") >= F.col("other")).alias("right"), "cid", "root", "sketch"
-    )
+        F.col("key").alias("k"),
+        F.least("mine", "other").alias("i"),
+        F.greatest("mine", "other").alias("j"),
+        (F.col("mine") <= F.col("other")).alias("left"),
+        (F.col("mine") >= F.col("other")).alias("right"),
+        "cid",
+        "root",
+        "sketch",
+    )
     limit = far_apart()
 
-    def compare(rows: list[tuple]) -> list[tuple[int, int]]:
-        cid, root = (np.array([r[c] for r in rows], np.int64) for c in (0, 1))
-        bits = np.array([r[2] for r in rows], np.int64).view(np.uint64)
-        left, right = (np.flatnonzero([r[c] for r in rows]) for c in (3, 4))
-        found = []
-        for i in left:
-            j = right[(root[right] != root[i]) & (cid[right] != cid[i])]
-            d = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1)
-            order = np.argsort(d, kind="stable")[:closest] if closest else np.arange(len(d))
-            found += [(max(int(cid[i]), int(cid[x])), min(int(cid[i]), int(cid[x]))) for x in j[order[d[order] <= limit]]]
-        return list(set(found))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, rows in _grouped(batches, 3):
+            root = np.array([r[3] for r in rows], np.int64)
+            bits = np.array([r[4] for r in rows], np.int64).view(np.uint64)
+            left, right = (np.flatnonzero([r[c] for r in rows]) for c in (0, 1))
+            close = np.zeros(len(rows), bool)
+            for x in left:
+                near = right[root[right] != root[x]]
+                near = near[np.bitwise_count(bits[near] ^ bits[x]).sum(axis=1) <= limit]
+                close[near] = True
+                close[x] |= len(near) > 0
+            if close.any():
+                out = [(*group, *rows[x][:4]) for x in np.flatnonzero(close)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["k", "i", "j", "left", "right", "cid", "root"])
+
+    ordered = paired.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
+    return ordered.mapInArrow(run, "k long, i long, j long, left boolean, right boolean, cid long, root long")
+
+
+def _confirmed_suspects(suspects: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among suspects compared in one task, as many as join their components.
+
+    All pairs of different components are compared on their full sets, but no
+    pair leaves the task unless it joins two that nothing joined before.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, rows = None, []
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in range(8)]
-            for k, i, j, left, right, cid, root, sketch in zip(*cols):
-                if (k, i, j) != group:
-                    if len(rows) > 1 and (found := compare(rows)):
-                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
-                    group, rows = (k, i, j), []
-                rows.append((cid, root, sketch, left, right))
-        if len(rows) > 1 and (found := compare(rows)):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
+        for _, rows in _grouped(batches, 3):
+            cid, root = [r[2] for r in rows], np.array([r[3] for r in rows], np.int64)
+            hashes = [np.frombuffer(r[4], np.uint64) for r in rows]
+            sizes = np.array([len(h) for h in hashes])
+            begins = np.cumsum(sizes) - sizes
+            codes = np.unique(np.concatenate(hashes), return_inverse=True)[1].astype(np.int32)
+            mark = np.zeros(int(codes.max()) + 1, np.int32)
+            right, out = np.array([r[1] for r in rows]), []
+            for x in np.flatnonzero([r[0] for r in rows]):
+                other = right & (root != root[x])
+                if not other.any():
+                    continue
+                own = codes[begins[x] : begins[x] + sizes[x]]
+                mark[own] = 1
+                both = np.add.reduceat(mark[codes], begins)
+                mark[own] = 0
+                for y in np.flatnonzero(other & (100 * both >= percent * (sizes + sizes[x] - both))):
+                    if root[x] != root[y]:
+                        root[root == root[y]] = root[x]
+                        out.append((cid[x], cid[y]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
 
-    return paired.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    ordered = suspects.join(sets, "cid").select("k", "i", "j", "left", "right", "cid", "root", "hashes")
+    ordered = ordered.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "cid")
+    return ordered.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -247,13 +293,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     full = stage(_full_sets(docs, classes.join(ends, "cid", "left_semi").select("cid", "rep", "s1"), n), "full")
     links = stage(_confirmed(tried, full, percent), "links")
     roots = components(links)
-    for closest in (CLOSEST, None):
-        apart = stage(_apart(shared, roots), "apart")
-        if apart.isEmpty():
-            break
-        more = stage(_rest(apart, sketches, closest).join(tried, ["a", "b"], "left_anti"), "tried")
-        links = links.union(stage(_confirmed(more, full, percent), "links"))
-        tried, roots = tried.union(more), components(links)
+    apart = stage(_apart(shared, roots), "apart")
+    suspects = stage(_suspects(apart, sketches), "suspects")
+    if not suspects.isEmpty():
+        roots = components(links.union(stage(_confirmed_suspects(suspects, full, percent), "links")))
     return _labelled(rows, classes, roots)
 
 
