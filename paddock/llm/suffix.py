@@ -8,13 +8,13 @@ strings, so pieces meet by minimizer, equal pieces are counted before they
 move, and a minimizer that occurs once needs no more work.
 
 Different pieces of one minimizer are sorted by their suffixes.  Each task
-takes a bounded collection of pieces and inserts one symbol of each piece in
-every round, from the last to the first.  A round reads the collection's
+takes a bounded collection of pieces and inserts one symbol of each string in
+every round, from the last to the first; a symbol is a word of some bytes.  A round reads the collection's
 Burrows-Wheeler transform and its array of common prefixes from begin to end
 and writes both with the new suffixes inserted: a suffix goes to the place that
 the transform's symbol counts give, and its common prefix with a neighbour is
 one more than the least one between the last two places of the symbol.  In the
-end a 200-byte string is repeated if its suffix shares 200 symbols with a
+end a 200-byte string is repeated if its suffix shares as much with a
 neighbour.  A minimizer with too many different pieces for one collection has
 its strings counted by hash instead, in as many tasks as they need.
 """
@@ -35,7 +35,7 @@ LENGTH = 200
 #: Bytes of a substring that can be a minimizer.
 SEED_BYTES = 64
 #: Pieces that one collection aims at; groups of one minimizer stay whole.
-COLLECTION = 256
+COLLECTION = 192
 #: Different pieces of one minimizer that a collection takes.
 MOST_PIECES = 2048
 #: Bytes of a text whose minimizers are found at once.
@@ -95,33 +95,29 @@ def ranges_to_spans(starts: np.ndarray, length: int = LENGTH) -> list[tuple[int,
 
 
 class Collection:
-    """Burrows-Wheeler transform and common prefixes of all suffixes of many strings.
+    """Burrows-Wheeler transform and common prefixes of all suffixes of many strings of symbols (from 1).
 
     ``bwt[k]`` is the symbol before the suffix at place ``k``, 0 at the start of
-    a string and else the byte plus one; ``lcp[k]`` is the common prefix of the
-    suffixes at ``k - 1`` and ``k``.  The ends of strings differ, in order of the strings.
+    a string; ``lcp[k]`` is the common prefix of the suffixes at ``k - 1`` and
+    ``k``.  The ends of strings differ, in order of the strings.
     """
 
-    def __init__(self, strings: list[bytes]):
-        m = len(strings)
-        self.sizes = np.array([len(s) for s in strings], np.int64)
-        longest = int(self.sizes.max(initial=0))
-        # Column j holds the symbol j + 1 places from the end; 0 once the string has ended.
-        columns = np.zeros((longest + 1, m), np.uint16)
-        for i, s in enumerate(strings):
-            columns[: len(s), i] = np.frombuffer(s, np.uint8)[::-1].astype(np.uint16) + 1
+    def __init__(self, columns: np.ndarray, sizes: np.ndarray):
+        """``columns[j]`` holds each string's symbol ``j + 1`` places from its end, 0 once it has ended, and a row of 0 at last."""
+        m = len(sizes)
+        self.sizes = sizes
         self.bwt, self.lcp = columns[0].copy(), np.zeros(m, np.int32)
         place = np.arange(m)
-        for j in range(1, longest + 1):
-            live = np.flatnonzero(self.sizes >= j)
+        for j in range(1, len(columns)):
+            live = np.flatnonzero(sizes >= j)
             place[live] = self._insert(place[live], columns[j][live], m)
 
     def _order(self, m: int) -> tuple[np.ndarray, np.ndarray, int]:
         """Places by (symbol, place); for each place, that of the suffix one symbol longer; how many have no symbol."""
         order = np.argsort(self.bwt, kind="stable")
         ended = int(np.count_nonzero(self.bwt == 0))
-        longer = np.empty(len(order), np.int64)
-        longer[order] = np.arange(len(order)) - ended + m
+        longer = np.empty(len(order), np.int32)
+        longer[order] = np.arange(m - ended, m - ended + len(order), dtype=np.int32)
         return order, longer, ended
 
     def _insert(self, place: np.ndarray, symbols: np.ndarray, m: int) -> np.ndarray:
@@ -150,7 +146,7 @@ class Collection:
         total = len(self.bwt) + len(place)
         old = np.ones(total, bool)
         old[at] = False
-        bwt, lcp = np.empty(total, np.uint16), np.empty(total, np.int32)
+        bwt, lcp = np.empty(total, self.bwt.dtype), np.empty(total, np.int32)
         bwt[old], lcp[old] = self.bwt, self.lcp
         bwt[at], lcp[at] = symbols, prefix[0]
         after = at + 1
@@ -159,22 +155,48 @@ class Collection:
         self.bwt, self.lcp = bwt, lcp
         return at
 
-    def repeated(self, length: int) -> list[np.ndarray]:
-        """For each string, the ascending starts of substrings of ``length`` bytes that stand at another start too."""
+    def repeated(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """String and start, in symbols, of every substring of ``length`` symbols that stands elsewhere too."""
         m = len(self.sizes)
         _, longer, _ = self._order(m)
-        shared = np.maximum(self.lcp, np.concatenate([self.lcp[1:], [0]])) >= length
-        found: list[list[int]] = [[] for _ in range(m)]
+        shared = np.maximum(self.lcp, np.append(self.lcp[1:], 0)) >= length
+        strings, starts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         place, live = np.arange(m), np.arange(m)
         for j in range(1, int(self.sizes.max(initial=0)) + 1):
             keep = self.sizes[live] >= j
             live, place = live[keep], longer[place[keep]]
             if j >= length:
-                for i in live[shared[place]]:
-                    found[i].append(int(self.sizes[i]) - j)
-        return [np.array(x[::-1], np.int64) for x in found]
+                hits = live[shared[place]]
+                strings.append(hits)
+                starts.append(self.sizes[hits] - j)
+        return np.concatenate(strings), np.concatenate(starts)
 
 
+def repeated_starts(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the piece and start of every string of ``length`` bytes that stands at another place too, in order.
+
+    A symbol is a word of ``k`` bytes, where ``k`` divides the length, and a
+    piece makes ``k`` strings, one for each place its words can begin at: as
+    many suffixes as it has bytes, in a ``k``-th of the rounds.
+    """
+    k = next(x for x in (8, 4, 2, 1) if length % x == 0)
+    data = np.frombuffer(b"".join(pieces) + bytes(k), np.uint8)
+    words = np.zeros(len(data) - k + 1, np.uint64)
+    for i in range(k):
+        words |= data[i : len(words) + i].astype(np.uint64) << np.uint64(8 * i)
+    codes = np.unique(words, return_inverse=True)[1] + 1  # which word comes first doesn't matter
+    lengths = np.array([len(p) for p in pieces], np.int64)
+    begins = np.repeat(np.cumsum(lengths) - lengths, k) + np.tile(np.arange(k), len(pieces))
+    sizes = np.maximum(0, (np.repeat(lengths, k) - np.tile(np.arange(k), len(pieces))) // k)
+    back = np.arange(int(sizes.max(initial=0)) + 1)[:, None]
+    inside = back < sizes
+    columns = np.where(inside, codes[np.where(inside, begins + k * (sizes - 1 - back), 0)], 0)
+    columns = columns.astype(np.uint16 if codes.max(initial=0) < 65_536 else np.uint32)
+    string, start = Collection(columns, sizes).repeated(length // k)
+    piece, start = string // k, string % k + k * start
+    order = np.lexsort((start, piece))
+    return piece[order], start[order]
+
 _PIECES = "t1 long, t2 long, h long, g long, a long, n int"
 
 
@@ -253,13 +275,17 @@ def _sorted_collections(pieces: DataFrame, length: int) -> DataFrame:
         held: list[tuple[int, int, bytes]] = []
 
         def out():
-            found = Collection([x[2] for x in held]).repeated(length)
-            rows = [(h, g, s.tolist()) for (h, g, _), s in zip(held, found) if len(s)]
-            held.clear()
-            if rows:
+            piece, start = repeated_starts([x[2] for x in held], length)
+            found, first = np.unique(piece, return_index=True)
+            if len(found):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.list_(pa.int32())))], ["h", "g", "starts"]
+                    [
+                        *[pa.array([held[i][c] for i in found], pa.int64()) for c in (0, 1)],
+                        pa.ListArray.from_arrays(np.append(first, len(piece)).astype(np.int32), start.astype(np.int32)),
+                    ],
+                    ["h", "g", "starts"],
                 )
+            held.clear()
 
         for batch in batches:
             for h, g, data in zip(*[batch.column(i).to_pylist() for i in range(3)]):
@@ -316,14 +342,25 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED_BYTES
     return found.groupBy("t1", "t2").agg(F.collect_set("p").alias("pieces"))
 
 
-def _cut(text: str | None, pieces: list[dict] | None, length: int) -> tuple[bytes, list[tuple[int, int]]]:
-    data = (text or "").encode()
-    if not pieces:
-        return data, []
-    starts = [
-        np.arange(p["a"], p["a"] + p["n"]) if p["starts"] is None else np.array(p["starts"], np.int64) + p["a"] for p in pieces
-    ]
-    return data, ranges_to_spans(np.unique(np.concatenate(starts)), length)
+def _repeated(pieces: pa.ListArray, length: int) -> list[list[tuple[int, int]]]:
+    """For each row of a batch the runs of repeated bytes; ``pieces``: lists of (a, n, starts)."""
+    flat = pieces.flatten()
+    row = np.repeat(np.arange(len(pieces)), np.diff(pieces.offsets.to_numpy()) * pieces.is_valid().to_numpy(zero_copy_only=False))
+    a, n, lists = (flat.field(i) for i in range(3))
+    a, n = a.to_numpy(), n.to_numpy().astype(np.int64)
+    whole = lists.is_null().to_numpy(zero_copy_only=False)
+    some = lists.filter(pa.array(~whole))
+    size = np.diff(some.offsets.to_numpy())
+    first = np.cumsum(n[whole]) - n[whole]
+    starts = np.concatenate([
+        np.arange(int(n[whole].sum())) - np.repeat(first - a[whole], n[whole]),
+        some.flatten().to_numpy().astype(np.int64) + np.repeat(a[~whole], size),
+    ])
+    rows = np.concatenate([np.repeat(row[whole], n[whole]), np.repeat(row[~whole], size)])
+    order = np.lexsort((starts, rows))
+    rows, starts = rows[order], starts[order]
+    cuts = np.searchsorted(rows, np.arange(len(pieces) + 1))
+    return [ranges_to_spans(starts[x:y], length) for x, y in zip(cuts, cuts[1:])]
 
 
 def _with_spans(docs: DataFrame, length: int, seed: int) -> DataFrame:
@@ -354,8 +391,9 @@ def removal_report(docs: DataFrame, length: int = LENGTH, seed: int = SEED_BYTES
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, text, pieces in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-                data, spans = _cut(text, pieces, length)
+            found = _repeated(batch.column(2), length)
+            for doc_id, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), found):
+                data = (text or "").encode()
                 left, at = hashlib.sha256(), 0
                 for low, high in spans:
                     left.update(data[at:low])
@@ -385,10 +423,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED_BYTE
         for batch in batches:
             at, n = batch.schema.get_field_index("text"), batch.num_columns - 1
             texts = []
-            for text, pieces in zip(batch.column(at).to_pylist(), batch.column(n).to_pylist()):
-                data, spans = _cut(text, pieces, length)
+            for text, spans in zip(batch.column(at).to_pylist(), _repeated(batch.column(n), length)):
                 if spans:
-                    parts, done = [], 0
+                    data, parts, done = text.encode(), [], 0
                     for low, high in spans:
                         while low < high and low and data[low] & 0xC0 == 0x80:  # within a character: it stays
                             low += 1
