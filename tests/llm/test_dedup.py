@@ -141,8 +141,8 @@ def test_near_vectors(spark, monkeypatch):
 @given(st.lists(st.binary(max_size=40) | st.text("ab", max_size=40).map(str.encode), min_size=1, max_size=12), st.integers(1, 9))
 def test_collections_find_all_repeats(strings, length):
     counts = Counter(s[i : i + length] for s in strings for i in range(len(s) - length + 1))
-    want = [[i for i in range(len(s) - length + 1) if counts[s[i : i + length]] > 1] for s in strings]
-    assert [x.tolist() for x in suffix.Collection(strings).repeated(length)] == want
+    want = [(n, i) for n, s in enumerate(strings) for i in range(len(s) - length + 1) if counts[s[i : i + length]] > 1]
+    assert list(zip(*(x.tolist() for x in suffix.repeated_starts(strings, length)))) == want
 
 
 def brute_removal(rows, length):
