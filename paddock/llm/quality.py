@@ -16,8 +16,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paddock.llm.texts import stage
+
 #: Labelled rows learned from at most: those with the smallest hashes of doc_id.
-TRAINING_ROWS = 10_000
+TRAINING_ROWS = 5_000
 #: Of the labelled rows, one in so many is held back for pruning.
 PRUNE_EVERY = 3
 MOST_RULES = 8
@@ -257,11 +259,15 @@ def learn_from(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) ->
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(2 * most)
     )
-    texts = docs.select("doc_id", "text").join(picked, "doc_id")
-    return learn(with_statistics(texts), most)
+    # Broadcast: two numbers for each of at most 2 * most rows.  Written: a filter on statistics that
+    # aren't columns yet would be computed from the text anew, once for each mention.
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return learn(stage(with_statistics(texts), "statistics"), most)
 
 
 def accepted(docs: DataFrame, rules: DecisionList) -> DataFrame:
     """The rows of ``docs`` that neither the base rules nor the list rejects, with their own columns."""
     wrapped = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text"))
-    return with_statistics(wrapped, "_text").where(~base_failed() & rules.rejected().isNull()).select("_row.*")
+    keep = ~base_failed() & rules.rejected().isNull()
+    # A row, or none; a filter would move below the statistics and compute them anew, once for each mention.
+    return with_statistics(wrapped, "_text").select(F.explode(F.when(keep, F.array("_row"))).alias("_row")).select("_row.*")
