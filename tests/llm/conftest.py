@@ -5,13 +5,6 @@ from pyspark.sql import functions as F
 CLASHING = "id cid n a b h g t1 t2 key keys root links rate copy kept row _row _n _gone _source _t1 _pieces n_words n_tokens shingles _body".split()
 
 
-@pytest.fixture(autouse=True)
-def shared_folder(spark, tmp_path_factory):
-    """Tests name a folder of their own only where the session has none."""
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}")
-
-
 @pytest.fixture
 def make(spark):
     def documents(rows, clashing=True):
