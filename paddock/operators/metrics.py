@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paddock.operators.ordering import AUTO, Width, first_places, with_average_rank
+from paddock.operators.ordering import first_places, with_average_rank
 
 TOP = 10
 
@@ -17,12 +17,12 @@ def mean_absolute_error(df: DataFrame, group: Sequence[str] = (), truth: str = "
 
 
 def spearman(
-    df: DataFrame, group: Sequence[str], truth: str = "target", pred: str = "pred", width: Width = AUTO
+    df: DataFrame, group: Sequence[str], truth: str = "target", pred: str = "pred"
 ) -> DataFrame:
     """Correlation of the average ranks of truth and prediction, per group."""
     both = df.where(F.col(truth).isNotNull() & F.col(pred).isNotNull())
-    ranked = with_average_rank(both, group, truth, "_truth_rank", width)
-    ranked = with_average_rank(ranked, group, pred, "_pred_rank", width)
+    ranked = with_average_rank(both, group, truth, "_truth_rank")
+    ranked = with_average_rank(ranked, group, pred, "_pred_rank")
     # Twice a rank is a whole number, so the sums are exact in any order.
     x, y = (F.col("_truth_rank") * 2).cast("decimal(19,0)"), (F.col("_pred_rank") * 2).cast("decimal(19,0)")
     sums = ranked.groupBy(*group).agg(

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paddock.functions.scalars import row_mean
-from paddock.operators.ordering import AUTO, Width, impute_medians
+from paddock.operators.ordering import impute_medians
 from paddock.operators.walkforward import (
     fit_ridge,
     fold_errors,
@@ -154,11 +154,11 @@ def best_model(board: DataFrame) -> DataFrame:
 
 
 def heuristic(
-    features: DataFrame, group: Sequence[str], columns: Sequence[str], width: Width = AUTO
+    features: DataFrame, group: Sequence[str], columns: Sequence[str]
 ) -> DataFrame:
     """Mean of the fallback columns, each filled with the median of its group; 0 without any value."""
     copies = [f"_{c}" for c in columns]
     doubled = features.withColumns({f"_{c}": F.col(c) for c in columns})
-    filled = impute_medians(doubled, group, copies, width)
+    filled = impute_medians(doubled, group, copies)
     pred = F.coalesce(row_mean([F.col(c) for c in copies]), F.lit(0.0))
     return filled.withColumn("pred", pred).drop(*copies)

@@ -1,13 +1,11 @@
 """Ranks, medians and carries that never put an unbounded group into one task.
 
 A plain ``Window.partitionBy(group)`` sorts each group in a single task, and
-one event may hold a third of all rows.  That is used only when everything the
-frame reads is no larger than one file split (``fits_one_task``).  Beyond that
-size the same exact answers come in two tiers: values are first counted
-(map-side combine), distinct values are ordered inside narrow buckets of the
-value range, and only bucket totals are accumulated per group.  The widest
-window is then bounded by the bucket width or by the number of buckets, not by
-the number of rows.
+one event may hold a third of all rows.  Here values are first counted
+(map-side combine), then dealt out in ranges of (group, value) of about equal
+size, whatever the values are; inside a range a window orders them, and only
+range totals are accumulated per group.  The answers are exact, null is a group
+like any other, and any type that can be ordered can be ranked.
 """
 
 from __future__ import annotations
@@ -18,21 +16,9 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from paddock.session import cut_lineage, fits_one_task
-
-# Bucket a key by its kind: whole numbers by a fixed span, fractions by slices of their group's range.
-AUTO = "auto"
-BUCKET_WIDTH = 65536
-BUCKET_SLICES = 4096
-MAX_FAN = 64
-
-Width = float | str | None
-
-
-def _fan(df: DataFrame) -> int:
-    return max(2, min(MAX_FAN, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+from paddock.functions.scalars import nan_to_null
+from paddock.session import cut_lineage
 
 
 def known(df: DataFrame, *cols: str) -> DataFrame:
@@ -45,30 +31,28 @@ def known(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def attach(rows: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Join one-row-per-group statistics to the rows of the groups.
+    """Join one-row-per-group statistics to the rows of the groups; null keys meet null keys.
 
-    Each statistics row is copied to ``fan`` salts and each row picks one, so a
-    hot group is spread over that many tasks.  The copies are few: statistics
-    have one row per group.  Small statistics become a broadcast at run time.
+    Small statistics become a broadcast by their size at run time; else a hot
+    group's rows are one side of a sort-merge join, which Spark splits
+    (``forceOptimizeSkewedJoin``), while its statistics are a single row.
     """
-    if fits_one_task(rows):
+    nullable = {f.name for df in (rows, stats) for f in df.schema.fields if f.nullable}
+    if not nullable.intersection(keys):
         return rows.join(stats, list(keys), how)
-    fan = _fan(rows)
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(fan)).cast("int")
-    copies = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(fan - 1))))
-    return rows.withColumn("_salt", spread).join(copies, [*keys, "_salt"], how).drop("_salt")
+    names = {k: f"_{k}_of_group" for k in keys}
+    tests = [F.col(k).eqNullSafe(F.col(names[k])) if k in nullable else F.col(k) == F.col(names[k]) for k in keys]
+    return rows.join(stats.withColumnsRenamed(names), reduce(and_, tests), how).drop(*names.values())
 
 
-def _with_bucket(counts: DataFrame, group: Sequence[str], key: str, width: float | str) -> DataFrame:
-    """Add a number that never falls as the key rises."""
-    if width == AUTO and isinstance(counts.schema[key].dataType, T.IntegralType):
-        width = BUCKET_WIDTH
-    if width != AUTO:
-        return counts.withColumn("_bucket", F.floor(F.col(key) / F.lit(width)))
-    span = counts.groupBy(*group).agg(F.min(key).alias("_low"), F.max(key).alias("_high"))
-    share = (F.col(key) - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))
-    slot = F.coalesce(F.least(F.floor(share * BUCKET_SLICES), F.lit(BUCKET_SLICES - 1)), F.lit(0))
-    return attach(counts, span, group, "inner").withColumn("_bucket", slot).drop("_low", "_high")
+def in_ranges(df: DataFrame, *by: str) -> DataFrame:
+    """The rows dealt out in ranges of the order ``by``, with the number of their range in ``_range``.
+
+    Ranges follow the sampled distribution, so outliers, infinities and gaps
+    don't matter, and equal rows share one.  They are written, as two branches
+    read them and must see the same ranges.
+    """
+    return cut_lineage(df.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()), "ranges")
 
 
 def totals_before(
@@ -76,18 +60,16 @@ def totals_before(
     group: Sequence[str],
     key: str,
     weight: str,
-    width: Width = AUTO,
     out: str = "before",
     lowest: str | None = None,
     total: str | None = None,
+    few: bool = False,
 ) -> DataFrame:
     """Sum of ``weight`` over the smaller keys of the same group.
 
-    ``counts`` holds one row per (group, key), both non-null.  ``width`` is the
-    span of key values ordered within one task, chosen by the kind of key if
-    not given; None says that the keys of a group are few (points, positions of
-    a fixed table).  The smallest key and the total weight of the group can be
-    had from the same pass.
+    ``counts`` holds one row per (group, key), the key non-null.  ``few`` says
+    that the keys of a group are few (points, positions of a fixed table).  The
+    smallest key and the total weight of the group can be had from the same pass.
     """
     zero = F.lit(0).cast("bigint")
     whole = Window.partitionBy(*group)
@@ -104,116 +86,86 @@ def totals_before(
         w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         return F.coalesce(F.sum(weight_col).over(w), zero)
 
-    if width is None:
+    if few:
         return counts.withColumns({out: running(weight, by=group, order=key), **extras(key, weight)})
-    bucketed = _with_bucket(counts, group, key, width)
+    placed = in_ranges(counts, *group, key)
+    # A group has as many rows here as ranges, which the partition setting bounds.
     offsets = (
-        bucketed.groupBy(*group, "_bucket")
+        placed.groupBy(*group, "_range")
         .agg(F.sum(weight).alias("_total"), F.min(key).alias("_lowest"))
-        .withColumns({"_offset": running("_total", by=group, order="_bucket"), **extras("_lowest", "_total")})
+        .withColumns({"_offset": running("_total", by=group, order="_range"), **extras("_lowest", "_total")})
         .drop("_total", "_lowest")
     )
+    within = placed.withColumn("_within", running(weight, by=[*group, "_range"], order=key))
     return (
-        bucketed.withColumn("_within", running(weight, by=[*group, "_bucket"], order=key))
-        .join(offsets, [*group, "_bucket"], "left")
+        attach(within, offsets, [*group, "_range"], "inner")
         .withColumn(out, F.col("_offset") + F.col("_within"))
-        .drop("_bucket", "_offset", "_within")
+        .drop("_range", "_offset", "_within")
     )
 
 
-def value_ranks(
-    df: DataFrame, group: Sequence[str], key: str, width: Width = AUTO, **extra: str
-) -> DataFrame:
+def value_ranks(df: DataFrame, group: Sequence[str], key: str, few: bool = False, **extra: str) -> DataFrame:
     """One row per distinct non-null key of a group: how many rows come before it and how many tie."""
     counts = df.where(F.col(key).isNotNull()).groupBy(*group, key).agg(F.count(F.lit(1)).alias("ties"))
-    return totals_before(counts, group, key, "ties", width, **extra)
+    return totals_before(counts, group, key, "ties", few=few, **extra)
 
 
 def with_min_rank(
-    df: DataFrame,
-    group: Sequence[str],
-    key: str,
-    out: str,
-    descending: bool = False,
-    width: Width = AUTO,
+    df: DataFrame, group: Sequence[str], key: str, out: str, descending: bool = False, few: bool = False
 ) -> DataFrame:
     """Add the rank of ``key`` in its group, ties sharing the smallest rank; null keys have no rank."""
-    if fits_one_task(df):
-        order = F.col(key).desc_nulls_last() if descending else F.col(key).asc_nulls_last()
-        place = F.rank().over(Window.partitionBy(*group).orderBy(order)).cast("bigint")
-        return df.withColumn(out, F.when(F.col(key).isNotNull(), place))
-    sort_key = F.col(key) * (-1 if descending else 1)
-    keyed = df.withColumn("_key", sort_key)
-    ranks = value_ranks(keyed, group, "_key", width).select(*group, "_key", (F.col("before") + 1).alias(out))
-    return keyed.join(ranks, [*group, "_key"], "left").drop("_key")
-
-
-def with_average_rank(
-    df: DataFrame, group: Sequence[str], key: str, out: str, width: Width = AUTO
-) -> DataFrame:
+    ranks = value_ranks(df, group, key, few, total="_n")
+    place = F.col("_n") - F.col("before") - F.col("ties") if descending else F.col("before")
+    return attach(df, ranks.select(*group, key, (place + 1).alias(out)), [*group, key])
+
+
+def with_average_rank(df: DataFrame, group: Sequence[str], key: str, out: str) -> DataFrame:
     """Add the rank of ``key`` in its group, ties sharing the mean of their places."""
-    if fits_one_task(df):
-        first = F.rank().over(Window.partitionBy(*group).orderBy(F.col(key).asc_nulls_last()))
-        ties = F.count(key).over(Window.partitionBy(*group, key))
-        return df.withColumn(out, F.when(F.col(key).isNotNull(), first + (ties - 1) / F.lit(2)))
-    ranks = value_ranks(df, group, key, width).select(
-        *group, key, (F.col("before") + (F.col("ties") + 1) / F.lit(2)).alias(out)
-    )
-    return df.join(ranks, [*group, key], "left")
+    place = F.col("before") + (F.col("ties") + 1) / F.lit(2)
+    return attach(df, value_ranks(df, group, key).select(*group, key, place.alias(out)), [*group, key])
 
 
 def melt(df: DataFrame, group: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Rows (group, name, value) for the non-null values of ``cols``, as doubles."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in cols])
+    pairs = F.array(*[F.struct(F.lit(c).alias("name"), nan_to_null(F.col(c).cast("double")).alias("value")) for c in cols])
     long = df.select(*group, F.inline(pairs))
     return long.where(F.col("value").isNotNull())
 
 
-def exact_medians(
-    long: DataFrame, group: Sequence[str], value: str = "value", width: Width = AUTO
-) -> DataFrame:
-    """Exact median per group: the middle value, or the mean of the two middle ones.
+def exact_medians(long: DataFrame, group: Sequence[str], value: str = "value", few: bool = False) -> DataFrame:
+    """Exact median per group as a double: the middle value, or the mean of the two middle ones.
 
     Picked from running counts, so no large group is buffered as a whole.
     """
-    if fits_one_task(long):
-        return long.groupBy(*group).agg(F.median(value).alias("median"))
-    placed = value_ranks(long, group, value, width, total="_n")
+    doubles = long.select(*group, nan_to_null(F.col(value).cast("double")).alias(value))
+    placed = value_ranks(doubles, group, value, few, total="_n")
     last = F.col("before") + F.col("ties")
 
     def at(place: Column) -> Column:
         return F.max(F.when((F.col("before") < place) & (place <= last), F.col(value)))
 
     low, high = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
-    return placed.groupBy(*group).agg(((at(low) + at(high)) / 2).alias("median"))
+    # Halved first, so that the sum of two very large values is no infinity.
+    return placed.groupBy(*group).agg((at(low) / 2 + at(high) / 2).alias("median"))
 
 
-def wide_medians(
-    df: DataFrame, group: Sequence[str], cols: Sequence[str], width: Width = AUTO
-) -> DataFrame:
+def wide_medians(df: DataFrame, group: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """One row per group with the median of every column as ``<col>_median``, null for an all-null column."""
-    if fits_one_task(df):
-        return df.groupBy(*group).agg(*[F.median(c).alias(f"{c}_median") for c in cols])
-    medians = exact_medians(melt(df, group, cols), [*group, "name"], width=width)
+    medians = exact_medians(melt(df, group, cols), [*group, "name"])
     picks = [F.max(F.when(F.col("name") == c, F.col("median"))).alias(f"{c}_median") for c in cols]
     return medians.groupBy(*group).agg(*picks)
 
 
-def impute_medians(
-    df: DataFrame, group: Sequence[str], cols: Sequence[str], width: Width = AUTO
-) -> DataFrame:
-    """Fill nulls of ``cols`` with the median of their group, then with 0.
+def impute_medians(df: DataFrame, group: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Fill nulls and NaN of ``cols`` with the median of their group, then with 0.
 
-    A large frame is read for the medians and again to be filled, so it is written once.
+    The frame is read for the medians and again to be filled, so it is written once.
     """
-    if fits_one_task(df):
-        whole = Window.partitionBy(*group)
-        return df.withColumns(
-            {c: F.coalesce(F.col(c).cast("double"), F.median(c).over(whole), F.lit(0.0)) for c in cols}
-        )
     df = cut_lineage(df, "impute")
-    filled = attach(df, wide_medians(df, group, cols, width), group)
-    values = {c: F.coalesce(F.col(c).cast("double"), F.col(f"{c}_median"), F.lit(0.0)) for c in cols}
+    filled = attach(df, wide_medians(df, group, cols), group)
+    values = {
+        c: F.coalesce(nan_to_null(F.col(c).cast("double")), F.col(f"{c}_median"), F.lit(0.0)) for c in cols
+    }
     return filled.withColumns(values).drop(*[f"{c}_median" for c in cols])
 
 
@@ -233,29 +185,24 @@ def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
     return df.groupBy(*keys).agg(last).select(*keys, "_last.*").select(*df.columns)
 
 
-def carry_forward(
-    df: DataFrame, group: Sequence[str], position: str, cols: Sequence[str], block: int = BUCKET_WIDTH
-) -> DataFrame:
+def carry_forward(df: DataFrame, group: Sequence[str], position: str, cols: Sequence[str]) -> DataFrame:
     """Replace nulls of ``cols`` by the latest earlier non-null value of the same group.
 
-    Rows are ordered by an integer position and filled inside blocks of
-    positions; each block starts from the value carried over from the blocks before.
+    Rows are filled inside ranges of (group, position), whose ends are carried
+    over to the ranges behind; rows without a position come first.
     """
-    if fits_one_task(df):
-        so_far = Window.partitionBy(*group).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({c: F.last(c, ignorenulls=True).over(so_far) for c in cols})
-    cut = df.withColumn("_block", F.floor(F.col(position) / F.lit(block)))
-    inside = Window.partitionBy(*group, "_block").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    ends = cut.groupBy(*group, "_block").agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(position))).alias(f"_{c}_end") for c in cols]
+    cut = in_ranges(df, *group, position)
+    order = F.col(position).asc_nulls_first()
+    inside = Window.partitionBy(*group, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    here = cut.withColumns({f"_{c}_here": F.last(c, ignorenulls=True).over(inside) for c in cols})
+    placed = F.struct(F.col(position).isNotNull(), F.col(position))
+    ends = cut.groupBy(*group, "_range").agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), placed)).alias(f"_{c}_end") for c in cols]
     )
     starts = ends.select(
-        *group, "_block", *[F.last(f"_{c}_end", ignorenulls=True).over(earlier).alias(f"_{c}_start") for c in cols]
-    )
-    filled = cut.withColumns({f"_{c}_here": F.last(c, ignorenulls=True).over(inside) for c in cols}).join(
-        starts, [*group, "_block"], "left"
+        *group, "_range", *[F.last(f"_{c}_end", ignorenulls=True).over(earlier).alias(f"_{c}_start") for c in cols]
     )
-    return filled.withColumns(
+    return attach(here, starts, [*group, "_range"]).withColumns(
         {c: F.coalesce(F.col(f"_{c}_here"), F.col(f"_{c}_start")) for c in cols}
     ).select(*df.columns)

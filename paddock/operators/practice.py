@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paddock.functions.scalars import first_filled, row_mean, session_label
-from paddock.operators.ordering import AUTO, Width, attach, keep_last, known, value_ranks
+from paddock.operators.ordering import attach, keep_last, known, value_ranks
 from paddock.schemas import EVENT, SESSIONS
-from paddock.session import fits_one_task
 
 
 def best_laps(laps: DataFrame, event: Sequence[str] = EVENT, time: str = "lap_time") -> DataFrame:
@@ -19,32 +18,21 @@ def best_laps(laps: DataFrame, event: Sequence[str] = EVENT, time: str = "lap_ti
     return known(laps.select(*cols), *cols).groupBy(*event, "session", "driver_id").agg(F.min(time).alias("best_lap"))
 
 
-def session_features(
-    best: DataFrame, event: Sequence[str] = EVENT, width: Width = AUTO
-) -> DataFrame:
+def session_features(best: DataFrame, event: Sequence[str] = EVENT) -> DataFrame:
     """Gap to the fastest driver of the session and rank, ties sharing the smallest rank.
 
     ``best`` holds one row per driver and session.  Both columns depend on the
-    lap time alone, so for a large table they are computed once per distinct
-    time and joined back.
+    lap time alone, so they are computed once per distinct time and joined back.
     """
     session = [*event, "session"]
-    if fits_one_task(best):
-        whole = Window.partitionBy(*session)
-        return best.withColumns(
-            {
-                "delta": F.col("best_lap") - F.min("best_lap").over(whole),
-                "rank": F.rank().over(whole.orderBy("best_lap")).cast("bigint"),
-            }
-        )
-    times = value_ranks(best, session, "best_lap", width, lowest="_fastest")
+    times = value_ranks(best, session, "best_lap", lowest="_fastest")
     scored = times.select(
         *session,
         "best_lap",
         (F.col("best_lap") - F.col("_fastest")).alias("delta"),
         (F.col("before") + 1).alias("rank"),
     )
-    return best.join(scored, [*session, "best_lap"])
+    return attach(best, scored, [*session, "best_lap"], "inner")
 
 
 def practice_wide(features: DataFrame, event: Sequence[str] = EVENT) -> DataFrame:
@@ -85,10 +73,10 @@ def with_row_means(wide: DataFrame) -> DataFrame:
 
 
 def features_from_laps(
-    laps: DataFrame, event: Sequence[str] = EVENT, time: str = "lap_time", width: Width = AUTO
+    laps: DataFrame, event: Sequence[str] = EVENT, time: str = "lap_time"
 ) -> DataFrame:
     """Laps to the wide practice table; the driver id doubles as the name."""
-    scored = session_features(best_laps(laps, event, time), event, width)
+    scored = session_features(best_laps(laps, event, time), event)
     return with_row_means(practice_wide(scored.withColumn("driver_name", F.col("driver_id")), event))
 
 
@@ -160,7 +148,7 @@ def rounds_with_sessions(meetings: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def practice_from_results(
-    meetings: DataFrame, sessions: DataFrame, results: DataFrame, drivers: DataFrame, width: Width = AUTO
+    meetings: DataFrame, sessions: DataFrame, results: DataFrame, drivers: DataFrame
 ) -> DataFrame:
     """Wide practice table of all rounds from session results; rows without a time are skipped."""
     practice = rounds_with_sessions(meetings, sessions).withColumn("session", session_label(F.col("session_name")))
@@ -169,7 +157,7 @@ def practice_from_results(
     best = attach(timed, practice, ["session_key"], "inner").select(
         *EVENT, "session", "driver_id", "driver_name", "best_lap"
     )
-    return with_row_means(practice_wide(session_features(best, EVENT, width)))
+    return with_row_means(practice_wide(session_features(best, EVENT)))
 
 
 def qualifying_from_results(

@@ -43,7 +43,7 @@ def standings_before_round(
         *season, "driver_id", "points", F.explode(valid).alias("round_number")
     )
     # Distinct point totals of a season are few, whatever the number of drivers.
-    ranked = with_min_rank(totals, [*season, "round_number"], "points", "position_start", descending=True, width=None)
+    ranked = with_min_rank(totals, [*season, "round_number"], "points", "position_start", descending=True, few=True)
     return ranked.select(*season, "round_number", "driver_id", "points", "position_start")
 
 

@@ -22,16 +22,13 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paddock.operators.ordering import AUTO, Width, attach, exact_medians, impute_medians, melt, totals_before
-from paddock.session import fits_one_task
+from paddock.operators.ordering import attach, exact_medians, impute_medians, in_ranges, melt, totals_before
 
 # Tasks get the functions themselves, so executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Events whose moments one task holds before it hands them on.
 EVENTS_IN_TASK = 4096
-# Slices of a column's value range in the first step of a running median.
-SLICES = 128
 
 
 def event_moments(train: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -90,57 +87,36 @@ def _counts_before_folds(counts: DataFrame, folds: DataFrame, by: Sequence[str])
     return states.select(*by, "n", F.explode(valid).alias("_fold"))
 
 
-def running_medians(
-    long: DataFrame, folds: DataFrame, slices: int = SLICES, steps: int | None = None
-) -> DataFrame:
+def running_medians(long: DataFrame, folds: DataFrame) -> DataFrame:
     """Exact median of every feature over all events before each fold.
 
-    ``long`` has (event_key, name, value).  Each step cuts the value range into
-    slices and finds, from slice counts alone, the slice that holds the middle
-    of every fold; the next step cuts only those.  Values meet the folds at the
-    end, inside the last slices.  The slice ranges are exact minima and maxima,
-    so heavy tails cost a step, not correctness.
+    ``long`` has (event_key, name, value).  Values are dealt out in ranges of
+    about equal size; range counts alone say which range holds the middle of a
+    fold, and only the values of that range meet the fold.
     """
-    if steps is None:
-        steps = 1 if fits_one_task(long) else 2
-    counted = (
-        long.groupBy("event_key", "name", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("_slot", F.lit(0).cast("bigint"))
-    )
+    counted = long.groupBy("event_key", "name", "value").agg(F.count(F.lit(1)).alias("n"))
+    placed = in_ranges(counted, "name", "value")
     low, high = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
-    chosen = None
-    for step in range(steps):
-        # At most features x slices^step rows.
-        span = counted.groupBy("name", "_slot").agg(F.min("value").alias("_low"), F.max("value").alias("_high"))
-        share = (F.col("value") - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))
-        part = F.coalesce(F.least(F.floor(share * slices), F.lit(slices - 1)), F.lit(0))
-        cut = counted.join(F.broadcast(span), ["name", "_slot"]).select(
-            "event_key", "name", "value", "n", "_slot", (F.col("_slot") * slices + part).alias("_part")
-        )
-        sizes = cut.groupBy("event_key", "name", "_slot", "_part").agg(F.sum("n").alias("n"))
-        if chosen is not None:
-            sizes = sizes.join(F.broadcast(chosen.select("name", "_slot").distinct()), ["name", "_slot"], "left_semi")
-        per_fold = _counts_before_folds(sizes, folds, ["name", "_slot", "_part"])
-        group = ["_fold", "name", "_slot"]
-        if chosen is None:
-            placed = totals_before(per_fold, group, "_part", "n", width=None, out="_first", total="_n")
-        else:
-            placed = totals_before(per_fold.join(chosen, group), group, "_part", "n", width=None, out="_first")
-            placed = placed.withColumn("_first", F.col("_first") + F.col("_start"))
-        middle = placed.where((F.col("_first") < high) & (F.col("_first") + F.col("n") >= low))
-        # At most two slices per fold and feature.
-        chosen = middle.select("_fold", "name", F.col("_part").alias("_slot"), F.col("_first").alias("_start"), "_n")
-        counted = cut.select("event_key", "name", "value", "n", F.col("_part").alias("_slot"))
-    inside = counted.join(F.broadcast(chosen.select("name", "_slot").distinct()), ["name", "_slot"], "left_semi")
-    values = _counts_before_folds(inside, folds, ["name", "_slot", "value"]).join(chosen, ["_fold", "name", "_slot"])
-    exact = totals_before(values, ["_fold", "name", "_slot"], "value", "n", width=None)
+    sizes = placed.groupBy("event_key", "name", "_range").agg(F.sum("n").alias("n"))
+    per_fold = _counts_before_folds(sizes, folds, ["name", "_range"])
+    ranges = totals_before(per_fold, ["_fold", "name"], "_range", "n", out="_first", total="_n", few=True)
+    middle = ranges.where((F.col("_first") < high) & (F.col("_first") + F.col("n") >= low))
+    # At most two ranges per fold and feature.
+    chosen = middle.select("_fold", "name", "_range", F.col("_first").alias("_start"), "_n")
+    group = ["_fold", "name", "_range"]
+    values = (
+        placed.join(chosen, ["name", "_range"])
+        .where("event_key < _fold")
+        .groupBy(*group, "_start", "_n", "value")
+        .agg(F.sum("n").alias("n"))
+    )
+    exact = totals_before(values, group, "value", "n", few=True)
     first = F.col("_start") + F.col("before")
 
     def at(place):
         return F.max(F.when((first < place) & (place <= first + F.col("n")), F.col("value")))
 
-    return exact.groupBy("_fold", "name").agg(((at(low) + at(high)) / 2).alias("median")).withColumnRenamed(
+    return exact.groupBy("_fold", "name").agg((at(low) / 2 + at(high) / 2).alias("median")).withColumnRenamed(
         "_fold", "event_key"
     )
 
@@ -208,11 +184,11 @@ def fold_coefficients(train: DataFrame, features: Sequence[str], folds: DataFram
     return _solve(sums, medians, features, alpha)
 
 
-def fit_ridge(train: DataFrame, features: Sequence[str], alpha: float = 1.0, width: Width = AUTO) -> DataFrame:
+def fit_ridge(train: DataFrame, features: Sequence[str], alpha: float = 1.0) -> DataFrame:
     """One row (intercept, weights) for the whole training table, medians over all its rows."""
     whole = train.withColumn("event_key", F.lit(0))
     sums = event_moments(whole, features).withColumnRenamed("own", "total")
-    medians = exact_medians(melt(whole, ["event_key"], features), ["event_key", "name"], width=width)
+    medians = exact_medians(melt(whole, ["event_key"], features), ["event_key", "name"])
     return _solve(sums, medians, features, alpha).select("intercept", "weights")
 
 
@@ -225,14 +201,14 @@ def linear_score(features: Sequence[str], intercept: Column, weights: Column) ->
 
 
 def fold_predictions(
-    train: DataFrame, features: Sequence[str], folds: DataFrame, alpha: float = 1.0, width: Width = AUTO
+    train: DataFrame, features: Sequence[str], folds: DataFrame, alpha: float = 1.0
 ) -> DataFrame:
     """Validation rows of every fold with the prediction of the model trained before it.
 
     A validation event is imputed with its own medians, like any frame that is predicted.
     """
     validation = train.join(folds.select("event_key"), "event_key", "left_semi")
-    filled = impute_medians(validation, ["event_key"], features, width)
+    filled = impute_medians(validation, ["event_key"], features)
     scored = attach(filled, fold_coefficients(train, features, folds, alpha), ["event_key"], "inner")
     return scored.withColumn("pred", linear_score(features, F.col("intercept"), F.col("weights"))).drop("intercept", "weights")
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paddock.operators import models
-from paddock.operators.ordering import AUTO, Width, first_places
+from paddock.operators.ordering import first_places
 from paddock.operators.training import (
     before_target,
     in_seasons,
@@ -120,7 +120,7 @@ def predict_round(tables: Tables, mode: str, year: int, round_number: int, seaso
     return result
 
 
-def predict_all_heuristic(practice: DataFrame, width: Width = AUTO, n: int = TOP_N) -> DataFrame:
+def predict_all_heuristic(practice: DataFrame, n: int = TOP_N) -> DataFrame:
     """Heuristic top ``n`` of every round at once."""
     practice = practice.select(*EVENT, "driver_id", "driver_name", *DELTAS)
-    return top_table(models.heuristic(practice, EVENT, DELTAS, width), EVENT, n)
+    return top_table(models.heuristic(practice, EVENT, DELTAS), EVENT, n)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings every plan in this package relies on.  All of them are SQL
@@ -27,8 +29,10 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "20g") -> SparkSession:
-    """A single-machine session for tests and benchmarks."""
+def local_session(
+    cpus: int | str = "*", partitions: int = 8, memory: str = "20g", stages: str | None = None
+) -> SparkSession:
+    """A single-machine session for tests and benchmarks; ``stages`` is the folder of intermediate tables."""
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("paddock")
@@ -36,55 +40,46 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "20g
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
     )
+    if stages:
+        builder = builder.config("spark.checkpoint.dir", stages)
     spark = tune(builder.getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
-# Overrides the input size up to which one task may hold a whole table; 0 turns that off.
-SINGLE_TASK_SETTING = "paddock.singleTaskBytes"
+_written: list[str] = []
 
 
-def fits_one_task(df: DataFrame) -> bool:
-    """Whether everything a frame reads is no larger than one file split.
+def shared_dir(spark: SparkSession) -> str:
+    """Folder every executor can reach: ``spark.checkpoint.dir``, else one in the warehouse, which all share too."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    named = named or context.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir')}/_stages"
+    return named.rstrip("/")
 
-    Sizes come from the leaves of the plan (files and local rows), each counted
-    once, without optimising the plan or starting a job.  Leaves of unknown
-    size count as too large.
-    """
-    spark = df.sparkSession
-    limit = spark.conf.get(SINGLE_TASK_SETTING, None)
-    if limit is None:
-        limit = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    sizes = {}
-    for i in range(leaves.size()):
-        leaf = leaves.apply(i)
-        sizes[leaf.semanticHash()] = int(str(leaf.stats().sizeInBytes()))
-    return sum(sizes.values()) <= int(limit)
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A fresh path inside the shared folder; what is there goes with ``drop_stages``."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a folder of its own.
+def drop_stages() -> None:
+    """Delete all intermediate tables of this process; frames that read them end with it.
+
+    Called at the end of the process, or by its owner between independent jobs.
     """
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    named = named or context.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="paddock-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    spark.sparkContext.setCheckpointDir(own)
-    return own
+    while _written:
+        path = _written.pop()
+        try:
+            system, place = FileSystem.from_uri(path) if ":" in path else (LocalFileSystem(), path)
+            system.delete_dir(place)
+        except (OSError, pa.ArrowException):  # never written, or a store that only Spark reaches
+            continue
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path inside the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+atexit.register(drop_stages)
 
 
 def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
@@ -97,8 +92,3 @@ def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def reuse(df: DataFrame, label: str = "stage") -> DataFrame:
-    """A frame that several branches read: written once unless reading it again is one task's work."""
-    return df if fits_one_task(df) else cut_lineage(df, label)

@@ -5,21 +5,12 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from paddock.session import SINGLE_TASK_SETTING, local_session  # noqa: E402
+from paddock.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    return local_session(4, partitions=4, memory="6g")
-
-
-@pytest.fixture(params=["small", "large"])
-def sized(request, spark):
-    """The session once with plans for small inputs and once with plans for large ones."""
-    # Rows from Python have no known size, so "small" needs a limit above the planner's default.
-    spark.conf.set(SINGLE_TASK_SETTING, "0" if request.param == "large" else str(2**100))
-    yield spark
-    spark.conf.unset(SINGLE_TASK_SETTING)
+def spark(tmp_path_factory):
+    return local_session(4, partitions=4, memory="6g", stages=str(tmp_path_factory.mktemp("stages")))
 
 
 def values(df, *order):

@@ -19,21 +19,20 @@ def laps(spark, rows):
     return spark.createDataFrame([("s", 2024, *r) for r in rows], schemas.LAPS)
 
 
-def test_ties_share_a_rank(sized):
+def test_ties_share_a_rank(spark):
     got = practice.session_features(
         practice.best_laps(
-            laps(sized, [(1, "FP1", "A", 90.0), (1, "FP1", "A", 95.0), (1, "FP1", "B", 90.0), (1, "FP1", "C", 91.5),
+            laps(spark, [(1, "FP1", "A", 90.0), (1, "FP1", "A", 95.0), (1, "FP1", "B", 90.0), (1, "FP1", "C", 91.5),
                          (1, "FP1", "D", None), (1, "FP1", None, 80.0)])
-        ),
-        width=0.25,
+        )
     )
     assert values(got.select("driver_id", "delta", "rank")) == [("A", 0.0, 1), ("B", 0.0, 1), ("C", 1.5, 3)]
 
 
-def test_missing_session(sized):
+def test_missing_session(spark):
     rows = [(1, "FP1", d, t) for d, t in (("A", 90.0), ("B", 90.2), ("C", 90.4))]
     rows += [(1, "FP3", "C", 80.2), (1, "FP3", "D", 80.0), (1, "FP3", "C", 80.2)]
-    got = practice.features_from_laps(laps(sized, rows), width=0.25).where("driver_id = 'C'").first()
+    got = practice.features_from_laps(laps(spark, rows)).where("driver_id = 'C'").first()
     assert got.fp2_delta is None and got.fp2_rank is None
     assert got.fp1_rank == 3 and got.fp3_rank == 2 and got.fp_mean_rank == 2.5
     assert got.fp_mean_delta == pytest.approx(0.3)
@@ -98,9 +97,9 @@ def race_table(spark, rows):
     return spark.createDataFrame([("s", 2024, *r) for r in rows], "source string, year int, round_number int, driver_id string, position double")
 
 
-def test_standings_before_round(sized):
-    race = race_table(sized, [(1, "A", 1.0), (1, "B", 2.0), (1, "C", 11.0), (1, "D", None), (1, "E", 0.0), (3, "B", 1.0)])
-    cal = sized.createDataFrame([("s", 2024, r) for r in (1, 2, 3, 4)], "source string, year int, round_number int")
+def test_standings_before_round(spark):
+    race = race_table(spark, [(1, "A", 1.0), (1, "B", 2.0), (1, "C", 11.0), (1, "D", None), (1, "E", 0.0), (3, "B", 1.0)])
+    cal = spark.createDataFrame([("s", 2024, r) for r in (1, 2, 3, 4)], "source string, year int, round_number int")
     got = standings.standings_before_round(cal, race)
     assert values(got.select("round_number", "driver_id", "points", "position_start")) == [
         (2, "A", 25, 1), (2, "B", 18, 2), (2, "E", 0, 3),
@@ -108,13 +107,13 @@ def test_standings_before_round(sized):
         (4, "A", 25, 2), (4, "B", 43, 1), (4, "E", 0, 3)]
 
 
-def test_merge_coverage_and_notes(sized, tmp_path):
-    cal = sized.createDataFrame([("s", 2024, r, f"E{r}") for r in (1, 2)], schemas.SCHEDULE)
-    fp = practice.features_from_laps(laps(sized, [(1, "FP1", "VER", 90.0)]), width=0.25)
+def test_merge_coverage_and_notes(spark, tmp_path):
+    cal = spark.createDataFrame([("s", 2024, r, f"E{r}") for r in (1, 2)], schemas.SCHEDULE)
+    fp = practice.features_from_laps(laps(spark, [(1, "FP1", "VER", 90.0)]))
     kind = "source string, year int, round_number int, driver_id string, driver_name string, position double, q3_time double, ord long"
-    quali = sized.createDataFrame([("s", 2024, 1, "VER", "VER", 4.0, 88.0, 0), ("s", 2024, 1, "VER", "VER", 3.0, 87.0, 1),
+    quali = spark.createDataFrame([("s", 2024, 1, "VER", "VER", 4.0, 88.0, 0), ("s", 2024, 1, "VER", "VER", 3.0, 87.0, 1),
                                    ("s", 2024, 1, "HAM", None, 1.0, None, 2)], kind)
-    race = sized.createDataFrame([("s", 2024, 1, "VER", "VERSTAPPEN", 5.0, None, 0)], kind)
+    race = spark.createDataFrame([("s", 2024, 1, "VER", "VERSTAPPEN", 5.0, None, 0)], kind)
     empty = standings.standings_before_round(cal, race)
     merged = ds.merge_kinds(ds.stack_kinds(fp, quali, race, empty))
     rows = ds.dataset_rows(cal, merged)
@@ -124,8 +123,8 @@ def test_merge_coverage_and_notes(sized, tmp_path):
     cover = values(ds.coverage(cal, merged), "round_number")
     assert cover == [("s", 2024, 1, "E1", 2, 1, 1, 1, 0), ("s", 2024, 2, "E2", 1, 0, 0, 0, 1)]
     built = build_dataset(cal, fp, quali, race, empty, str(tmp_path / "out"), max_rounds=1)
-    assert sized.read.parquet(built.paths["dataset_parquet"]).count() == 2
-    assert sized.read.option("header", True).csv(built.paths["coverage_csv"]).count() == 1
+    assert spark.read.parquet(built.paths["dataset_parquet"]).count() == 2
+    assert spark.read.option("header", True).csv(built.paths["coverage_csv"]).count() == 1
     assert built.notes.where("stage = 'standings'").count() == 1
     document = json.loads(summary_document(built, {"years": [2024]}, "now").first()["document"])
     assert document["rows"] == 2 and document["events"] == 1 and document["config"] == {"years": "[2024]"}
@@ -166,13 +165,13 @@ def ridge(x, y):
     return y.mean() - x.mean(axis=0) @ w, w
 
 
-def test_walk_forward_equals_a_loop(sized, history):
+def test_walk_forward_equals_a_loop(spark, history):
     cols = ["a", "b", "c"]
-    df = sized.createDataFrame(history).select(
+    df = spark.createDataFrame(history).select(
         "event_key", "driver_id", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in [*cols, "target"]]
     ).withColumn("event_key", F.col("event_key").cast("int"))
     folds = training.walk_forward_folds(df.select("event_key").distinct())
-    got = dict(walkforward.fold_errors(walkforward.fold_predictions(df, cols, folds, width=0.5)).collect())
+    got = dict(walkforward.fold_errors(walkforward.fold_predictions(df, cols, folds)).collect())
     want = {}
     keys = sorted(history["event_key"].unique())
     for i in range(3, len(keys)):
@@ -185,20 +184,19 @@ def test_walk_forward_equals_a_loop(sized, history):
     assert all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
 
 
-@pytest.mark.parametrize("slices,steps", [(1, 1), (3, 1), (3, 2), (128, 2)])
-def test_running_medians(spark, history, slices, steps):
+def test_running_medians(spark, history):
     df = spark.createDataFrame(history[["event_key", "b"]].rename(columns={"b": "value"})).withColumn("name", F.lit("b"))
     df = df.union(df.select("event_key", F.lit(7.0).alias("value"), F.lit("k").alias("name")))
     folds = df.select("event_key").distinct().where("event_key > 202402")
-    got = {(r.event_key, r.name): r["median"] for r in walkforward.running_medians(df, folds, slices, steps).collect()}
+    got = {(r.event_key, r.name): r["median"] for r in walkforward.running_medians(df, folds).collect()}
     for k in range(202403, 202409):
         assert got[k, "k"] == 7.0
         assert got[k, "b"] == history.loc[history["event_key"] < k, "b"].median()
 
 
-def test_qualifying_targets(sized):
+def test_qualifying_targets(spark):
     rows = [(1, "A", 80.5), (1, "B", 80.0), (1, "C", None), (2, "A", 70.0)]
-    q = sized.createDataFrame([("s", 2024, *r) for r in rows], "source string, year int, round_number int, driver_id string, q3_time double")
+    q = spark.createDataFrame([("s", 2024, *r) for r in rows], "source string, year int, round_number int, driver_id string, q3_time double")
     assert values(training.qualifying_targets(q).select("round_number", "driver_id", "target")) == [
         (1, "A", 0.5), (1, "B", 0.0), (2, "A", 0.0)]
 
@@ -215,22 +213,22 @@ def test_split_ignores_partitioning(spark):
     assert a == b and 350 < sum(r[-1] for r in a) < 450
 
 
-def test_metrics(sized):
+def test_metrics(spark):
     rng = np.random.default_rng(2)
     frame = pd.DataFrame({"g": 1, "id": range(30), "target": rng.integers(0, 8, 30) * 1.0, "pred": rng.integers(0, 8, 30) * 1.0})
-    df = sized.createDataFrame(frame)
+    df = spark.createDataFrame(frame)
     rho = metrics.spearman(df, ["g"]).first()["spearman"]
     assert rho == pytest.approx(frame["target"].rank().corr(frame["pred"].rank()), rel=1e-12)
     p, t = (set(frame.index[frame[c].rank(method="first") <= 10]) for c in ("pred", "target"))
     assert metrics.top_hit_rate(df, ["g"], ["id"]).first()["hit_rate"] == len(p & t) / 10
-    few = sized.createDataFrame([(1, 1, None, 2.0)], "g int, id int, target double, pred double")
+    few = spark.createDataFrame([(1, 1, None, 2.0)], "g int, id int, target double, pred double")
     assert metrics.top_hit_rate(few, ["g"], ["id"]).first()["hit_rate"] == 0.0
 
 
 def _tables(spark, rounds=6, drivers=12):
     rng = np.random.default_rng(4)
     rows = [(r, f"FP{s}", f"D{d:02d}", 90 + d * 0.1 + rng.normal() * 0.05) for r in range(1, rounds + 1) for s in (1, 2, 3) for d in range(drivers)]
-    fp = practice.features_from_laps(laps(spark, rows), width=0.25)
+    fp = practice.features_from_laps(laps(spark, rows))
     kind = "source string, year int, round_number int, driver_id string, position double, q3_time double"
     results = [("s", 2024, r, f"D{d:02d}", float(d + 1), 88 + d * 0.1) for r in range(1, rounds) for d in range(drivers)]
     now = [("s", 2024, rounds, f"D{d:02d}", float(d + 1), None) for d in range(drivers)]
@@ -266,6 +264,6 @@ def test_leaderboard_tie_goes_to_priority(spark):
     assert models.best_model(board).first()["name"] == "hist_gradient_boosting"
 
 
-def test_heuristic_top(sized):
-    top = predict_all_heuristic(_tables(sized).practice, width=0.25)
+def test_heuristic_top(spark):
+    top = predict_all_heuristic(_tables(spark).practice)
     assert top.count() == 60 and top.where("rank = 1").select("driver_name").distinct().count() <= 2

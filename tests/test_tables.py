@@ -82,9 +82,9 @@ INDEX = """**Research papers**
 """
 
 
-def test_paper_index(sized, tmp_path):
+def test_paper_index(spark, tmp_path):
     (tmp_path / "README.md").write_text(INDEX)
-    got = catalog.parse_index(readers.index_lines(sized, f"{tmp_path}/README.md"))
+    got = catalog.parse_index(readers.index_lines(spark, f"{tmp_path}/README.md"))
     assert values(got.select("file", "title", "sport", "source")) == [
         ("goals.pdf", "Goals", "Football", None),
         ("laps.pdf", "Lap times", "F1", "http://a.example/x:1"),

@@ -11,7 +11,7 @@ from paddock.operators.walkforward import fit_ridge, fold_errors, fold_predictio
 from paddock.plans.predict import Tables, predict_round
 from paddock.plans.sweep import sweep_predictions, sweep_scores
 from paddock.schemas import DELTAS, DRIVER, EVENT, QUALIFYING_FEATURES, RACE_FEATURES
-from paddock.session import cut_lineage, reuse
+from paddock.session import cut_lineage
 from workload import views
 from workload.registry import register
 from workload.scans import heuristic_top, with_predictions
@@ -292,7 +292,7 @@ def mae(spark, d):
     ),
 )
 def spearman(spark, d):
-    graded = reuse(views.train_race(spark, d).withColumn("pred", F.col("qualy_position")), "graded")
+    graded = cut_lineage(views.train_race(spark, d).withColumn("pred", F.col("qualy_position")), "graded")
     return metrics.spearman(graded, ["event_key"]).withColumn("spearman", F.round("spearman", 9))
 
 

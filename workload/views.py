@@ -16,7 +16,7 @@ from paddock.operators.practice import features_from_laps
 from paddock.operators.standings import standings_before_round
 from paddock.operators.training import qualifying_training, race_training
 from paddock.schemas import DRIVER, EVENT
-from paddock.session import reuse
+from paddock.session import cut_lineage
 
 
 # Columns of the supplied tables; with them a scan needs no job to read file footers first.
@@ -85,7 +85,7 @@ def quali(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def race(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = with_min_rank(
-        _driver_rounds(spark, sf_dir, "O"), EVENT, "total", "position", descending=True, width=2**26
+        _driver_rounds(spark, sf_dir, "O"), EVENT, "total", "position", descending=True
     )
     return ranked.select(*DRIVER, "position")
 
@@ -112,7 +112,7 @@ def train_qualifying(spark: SparkSession, sf_dir: str) -> DataFrame:
 def train_race(spark: SparkSession, sf_dir: str, with_standings: bool = False) -> DataFrame:
     races = race(spark, sf_dir)
     if with_standings:
-        races = reuse(races, "race")
+        races = cut_lineage(races, "race")
     return race_training(
         practice_features(spark, sf_dir),
         quali(spark, sf_dir),
