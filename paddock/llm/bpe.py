@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paddock.llm.texts import CACHE_ENTRIES, chunks, rows_of, small_batches, worker_cache
+from paddock.llm.texts import CACHE_ENTRIES, CACHED_CHUNK, ChunkCache, chunks, rows_of, small_batches, worker_cache
 
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _NEVER = 1 << 60
@@ -178,12 +178,11 @@ class TextEncoder:
         self.vocabulary, self.find = vocabulary, regex.compile(pattern).findall
         self.decimal = {i: str(i) for i in vocabulary.tokens}
         self.matches: dict[str, list[int]] = {}
-        self.first: dict[str, tuple[int, str, bytes]] = {}
-        self.later: dict[str, tuple[int, str, bytes]] = {}
+        self.long: list[str] = []
+        self.first, self.later = ChunkCache(), ChunkCache()
 
     def ids(self, text: str) -> list[int]:
-        self._learn_matches(found := self.find(text))
-        return [i for m in found for i in self.matches[m]]
+        return [int(i) for part in self.encoded([text])[0] for i in part[1].split()]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.vocabulary.tokens[i] for i in ids])
@@ -193,6 +192,8 @@ class TextEncoder:
         ranks, v, last, before = self.vocabulary.ranks, self.vocabulary, [], b""
         for data, match in sorted([(m.encode(), m) for m in set(found) if m not in self.matches]):
             # A match that is a token as a whole gives that token, as in the library to agree with.
+            if len(match) >= CACHED_CHUNK:
+                self.long.append(match)
             whole = ranks.get(data)
             if whole is not None:
                 self.matches[match] = [whole]
@@ -207,31 +208,27 @@ class TextEncoder:
             before = data
             self.matches[match] = v.walk(last)
 
-    def _learn(self, new: list[tuple[dict, str, str]]) -> None:
-        """Fill caches for chunks (cache, chunk, lead) not met before."""
-        cut = [self.find(lead + chunk) for _, chunk, lead in new]
+    def _learn(self, cache: ChunkCache, new: list[str], lead: str) -> None:
+        cut = [self.find(lead + chunk) for chunk in new]
         self._learn_matches([m for found in cut for m in found])
-        decimal, matches = self.decimal, self.matches
-        for (cache, chunk, _), found in zip(new, cut):
+        decimal, matches, tokens = self.decimal, self.matches, self.vocabulary.tokens
+        for chunk, found in zip(new, cut):
             ids = [i for m in found for i in matches[m]]
-            cache[chunk] = (len(ids), " ".join([decimal[i] for i in ids]), self.decode(ids))
+            cache.found[chunk] = (len(ids), " ".join([decimal[i] for i in ids]), b"".join([tokens[i] for i in ids]))
 
     def encoded(self, texts: list[str]) -> list[list[tuple[int, str, bytes]]]:
         """Of each chunk of each text: number of ids, ids as decimal text, bytes decoded from them."""
-        for cache in (self.matches, self.first, self.later):
-            if len(cache) > CACHE_ENTRIES:
-                cache.clear()
-        cut = [chunks(t) if t else [] for t in texts]
-        first, later = self.first, self.later
-        new = [(first, c, "") for c in {c[0] for c in cut if c} - first.keys()]
-        new += [(later, x, " ") for x in {x for c in cut for x in c[1:] if x not in later}]
-        self._learn(new)
+        if len(self.matches) > CACHE_ENTRIES:
+            self.matches.clear()
+        cut, heads, tails = chunks(texts, self.first, self.later)
+        self._learn(self.first, heads, "")
+        self._learn(self.later, tails, " ")
+        first, later = self.first.found, self.later.found
         out = [[first[c[0]], *[later[x] for x in c[1:]]] if c else [] for c in cut]
-        for cache, chunk, _ in new:
-            if len(chunk) >= 64:  # seldom met again, and of any size
-                del cache[chunk]
-        for match in [m for m in self.matches if len(m) >= 64]:
-            del self.matches[match]
+        self.first.forget(heads)
+        self.later.forget(tails)
+        while self.long:
+            self.matches.pop(self.long.pop(), None)
         return out
 
 

@@ -9,46 +9,62 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paddock.llm.texts import CACHE_ENTRIES, chunks, small_batches, worker_cache
+from paddock.llm.texts import ChunkCache, chunks, small_batches, worker_cache
 
 #: Lengths that one task orders; the number of blocks is the longest length over this.
 BLOCK = 4096
+#: New chunks encoded in one call.
+JOINED = 1000
 
 
 class ChunkEncoder:
-    """A tokenizer of the ``tokenizers`` library that keeps the ids of chunks it has met, as 4-byte numbers."""
+    """A byte-level tokenizer of the ``tokenizers`` library that keeps the ids of chunks it has met, as 4-byte numbers."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-
-    def _learn(self, cache: dict[str, bytes], new: list[str], lead: str) -> None:
-        for text, found in zip(new, self.tokenizer.encode_batch([lead + c for c in new], add_special_tokens=False)):
-            cache[text] = b"".join([i.to_bytes(4, "little") for i in found.ids])
+        # A character of a token's name is a byte of its text.
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for name, i in vocabulary.items():
+            self.sizes[i] = len(name)
+        self.first, self.later = ChunkCache(), ChunkCache()
+
+    def _learn_heads(self, new: list[str]) -> None:
+        for chunk, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            self.first.found[chunk] = np.array(found.ids, "<u4").tobytes()
+
+    def _learn_tails(self, new: list[str]) -> None:
+        """Encode many chunks as one text, each with the space before it, and part the ids by their bytes."""
+        for low in range(0, len(new), JOINED):
+            part = new[low : low + JOINED]
+            (found,) = self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            ends = np.cumsum([len(c.encode()) + 1 for c in part])
+            cuts = [0, *(4 * (np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1)).tolist()]
+            data = ids.tobytes()
+            self.later.found.update(zip(part, [data[a:b] for a, b in zip(cuts, cuts[1:])]))
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [chunks(t) if t else [] for t in texts]
-        for cache in (self.first, self.later):
-            if len(cache) > CACHE_ENTRIES:
-                cache.clear()
-        first, later = self.first, self.later
-        new_first = list({c[0] for c in cut if c} - first.keys())
-        new_later = list({x for c in cut for x in c[1:] if x not in later})
-        self._learn(first, new_first, "")
-        self._learn(later, new_later, " ")
+        cut, heads, tails = chunks(texts, self.first, self.later)
+        self._learn_heads(heads)
+        # White space at a chunk's end would run into the space of the next.
+        rough = [c for c in tails if c[-1].isspace()]
+        self._learn_tails([c for c in tails if not c[-1].isspace()])
+        for chunk in rough:
+            self._learn_tails([chunk])
+        first, later = self.first.found, self.later.found
         out = [b"".join([first[c[0]], *[later[x] for x in c[1:]]]) if c else b"" for c in cut]
-        for cache, new in ((first, new_first), (later, new_later)):
-            for long in [c for c in new if len(c) >= 64]:  # seldom met again, and of any size
-                del cache[long]
+        self.first.forget(heads)
+        self.later.forget(tails)
         return out
 
 

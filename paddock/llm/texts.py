@@ -17,10 +17,12 @@ from paddock.session import scratch_path
 BATCH_ROWS = 1000
 BATCH_BYTES = "8m"
 #: Entries that a cache of a Python worker holds at most; it is emptied then.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 350_000
+
+#: Longer chunks are seldom met again, and may be of any size.
+CACHED_CHUNK = 64
 
 _BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
-_IRREGULAR = re.compile(r"\s | \s|\A\s|\s\Z")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,13 +53,49 @@ def words(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def chunks(text: str) -> list[str]:
-    """Cut a text at every single space between two characters that aren't white space.
+class ChunkCache:
+    """What was found for chunks, in two generations: what isn't met while one fills up goes with the next."""
+
+    def __init__(self):
+        self.found: dict[str, Any] = {}
+        self.before: dict[str, Any] = {}
+
+    def lacking(self, wanted: set[str]) -> list[str]:
+        """The chunks to be found; all others of ``wanted`` are in ``found`` afterwards."""
+        if len(self.found) > CACHE_ENTRIES:
+            self.found, self.before = {}, self.found
+        found, before, out = self.found, self.before, []
+        for chunk in wanted - found.keys():
+            if chunk in before:
+                found[chunk] = before[chunk]
+            else:
+                out.append(chunk)
+        return out
+
+    def forget(self, chunks: list[str]) -> None:
+        """Drop chunks that are long or begin or end with white space."""
+        for chunk in [c for c in chunks if len(c) >= CACHED_CHUNK or c[0].isspace() or c[-1].isspace()]:
+            self.found.pop(chunk, None)
+
+
+def chunks(texts: list[str], first: ChunkCache, later: ChunkCache) -> tuple[list[list[str]], list[str], list[str]]:
+    """Cut texts at every single space between two characters that aren't white space.
 
     The cut space belongs to the chunk after it.  Byte-level BPE patterns never
-    match across such a place, so chunks can be encoded one by one.
+    match across such a place, so chunks can be encoded one by one.  Also
+    returned: the chunks that begin a text, and the others, that the caches lack.
     """
-    return text.split(" ") if not _IRREGULAR.search(text) else _BETWEEN_WORDS.split(text)
+    cut = [t.split(" ") if t else [] for t in texts]
+
+    def lacking() -> tuple[list[str], list[str]]:
+        return first.lacking({c[0] for c in cut if c}), later.lacking({x for c in cut for x in c[1:]})
+
+    heads, tails = lacking()
+    # Caches hold no rough chunks, so only new ones can come from a text with other white space at a space.
+    if rough := {x for new in (heads, tails) for x in new if not x or x[0].isspace() or x[-1].isspace()}:
+        cut = [c if rough.isdisjoint(c) else _BETWEEN_WORDS.split(t) for c, t in zip(cut, texts)]
+        heads, tails = lacking()
+    return cut, heads, tails
 
 
 def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list[tuple]]:
