@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from paddock.llm import bpe, lengths, tokenfile
-from paddock.llm.texts import chunks
+from paddock.llm.texts import ChunkCache, chunks
 
 RANKS, JSON = P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json")
 
@@ -30,6 +30,11 @@ def encoder():
     return bpe.TextEncoder(bpe.Vocabulary.read(RANKS), P.PATTERN)
 
 
+@pytest.fixture(scope="module")
+def shared_chunks():
+    return lengths.ChunkEncoder(JSON)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=60) | st.text("aeintrs '\n\t  .12", max_size=80))
 def test_texts_encode_as_in_the_library(library, encoder, text):
@@ -37,7 +42,17 @@ def test_texts_encode_as_in_the_library(library, encoder, text):
     ids = [int(i) for p in parts for i in p[1].split()]
     assert ids == library.encode_ordinary(text)
     assert b"".join(p[2] for p in parts) == text.encode()
-    assert (" ".join(chunks(text)) if text else "") == text
+    assert " ".join(chunks([text], ChunkCache(), ChunkCache())[0][0]) == text
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("aeint's \n\t\x1c\xa0é.12", max_size=40), min_size=1, max_size=6))
+def test_chunks_encode_as_whole_texts_do(library, encoder, shared_chunks, texts):
+    """Several texts, with caches that earlier ones have filled."""
+    for text, parts, packed in zip(texts, encoder.encoded(texts), shared_chunks.packed(texts)):
+        ids = library.encode_ordinary(text)
+        assert [int(i) for p in parts for i in p[1].split()] == ids
+        assert packed == b"".join(i.to_bytes(4, "little") for i in ids)
 
 
 def test_appends_and_edits_are_exact(encoder):
