@@ -165,7 +165,8 @@ def param_int(config: Column, key: str, default: int | None = 0) -> Column:
     a number stays null, the case in which a request is rejected.
     """
     text = F.get_json_object(config, f"$.{key}")
-    whole = text.try_cast("double").try_cast("bigint")
+    value = F.try_variant_get(F.try_parse_json(config), f"$.{key}", "variant")
+    whole = F.when(F.schema_of_variant(value) != "STRING", text.try_cast("double").try_cast("bigint"))
     return F.when(text.isNull(), F.lit(default).cast("bigint")).otherwise(F.coalesce(whole, leading_int(text)))
 
 

@@ -22,11 +22,12 @@ from paddock.operators.walkforward import (
     mean_of_folds,
 )
 
+# Settings of the models.
 RIDGE_ALPHA = 1.0
 BOOSTING_STEP = 0.05
 BOOSTING_DEPTH = 5
 BOOSTING_SEED = 42
-BOOSTING_ITERATIONS = 30
+BOOSTING_ITERATIONS = 600
 
 
 @dataclass(frozen=True)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paddock.functions.scalars import first_filled, row_mean, session_label
+from paddock.functions.scalars import first_filled, nan_to_null, row_mean, session_label, to_number
 from paddock.operators.ordering import attach, keep_last, known, value_ranks
 from paddock.schemas import EVENT, SESSIONS
 
@@ -132,9 +132,9 @@ def results_with_names(results: DataFrame, drivers: DataFrame) -> DataFrame:
     keyed = results.select(
         "session_key",
         F.col("driver_number").cast("string").alias("driver_id"),
-        F.col("position").try_cast("double").alias("position"),
-        F.try_variant_get("duration", "$", "double").alias("seconds"),
-        F.try_variant_get("duration", "$[2]", "double").alias("q3_time"),
+        to_number(F.col("position").cast("string")).alias("position"),
+        nan_to_null(F.try_variant_get("duration", "$", "double")).alias("seconds"),
+        nan_to_null(F.try_variant_get("duration", "$[2]", "double")).alias("q3_time"),
         "ord",
     )
     named = known(keyed, "driver_id").join(driver_names(drivers), ["session_key", "driver_id"], "left")

@@ -86,10 +86,12 @@ def walk_forward_folds(events: DataFrame) -> DataFrame:
 
 
 def hash_split(df: DataFrame, keys: Sequence[str], train_percent: int = 80, seed: int = 7) -> DataFrame:
-    """Mark rows for training by a hash of their key.
+    """Mark rows for training by the first digits of an MD5 of their key.
 
     The mark depends on the key and the seed alone, so it survives
     repartitioning and lost tasks, which a random number per row does not.
     """
-    slot = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(100))
+    texts = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *texts)), 1, 8)
+    slot = F.conv(digits, 16, 10).cast("bigint") % 100
     return df.withColumn("in_train", slot < train_percent)

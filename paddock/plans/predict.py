@@ -85,39 +85,74 @@ def top_table(scored: DataFrame, group: Sequence[str] = (), n: int = TOP_N) -> D
     return ranked.select(*group, "rank", "driver_name", "pred")
 
 
+def _with_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """The frame with every feature a double; an absent one is null."""
+    known = set(df.columns)
+    return df.withColumns({c: (F.col(c) if c in known else F.lit(None)).cast("double") for c in features})
+
+
+def _collected(table: DataFrame) -> DataFrame:
+    """A table of at most some rows, computed now: a model that cannot run fails here."""
+    return table.sparkSession.createDataFrame(table.collect(), table.schema)
+
+
 def predict_round(tables: Tables, mode: str, year: int, round_number: int, seasons: Sequence[int],
                   include_standings: bool = False, top_n: int = TOP_N,
                   candidates: Sequence[models.Candidate] | None = None) -> Prediction:
     """Ranked prediction of one round by the model with the smallest walk-forward error.
 
-    Without training rows the prediction falls back to the heuristic.  The
-    training table feeds several fits, so it is written once.
+    A feature that no table has is null.  A candidate that fails is left out
+    with a note; the next best one predicts in its place, and without labelled
+    rows or a working candidate the heuristic does.  The training table feeds
+    several fits, so it is written once.
     """
     features = feature_columns(mode, include_standings)
     result = Prediction(table=None, model="heuristic", version="V1" if round_number <= 1 else f"V{round_number}")
+    fallback = fallback_columns(mode)
     current = current_features(tables, mode, year, round_number, include_standings)
-    train = cut_lineage(training_table(tables, mode, seasons, year, round_number, include_standings))
-    known = candidates if candidates is not None else models.candidates()
-    if train.isEmpty():
-        result.notes.append("not enough past data: heuristic")
-        scored = models.heuristic(current.withColumn("_all", F.lit(0)), ["_all"], fallback_columns(mode)).drop("_all")
-        result.table = top_table(scored, n=top_n)
+    current = cut_lineage(_with_features(current, [*features, *fallback]), "current")
+    train = _with_features(training_table(tables, mode, seasons, year, round_number, include_standings), features)
+    train = cut_lineage(train, "training")
+    if include_standings and tables.standings is None:
+        result.notes.append("no standings: position_start is unknown")
+    if current.isEmpty():
+        result.notes.append("no practice data" if mode == "qualifying" else "no practice or qualifying data")
+
+    def heuristic(note: str) -> Prediction:
+        result.notes.append(note)
+        scored = models.heuristic(current.withColumn("_all", F.lit(0)), ["_all"], fallback).drop("_all")
+        result.model, result.table = "heuristic", _collected(top_table(scored, n=top_n))
         return result
+
+    if train.where("target IS NOT NULL").isEmpty():
+        return heuristic("not enough past data: heuristic")
+    known = list(candidates if candidates is not None else models.candidates())
     folds = walk_forward_folds(train.select("event_key").distinct())
-    chosen = known[0]
+    board = []
     if folds.isEmpty():
         result.notes.append("too few events for walk-forward validation: first model by priority")
     else:
-        result.leaderboard = models.leaderboard(train, features, folds, known)
-        # One row per candidate.
-        board = result.leaderboard.collect()
-        if board:
-            chosen = next(m for m in known if m.name == board[0]["name"])
-            result.notes.append("walk-forward error: " + ", ".join(f"{r['name']}={r['mae']:.3f}" for r in board))
-    result.model = chosen.name
-    result.notes.append(f"model: {chosen.name}")
-    result.table = top_table(chosen.predict(train, current, features), n=top_n)
-    return result
+        for m in list(known):
+            try:
+                board += models.leaderboard(train, features, folds, [m]).collect()  # one row at most
+            except Exception as failure:  # noqa: BLE001 whatever a library raises, the other candidates go on
+                result.notes.append(f"{m.name} failed: {type(failure).__name__}")
+                known.remove(m)
+    if board:
+        board.sort(key=lambda r: (r["mae"], r["priority"]))
+        result.leaderboard = train.sparkSession.createDataFrame(board, "name string, priority int, mae double, folds long")
+        result.notes.append("walk-forward error: " + ", ".join(f"{r['name']}={r['mae']:.3f}" for r in board))
+    place = {r["name"]: i for i, r in enumerate(board)}
+    for m in sorted(known, key=lambda m: (place.get(m.name, len(board)), m.priority)):
+        try:
+            result.table = _collected(top_table(m.predict(train, current, features), n=top_n))
+        except Exception as failure:  # noqa: BLE001
+            result.notes.append(f"{m.name} failed: {type(failure).__name__}")
+            continue
+        result.model = m.name
+        result.notes.append(f"model: {m.name}")
+        return result
+    return heuristic("no model could be fitted: heuristic")
 
 
 def predict_all_heuristic(practice: DataFrame, n: int = TOP_N) -> DataFrame:

@@ -55,6 +55,7 @@ SWEEP_RUNS = _struct("sweep_id string, run_id string, param_value string")
 
 RESULT_DOCUMENT = (
     "version string, sport string, project string, config map<string,string>, "
-    "rows array<struct<rank: int, driver_name: string, pred: double>>, notes array<string>, generated_at string"
+    "rows array<struct<rank: int, driver_name: string, team: string, player: string, id: string, pred: double, score: double, value: double>>, "
+    "notes array<string>, generated_at string"
 )
 NOTEBOOK_DOCUMENT = "cells array<struct<cell_type: string, source: variant>>"

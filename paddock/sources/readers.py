@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paddock import schemas
+from paddock.functions.scalars import to_number
 
 # Folders that hold no notebooks.
 SKIPPED_FOLDERS = (".git", "node_modules", ".next", "target", "data", ".turbo", "platform", "papers")
@@ -58,9 +59,24 @@ def read_best_format(
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """CSV with header; quotes are doubled inside quoted fields."""
-    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"')
-    return (reader.schema(schema) if schema is not None else reader).csv(path)
+    """CSV with header; quotes are doubled inside quoted fields.
+
+    With a schema its columns are taken by name, whatever their order in the
+    file; an absent one is null, and so is a value that isn't of its type.
+    """
+    raw = spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    if schema is None:
+        return raw
+    found = {c.strip().lower(): c for c in raw.columns}
+
+    def typed(field: T.StructField) -> Column:
+        if field.name.lower() not in found:
+            return F.lit(None).cast(field.dataType).alias(field.name)
+        text = F.col(f"`{found[field.name.lower()]}`")
+        number = isinstance(field.dataType, (T.DoubleType, T.FloatType))
+        return (to_number(text).cast(field.dataType) if number else text.try_cast(field.dataType)).alias(field.name)
+
+    return raw.select(*map(typed, schema.fields))
 
 
 def read_endpoint(
@@ -74,19 +90,21 @@ def read_endpoint(
 
 
 def results_from_columns(raw: DataFrame, positions: Sequence[str], third_segment: str = "Q3") -> DataFrame:
-    """Result table with whatever id and position columns it has, in the fixed layout."""
+    """Result table with whatever id and position columns it has, in the fixed layout; ``ord`` stays if it is there."""
     id_col, pos_col = first_available(raw, ID_COLUMNS), first_available(raw, positions)
     if id_col is None:
         raise ValueError("no driver column")
-    position = F.col(pos_col).try_cast("double") if pos_col else F.lit(None).cast("double")
-    time = F.col(third_segment).cast("double") if third_segment in raw.columns else F.lit(None).cast("double")
+    position = to_number(F.col(pos_col).cast("string")) if pos_col else F.lit(None).cast("double")
+    time = to_number(F.col(third_segment).cast("string")) if third_segment in raw.columns else F.lit(None).cast("double")
     keys = [c for c in schemas.EVENT if c in raw.columns]
+    order = ["ord"] if "ord" in raw.columns else []
     return raw.select(
         *keys,
         F.col(id_col).cast("string").alias("driver_id"),
         F.col(id_col).cast("string").alias("driver_name"),
-        F.when(~F.isnan(position), position).alias("position"),
+        position.alias("position"),
         time.alias("q3_time"),
+        *order,
     )
 
 

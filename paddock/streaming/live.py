@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from paddock.operators.ordering import keep_last
 from paddock.session import scratch_path
 
 
@@ -23,17 +24,19 @@ def live_state(changes: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
 
 
 def live_daily_counts(changes: DataFrame, time: str, lateness: str = "2 days") -> DataFrame:
-    """Changes per day; a day is dropped from state once it is older than the allowed lateness."""
+    """Changes per day; in update mode a day leaves the state once it is older than the allowed lateness."""
     stamped = changes.withColumn("_at", F.col(time).cast("timestamp")).withWatermark("_at", lateness)
     days = stamped.groupBy(F.window("_at", "1 day").alias("_day")).agg(F.count(F.lit(1)).alias("runs"))
     return days.select(F.date_format("_day.start", "yyyy-MM-dd").alias("day"), "runs")
 
 
-def drain(df: DataFrame, label: str, mode: str = "complete") -> DataFrame:
-    """Process everything available, then return the result table written by the last batch.
+def drain(df: DataFrame, label: str, mode: str = "complete", keys: Sequence[str] = ()) -> DataFrame:
+    """Process everything available, then return the whole result.
 
-    Each batch replaces a folder of its own in the shared directory, so a
-    restarted batch writes the same place again.
+    Complete mode: what the last batch wrote.  Append mode: what all batches
+    wrote.  Update mode: the last row of each of ``keys``.  Each batch replaces
+    a folder of its own in the shared directory, so a restarted batch writes
+    the same place again.  A source without data gives no rows.
     """
     spark = df.sparkSession
     home = scratch_path(spark, label)
@@ -51,4 +54,11 @@ def drain(df: DataFrame, label: str, mode: str = "complete") -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{home}/batch={max(seen)}")
+    if not seen:
+        return spark.createDataFrame([], df.schema)
+    used = [max(seen)] if mode == "complete" else seen
+    written = spark.read.schema(df.schema).option("basePath", home).parquet(*[f"{home}/batch={b}" for b in used])
+    if mode != "update":
+        return written.select(*df.columns)
+    numbered = written.withColumn("_batch", F.regexp_extract(F.col("_metadata.file_path"), r"/batch=(\d+)/", 1).cast("long"))
+    return keep_last(numbered, list(keys), ["_batch"]).select(*df.columns)

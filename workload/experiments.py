@@ -292,9 +292,10 @@ def overview_counts(spark, d):
              p_partkey, p_brand, p_name, p_size FROM part)""",
 )
 def catalog_enrich(spark, d):
-    """The index knows the papers of small parts only, with their brand as sport."""
-    part = views.table(spark, d, "part").where("p_size <= 15")
-    name = F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-"), F.col("p_partkey").cast("string"), F.lit(".pdf"))
+    """The index knows all papers, but those of large parts by another name."""
+    part = views.table(spark, d, "part")
+    suffix = F.when(F.col("p_size") <= 15, F.lit(".pdf")).otherwise(F.lit("-old.pdf"))
+    name = F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-"), F.col("p_partkey").cast("string"), suffix)
     index = part.select(
         name.alias("file"),
         F.concat(F.lit("Paper on "), "p_name").alias("title"),
@@ -357,4 +358,4 @@ def stream_current_state(spark, d):
 
 @register("stream_daily_counts", "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS runs FROM events GROUP BY ALL")
 def stream_daily_counts(spark, d):
-    return live.drain(live.live_daily_counts(_changes(spark, d), "ts"), "daily")
+    return live.drain(live.live_daily_counts(_changes(spark, d), "ts"), "daily", "update", ["day"])

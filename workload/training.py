@@ -234,7 +234,7 @@ def _tables(spark, d) -> Tables:
 def predict_qualifying(spark, d):
     """Model chosen among boosted trees and ridge on the earlier rounds of the season."""
     known = models.candidates(iterations=5)
-    return predict_round(_tables(spark, d), "qualifying", 1998, 6, [1998], candidates=known).table
+    return predict_round(_tables(spark, d), "qualifying", 1998, 6, [1996, 1997, 1998], candidates=known).table
 
 
 @register("predict_race")
@@ -329,7 +329,15 @@ def summary_stats(spark, d):
     return metrics.summary_stats(rows, ["l_returnflag"], "c")
 
 
-@register("hash_split")
+@register(
+    "hash_split",
+    with_views(
+        """SELECT source, year, round_number, driver_id, event_key, target,
+             ('0x' || substr(md5('7:' || source || ':' || year || ':' || round_number || ':' || driver_id), 1, 8))::BIGINT % 100 < 80 AS in_train
+           FROM train_race""",
+        "train_race",
+    ),
+)
 def hash_split(spark, d):
     """Repeatable 80/20 split of the training rows."""
     from paddock.operators.training import hash_split as split
