@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tools.check_queries import TABLES, canonical
+from workload.registry import ENTRIES
 
 SF_DIR = "/root/testdata/sf0.001"
 SQL = entry.oracle_sql()
@@ -20,7 +21,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in SLOW])
+@pytest.mark.parametrize("name", [n for n in ENTRIES if n not in SLOW])
 def test_query(spark, duck, name):
     frame = entry.queries()[name](spark, SF_DIR)
     rows = frame.collect()
