@@ -218,6 +218,29 @@ def learn(labelled: DataFrame, vocabulary_path: str, rounds: int = ROUNDS, most:
     return model
 
 
+class WordScores:
+    """Log-probabilities of words met before, one row of a table for each; of the oldest, those met no more go."""
+
+    def __init__(self, model: Model):
+        self.model, self.rows, self.table = model, {}, np.zeros((0, model.table.shape[1]))
+
+    def totals(self, texts: list[list[str]]) -> np.ndarray:
+        """Sum over the words of each text (row) for every language (column); no text is without words."""
+        wanted = set().union(*texts)
+        if len(self.rows) > CACHE_ENTRIES:
+            kept = [w for w in wanted if w in self.rows]
+            self.table = self.table[[self.rows[w] for w in kept]]
+            self.rows = {w: i for i, w in enumerate(kept)}
+        new = list(wanted - self.rows.keys())
+        self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
+        self.table = np.vstack([self.table, forward(new, self.model)])
+        if not texts:
+            return np.zeros((0, self.table.shape[1]))
+        rows, sizes = self.rows, np.array([len(t) for t in texts])
+        numbers = np.array([rows[w] for t in texts for w in t])
+        return np.add.reduceat(self.table[numbers], np.cumsum(sizes) - sizes)
+
+
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, ``lang_pred`` and ``score`` for every row, from ``text`` alone.
 
@@ -234,25 +257,17 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        cache: dict[str, np.ndarray] = worker_cache(key, dict)
+        cache = worker_cache(key, lambda: WordScores(known))
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
-            lettered = [known.langs and t is not None and any(map(str.isalpha, t)) for t in texts]
-            bags = [Counter(text_words(t)) if ok else Counter() for t, ok in zip(texts, lettered)]
-            if len(cache) > CACHE_ENTRIES:
-                cache.clear()
-            new = list({w for bag in bags for w in bag if w not in cache})
-            cache.update(zip(new, forward(new, known)))
-            preds, scores = [], []
-            for bag, ok in zip(bags, lettered):
-                if not ok:
-                    preds.append(UNDETERMINED)
-                    scores.append(0.0)
-                    continue
-                total = np.array(list(bag.values()), float) @ np.array([cache[w] for w in bag])
-                best = int(total.argmax())
-                preds.append(known.langs[best])
-                scores.append(float(1.0 / np.exp(np.maximum(total - total[best], -700.0)).sum()))
+            found = [text_words(t) if known.langs and t is not None and any(map(str.isalpha, t)) else [] for t in texts]
+            preds, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+            rows = [i for i, words in enumerate(found) if words]
+            totals = cache.totals([found[i] for i in rows])
+            best = totals.argmax(axis=1) if rows else ()
+            for i, total, lang in zip(rows, totals, best):
+                preds[i] = known.langs[lang]
+                scores[i] = float(1.0 / np.exp(np.maximum(total - total[lang], -700.0)).sum())
             arrays = [*batch.columns[:-1], pa.array(preds, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[:-1], "lang_pred", "score"])
 
