@@ -177,8 +177,12 @@ class TextEncoder:
 
         self.vocabulary, self.find = vocabulary, regex.compile(pattern).findall
         self.decimal = {i: str(i) for i in vocabulary.tokens}
-        self.matches: dict[str, list[int]] = {}
         self.long: list[str] = []
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the caches; the vocabulary and what is known of its tokens stay."""
+        self.matches: dict[str, list[int]] = {}
         self.first, self.later = ChunkCache(), ChunkCache()
 
     def ids(self, text: str) -> list[int]:
@@ -254,5 +258,6 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.string()))],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        encoder.forget()  # an idle worker's memory serves others
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ENCODED)

@@ -20,6 +20,8 @@ from paddock.llm.texts import ChunkCache, chunks, small_batches, worker_cache
 BLOCK = 4096
 #: New chunks encoded in one call.
 JOINED = 1000
+#: Chunks in a generation of the cache; their ids take little room.
+CHUNKS = 350_000
 
 
 class ChunkEncoder:
@@ -35,7 +37,7 @@ class ChunkEncoder:
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for name, i in vocabulary.items():
             self.sizes[i] = len(name)
-        self.first, self.later = ChunkCache(), ChunkCache()
+        self.first, self.later = ChunkCache(), ChunkCache(CHUNKS)
 
     def _learn_heads(self, new: list[str]) -> None:
         for chunk, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):

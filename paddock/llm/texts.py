@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from paddock.session import scratch_path
 
 #: Rows and bytes in one Arrow batch; documents can be long.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 BATCH_BYTES = "8m"
 #: Entries that a cache of a Python worker holds at most; it is emptied then.
-CACHE_ENTRIES = 350_000
+CACHE_ENTRIES = 200_000
 
 #: Longer chunks are seldom met again, and may be of any size.
 CACHED_CHUNK = 64
@@ -56,13 +56,14 @@ def words(text: str | None) -> list[bytes]:
 class ChunkCache:
     """What was found for chunks, in two generations: what isn't met while one fills up goes with the next."""
 
-    def __init__(self):
+    def __init__(self, entries: int = CACHE_ENTRIES):
+        self.entries = entries
         self.found: dict[str, Any] = {}
         self.before: dict[str, Any] = {}
 
     def lacking(self, wanted: set[str]) -> list[str]:
         """The chunks to be found; all others of ``wanted`` are in ``found`` afterwards."""
-        if len(self.found) > CACHE_ENTRIES:
+        if len(self.found) > self.entries:
             self.found, self.before = {}, self.found
         found, before, out = self.found, self.before, []
         for chunk in wanted - found.keys():
