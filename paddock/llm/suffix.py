@@ -126,6 +126,7 @@ class Collection:
         at = longer[place]
         index = at - m + ended
         mine = self.bwt[place]
+        zeros = np.cumsum(self.lcp == 0)
         prefix = []
         for step in (-1, 1):  # the neighbour before and after, if it begins with the same symbol
             near = index + step
@@ -133,10 +134,10 @@ class Collection:
             other = order[np.clip(near, 0, len(order) - 1)]
             same = inside & (self.bwt[other] == mine)
             low, high = (other, place) if step < 0 else (place, other)
-            size = np.where(same, high - low, 0)
-            # The least of lcp[low + 1 .. high] of each pair, from one gathered array.
+            # The least of lcp[low + 1 .. high] of each pair: 0 if there is one, else from one gathered array.
+            size = np.where(same & (zeros[high] == zeros[low]), high - low, 0)
             keep = np.flatnonzero(size)
-            least = np.zeros(len(place), np.int32)
+            least = same.astype(np.int32)
             if len(keep):
                 n = size[keep]
                 begin = np.cumsum(n) - n
