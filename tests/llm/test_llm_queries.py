@@ -34,8 +34,10 @@ def test_languages_of_documents_held_out(spark):
 
 
 def test_quality_of_labelled_documents(spark):
-    labels = spark.read.parquet(f"{SF_DIR}/labels.parquet")
-    rows = QUERIES["op6_quality_rules"](spark, SF_DIR).join(labels, "doc_id").where("NOT base_failed")
+    """At the next scale, as some dozens of labelled rows teach little."""
+    folder = SF_DIR.replace("sf0.001", "sf0.01")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    rows = QUERIES["op6_quality_rules"](spark, folder).join(labels, "doc_id").where("NOT base_failed")
     assert rows.where((F.col("quality") == 1) != F.col("kept")).count() <= 0.03 * rows.count()
 
 
