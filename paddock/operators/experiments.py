@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paddock.functions.scalars import json_text, status_word
+from paddock.functions.scalars import display_label, json_text, nan_to_null, status_word
 from paddock.operators.ordering import keep_last
 
 
@@ -53,6 +53,13 @@ def result_rows(documents: DataFrame, key: str = "run_id") -> DataFrame:
     return documents.select(key, F.explode_outer("result.rows").alias("row")).select(key, "row.*")
 
 
+def display_rows(rows: DataFrame) -> DataFrame:
+    """What is shown of result rows: a label and a value; rows without a value are not shown."""
+    label = display_label(F.col("driver_name"), F.col("team"), F.col("player"), F.col("rank"), F.col("id"))
+    shown = rows.withColumns({"label": label, "shown": nan_to_null(F.coalesce("pred", "score", "value"))})
+    return shown.where("shown IS NOT NULL").select(rows.columns[0], "label", F.col("shown").alias("value"))
+
+
 def document_score(rows: Column) -> Column:
     """Mean of the numeric predictions in an array of result rows, null if there are none."""
     preds = F.filter(F.transform(rows, lambda r: r["pred"]), lambda p: p.isNotNull())

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from paddock import schemas
 from paddock.functions import scalars as fn
 from paddock.functions.parameters import MOTORSPORT, savings, typed_parameters
+from paddock.operators.experiments import display_rows, result_rows
 from paddock.operators.training import align, before_target, qualifying_targets
 from paddock.schemas import DRIVER, RACE_FEATURES
 from workload import views
@@ -273,16 +275,17 @@ def status_normalise(spark, d):
          l_quantity AS value FROM lineitem WHERE l_returnflag <> 'N'""",
 )
 def display_projection(spark, d):
+    """Orders as result documents with a row for each line, parsed and shown again."""
     kind = F.col("l_linenumber") % 3
-    team = F.when(kind == 0, F.concat(F.lit("S"), F.col("l_suppkey").cast("string")))
-    rank = F.when(kind == 1, F.col("l_partkey"))
-    score = F.when(F.col("l_returnflag") != "N", F.col("l_quantity").cast("string")).otherwise("n/a")
-    shown = views.table(spark, d, "lineitem").select(
-        "l_orderkey",
-        fn.display_label(F.lit(None), team, rank).alias("label"),
-        F.coalesce(F.lit(None).cast("double"), fn.to_number(score)).alias("value"),
+    row = F.struct(
+        F.when(kind == 0, F.concat(F.lit("S"), F.col("l_suppkey").cast("string"))).alias("team"),
+        F.when(kind == 1, F.col("l_partkey")).alias("rank"),
+        F.when(F.col("l_returnflag") != "N", F.col("l_quantity")).alias("score"),
     )
-    return shown.where("value is not null")
+    # An order has seven lines at most.
+    documents = views.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.to_json(F.struct(F.collect_list(row).alias("rows"))).alias("text"))
+    parsed = documents.select("l_orderkey", F.from_json("text", schemas.RESULT_DOCUMENT).alias("result"))
+    return display_rows(result_rows(parsed, "l_orderkey"))
 
 
 @register("normalise_text", "SELECT c_custkey, trim(replace(lower(' ' || replace(c_name, '#', '_')), '_', ' ')) AS name FROM customer")

@@ -174,7 +174,7 @@ def sink_prediction_json(spark, d):
         "result.version",
         F.inline("result.rows"),
     )
-    return rows.withColumn("rank", F.col("rank").cast("bigint"))
+    return rows.drop("team", "player", "id", "score", "value").withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @register(
