@@ -30,7 +30,7 @@ SKETCH_BITS = 512
 #: Sketches further apart than a similarity of this suggests are no candidates: 6 standard deviations below 0.8.
 SKETCH_LEAST = 0.60
 #: Documents of one bucket that one task compares with as many others.
-BLOCK = 512
+BLOCK = 1024
 _SEED = 20240229
 
 
@@ -169,8 +169,8 @@ def _close(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
 
 def _apart(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, cid, root) of the buckets whose documents are in several components."""
-    member = shared.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", F.coalesce("root", "cid").alias("root"))
+    """(key, t, cid, root) of the buckets whose documents are in several components."""
+    member = shared.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("key", "t", "cid", F.coalesce("root", "cid").alias("root"))
     split = member.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
     return member.join(split, "key")
 
@@ -189,15 +189,16 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tup
         yield group, rows
 
 
-def _suspects(members: DataFrame, sketches: DataFrame) -> DataFrame:
+def _suspects(members: DataFrame, classes: DataFrame) -> DataFrame:
     """(k, i, j, left, right, cid, root): documents of a bucket with a document of another component and a close sketch.
 
-    ``members``: (key, cid, root) of the buckets that hold several components.
-    A bucket is cut into blocks, and each task compares two of them.
+    ``members``: (key, t, cid, root) of the buckets that hold several
+    components, ``t`` the number of the band.  A bucket is cut into blocks, and
+    each task compares two of them; a pair is met in the first band it shares.
     """
     sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
-    placed = members.join(sizes, "key").join(sketches, "cid").withColumn("mine", mine)
+    placed = members.join(sizes, "key").join(classes.select("cid", "sketch", "bands"), "cid").withColumn("mine", mine)
     paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         F.col("key").alias("k"),
         F.least("mine", "other").alias("i"),
@@ -206,19 +207,23 @@ def _suspects(members: DataFrame, sketches: DataFrame) -> DataFrame:
         (F.col("mine") >= F.col("other")).alias("right"),
         "cid",
         "root",
+        "t",
         "sketch",
+        "bands",
     )
     limit = far_apart()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group, rows in _grouped(batches, 3):
             root = np.array([r[3] for r in rows], np.int64)
-            bits = np.array([r[4] for r in rows], np.int64).view(np.uint64)
+            bits = np.array([r[5] for r in rows], np.int64).view(np.uint64)
+            earlier = np.array([r[6] for r in rows], np.int64)[:, : rows[0][4]]
             left, right = (np.flatnonzero([r[c] for r in rows]) for c in (0, 1))
             close = np.zeros(len(rows), bool)
             for x in left:
                 near = right[root[right] != root[x]]
                 near = near[np.bitwise_count(bits[near] ^ bits[x]).sum(axis=1) <= limit]
+                near = near[~(earlier[near] == earlier[x]).any(axis=1)]
                 close[near] = True
                 close[x] |= len(near) > 0
             if close.any():
@@ -284,7 +289,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         grouped.select(F.monotonically_increasing_id().alias("cid"), "s1", "s2", F.col("m.id").alias("rep"), "m.bands", "m.sketch"), "classes"
     )
     sketches = classes.select("cid", "sketch")
-    keyed = classes.select("cid", F.explode("bands").alias("key"))
+    keyed = classes.select("cid", F.posexplode("bands").alias("t", "key"))
     hubs = keyed.groupBy("key").agg(F.min("cid").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = stage(keyed.join(hubs.select("key", "hub"), "key"), "buckets")
     star = shared.where("cid <> hub").select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct()
@@ -294,7 +299,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     links = stage(_confirmed(tried, full, percent), "links")
     roots = components(links)
     apart = stage(_apart(shared, roots), "apart")
-    suspects = stage(_suspects(apart, sketches), "suspects")
+    suspects = stage(_suspects(apart, classes), "suspects")
     if not suspects.isEmpty():
         roots = components(links.union(stage(_confirmed_suspects(suspects, full, percent), "links")))
     return _labelled(rows, classes, roots)
