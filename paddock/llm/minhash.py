@@ -96,30 +96,32 @@ def far_apart(least: float = SKETCH_LEAST) -> int:
     return int(SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** (2 * samples * (1 - least))))
 
 
-_SETS = "id long, n_shingles long, s1 long, s2 long, bands array<long>, sketch array<long>"
+_SETS = "row long, id long, text_hash long, n_shingles long, s1 long, s2 long, bands array<long>, sketch array<long>"
 
 
-def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """Per row: size and 128-bit hash of its set, band keys and sketch (null if the set is empty)."""
+def _sets(docs: DataFrame, n: int, row: Column) -> DataFrame:
+    """Per row: its number, size and 128-bit hash of its set, band keys and sketch (null if the set is empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for number, doc_id, text_hash, text in zip(*[c.to_pylist() for c in batch.columns]):
                 h = shingles(text, n)
                 sums = [int(x.sum(dtype=np.uint64).astype(np.int64)) for x in (h, _mix(h + np.uint64(1)))]
                 bands, sketch = signature(h) if len(h) else (None, None)
-                out.append((doc_id, len(h), *sums, bands, sketch))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*out), types)], ["id", "n_shingles", "s1", "s2", "bands", "sketch"]
-            )
+                out.append((number, doc_id, text_hash, len(h), *sums, bands, sketch))
+            types = [pa.int64()] * 6 + [pa.list_(pa.int64())] * 2
+            names = ["row", "id", "text_hash", "n_shingles", "s1", "s2", "bands", "sketch"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SETS)
+    return docs.select(row, F.col("doc_id").cast("long"), F.xxhash64("text"), "text").mapInArrow(run, _SETS)
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(cid, hashes) of the classes wanted (cid, rep, s1), from the document that stands for each."""
+    """(cid, hashes) of the classes wanted (cid, rep, text_hash, s1), from the document that stands for each.
+
+    A class without any doc_id (rep is null) is found by the hash of a text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,8 +134,14 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             )
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
+    found = texts.join(wanted.drop("text_hash"), "rep").select("cid", "s1", "text")
+    nameless = wanted.where("rep IS NULL").drop("rep")
+    if not nameless.isEmpty():
+        # Distinct, so that a text of many copies is cut once.
+        others = texts.where("rep IS NULL AND text IS NOT NULL").select("text").distinct().withColumn("text_hash", F.xxhash64("text"))
+        found = found.union(others.join(nameless, "text_hash").select("cid", "s1", "text"))
     # Repeated rows of a document give its set more than once.
-    return texts.join(wanted, "rep").select("cid", "s1", "text").mapInArrow(run, "cid long, hashes binary").dropDuplicates(["cid"])
+    return found.mapInArrow(run, "cid long, hashes binary").dropDuplicates(["cid"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -278,15 +286,42 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     nothing.  Documents are linked if 100 * intersection >= percent * union.
     ``component_id`` is the smallest doc_id that links reach.  Rows with the
     same doc_id are one document: they share a component, and repeated rows
-    give repeated rows.  Documents of equal sets become one class before
-    anything is compared, so thousands of copies cost no more than one.
+    give repeated rows.  A row without doc_id is a document of its own: it is
+    linked like any other, and kept only if no linked document has a doc_id and
+    it is the first of those; ``component_id`` is null then.  Documents of equal
+    sets become one class before anything is compared, so thousands of copies
+    cost no more than one.
+    """
+    rows, out = _linked(docs, n, percent, F.monotonically_increasing_id())
+    kept = F.col("id") == F.col("component_id")
+    if rows.where("id IS NULL AND n_shingles > 0").isEmpty():
+        kept = F.coalesce(kept, F.lit(True))
+    else:
+        nameless = out.where("component_id IS NULL AND root IS NOT NULL")
+        first = nameless.groupBy("root").agg(F.min(F.struct("text_hash", "row")).alias("m")).select("root", F.col("m.row").alias("first"))
+        out = out.join(first, "root", "left")
+        alone = F.col("component_id").isNull() & F.coalesce(F.col("row") == F.col("first"), F.lit(True))
+        kept = F.when(F.col("id").isNull(), alone).otherwise(kept)
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", kept.alias("kept"))
+
+
+def _linked(docs: DataFrame, n: int, percent: int, row: Column) -> tuple[DataFrame, DataFrame]:
+    """The written sets of all rows, and per row: row, id, text_hash, n_shingles, component_id, root.
+
+    ``row`` numbers the rows.  ``root`` is the class that stands for the linked
+    classes before rows of one doc_id are brought together; null for an empty set.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = stage(_sets(docs, n), "sets")
-    grouped = rows.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min(F.struct("id", "bands", "sketch")).alias("m"))
+    rows = stage(_sets(docs, n, row), "sets")
+    # The smallest doc_id there is: false comes before true, but null before any number.
+    least = F.min(F.struct(F.col("id").isNull(), "id", "text_hash", "bands", "sketch")).alias("m")
+    grouped = rows.where("n_shingles > 0").groupBy("s1", "s2").agg(least)
     classes = stage(
-        grouped.select(F.monotonically_increasing_id().alias("cid"), "s1", "s2", F.col("m.id").alias("rep"), "m.bands", "m.sketch"), "classes"
+        grouped.select(
+            F.monotonically_increasing_id().alias("cid"), "s1", "s2", F.col("m.id").alias("rep"), "m.text_hash", "m.bands", "m.sketch"
+        ),
+        "classes",
     )
     sketches = classes.select("cid", "sketch")
     keyed = classes.select("cid", F.posexplode("bands").alias("t", "key"))
@@ -295,36 +330,35 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     star = shared.where("cid <> hub").select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct()
     tried = stage(_close(star, sketches), "tried")
     ends = shared.select("cid").distinct()
-    full = stage(_full_sets(docs, classes.join(ends, "cid", "left_semi").select("cid", "rep", "s1"), n), "full")
+    wanted = classes.join(ends, "cid", "left_semi").select("cid", "rep", "text_hash", "s1")
+    full = stage(_full_sets(docs, wanted, n), "full")
     links = stage(_confirmed(tried, full, percent), "links")
     roots = components(links)
     apart = stage(_apart(shared, roots), "apart")
     suspects = stage(_suspects(apart, classes), "suspects")
     if not suspects.isEmpty():
         roots = components(links.union(stage(_confirmed_suspects(suspects, full, percent), "links")))
-    return _labelled(rows, classes, roots)
+    return rows, _labelled(rows, classes, roots)
 
 
 def _labelled(rows: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
     named = classes.select("cid", "s1", "s2", "rep")
     rooted = named.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     smallest = rooted.groupBy("root").agg(F.min("rep").alias("least"))
-    labelled = rooted.join(smallest, "root").select("s1", "s2", "least")
+    labelled = rooted.join(smallest, "root").select("s1", "s2", "least", "root")
     out = (
-        rows.select("id", "n_shingles", "s1", "s2")
+        rows.select("row", "id", "text_hash", "n_shingles", "s1", "s2")
         .join(labelled, ["s1", "s2"], "left")
         .withColumn("component_id", F.coalesce("least", "id"))
-        .select("id", "n_shingles", "component_id")
+        .select("row", "id", "text_hash", "n_shingles", "component_id", "root")
     )
     # Rows of one document with different texts join the components of all its texts.
-    several = out.groupBy("id").agg(F.min("component_id").alias("x"), F.max("component_id").alias("y")).where("x <> y")
+    several = out.where("id IS NOT NULL").groupBy("id").agg(F.min("component_id").alias("x"), F.max("component_id").alias("y")).where("x <> y")
     bridges = stage(out.join(several.select("id"), "id").groupBy("id", "component_id").agg(F.min("component_id").alias("_")).join(several, "id").select(F.col("component_id").alias("a"), F.col("x").alias("b")), "bridges")
     if not bridges.isEmpty():
-        merged = components(bridges)
-        out = out.join(merged.withColumnRenamed("node", "component_id"), "component_id", "left").withColumn("component_id", F.coalesce("root", "component_id"))
-    return out.select(
-        F.col("id").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")
-    )
+        merged = components(bridges).select(F.col("node").alias("component_id"), F.col("root").alias("_least"))
+        out = out.join(merged, "component_id", "left").withColumn("component_id", F.coalesce("_least", "component_id")).drop("_least")
+    return out
 
 
 def keep_first(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

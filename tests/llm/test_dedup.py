@@ -82,6 +82,29 @@ def test_near_duplicates(spark, make, odd):
     assert {r["doc_id"] for r in kept.collect()} == want and kept.columns == make(rows).columns
 
 
+def test_copies_without_doc_id(spark, make):
+    """Null ids share sets with other rows, are near copies of others, and are all there is in some groups."""
+    rng = random.Random(21)
+    a, b, c, d = (list(near_copies(rng, 120, 4, 1)) for _ in range(4))
+    rows = [(5, a[0]), (None, a[0]), (6, a[0]), (7, a[1]), (None, a[2])]
+    rows += [(None, b[0]), (None, b[1]), (12, b[2])]
+    rows += [(None, c[0]), (None, c[0]), (None, c[1]), (None, c[2])]
+    rows += [(20, d[0]), (20, d[1]), (None, None), (None, None), (None, " ")]
+    own = [(-1000 - i if r[0] is None else r[0], r[1]) for i, r in enumerate(rows)]
+    # Brute force with numbers for nulls that come after all others.
+    stood = {r[0]: 1000 - r[0] if r[0] < 0 else r[0] for r in own}
+    root = {r[0]: r[2] for r in brute([(stood[i], t) for i, t in own], 5, 80)}
+    want = Counter()
+    for i, _ in own:
+        top = root[stood[i]]
+        want[None if i < 0 else i, None if top >= 1000 else top, top] += 1
+    got = minhash.near_duplicates(make(rows)).collect()
+    assert Counter((r["doc_id"], r["component_id"]) for r in got) == Counter({k[:2]: sum(n for m, n in want.items() if m[:2] == k[:2]) for k in want})
+    assert {r["doc_id"] for r in got if r["kept"] and r["doc_id"] is not None} == {5, 12, 20}
+    # Of the group that has only nulls one row, and the three empty ones.
+    assert sum(r["kept"] for r in got if r["doc_id"] is None) == 4
+
+
 def test_large_group_of_near_copies(spark, make, monkeypatch):
     """A group in which no single document is near all others, cut into many blocks."""
     monkeypatch.setattr(minhash, "BLOCK", 16)
