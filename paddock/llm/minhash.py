@@ -362,11 +362,22 @@ def _labelled(rows: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFram
 
 
 def keep_first(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each group the document with the smallest doc_id.
+    """Exactly one row of ``docs`` of each group of near-duplicates: that of the smallest doc_id.
 
-    Repeated rows of one doc_id with different texts stay together; equal rows stay as often as they occur.
-    Rows without doc_id are judged by none and stay.
+    Equal rows and rows of one doc_id with different texts are one group.  Rows without doc_id take part as documents
+    of their own, which come after those that have one; each with an empty set is a group by itself.  Of rows with
+    equal doc_id and text any one stays.
     """
-    (name,) = fresh(docs, "_gone")
-    gone = near_duplicates(docs, n, percent).where("NOT kept").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
+    named, held, own, many = fresh(docs, "_id", "_held", "_own", "_many")
+    _, out = _linked(docs, n, percent, F.monotonically_increasing_id())
+    alone = F.col("id").isNull() & F.col("root").isNull()
+    group = ["component_id", F.when(F.col("component_id").isNull(), F.col("root")).alias("g")]
+    each = out.where(~alone).groupBy(*group, "id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    first = each.groupBy("component_id", "g").agg(F.min(F.struct(F.col("id").isNull(), "id", "text_hash", "n")).alias("m"))
+    kept = first.select(F.col("m.id").alias(named), F.col("m.text_hash").alias(held), (F.col("m.n") > 1).alias(many))
+    kept = stage(kept.union(out.where(alone).select("id", "text_hash", F.lit(False)).distinct()), "kept")
+    chosen = docs.withColumn(own, F.xxhash64("text")).join(
+        kept, F.col("doc_id").cast("long").eqNullSafe(F.col(named)) & (F.col(own) == F.col(held))
+    )
+    # Only rows that are repeated meet others.
+    return chosen.where(~F.col(many)).union(chosen.where(many).dropDuplicates([named, held])).select(*docs.columns)

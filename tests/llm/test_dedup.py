@@ -105,6 +105,22 @@ def test_copies_without_doc_id(spark, make):
     assert sum(r["kept"] for r in got if r["doc_id"] is None) == 4
 
 
+def test_one_row_of_each_group_stays(spark, make):
+    """Equal rows, copies without doc_id and groups of nulls only; what stays has its whole text in the next stage."""
+    rng = random.Random(22)
+    a, b, c, d = (list(near_copies(rng, 120, 4, 1)) for _ in range(4))
+    rows = [(5, a[0]), (5, a[0]), (None, a[0]), (6, a[1]), (None, b[0]), (12, b[1]), (None, c[0]), (None, c[0]), (None, c[1])]
+    rows += [(20, d[0]), (20, "document twenty again"), (None, None), (None, None), (30, None), (30, None), (31, "")]
+    docs = make(rows)
+    kept = minhash.keep_first(docs)
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    assert sorted(r["doc_id"] for r in got if r["doc_id"] is not None) == [5, 12, 20, 30, 31]
+    assert sorted((r["text"] or "")[:20] for r in got if r["doc_id"] is None) in [sorted(["", "", x[:20]]) for x in c[:2]]
+    left = suffix.without_repeats(kept).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in left) == sorted((r["doc_id"] or 0, r["text"] or "") for r in got)
+
+
 def test_large_group_of_near_copies(spark, make, monkeypatch):
     """A group in which no single document is near all others, cut into many blocks."""
     monkeypatch.setattr(minhash, "BLOCK", 16)
