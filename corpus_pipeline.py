@@ -32,7 +32,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix wants them, in shuffled order; copies are equal rows."""
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.mix(docs, most_copies=None).select(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -216,3 +216,28 @@ def test_mix(spark, make):
     assert mixing.mix(make([])).collect() == []
     with pytest.raises(Exception, match="500 copies"):
         mixing.mix(make([(1, "x", None, "a"), (2, "x" * 3000, None, "b")]), weights.selectExpr("'a' AS source", "1.0 AS weight").limit(1)).collect()
+
+
+def test_mix_of_a_tiny_source(spark, make, tmp_path):
+    """One character against millions: a rate in the thousands, in the query and in the pipeline's stage."""
+    import corpus_pipeline
+    from paddock.llm.queries import QUERIES
+
+    rows = [(1, "x", None, "tiny"), (2, "y", None, None)] + [(10 + i, "x" * 300_000, None, f"s{i % 3}") for i in range(60)]
+    docs = make(rows, False)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rate = {r["source"]: r["rate"] for r in mixing.source_rates(docs, most_copies=None).collect()}
+    assert rate["tiny"] == rate[None] > 2 * mixing.MOST_COPIES
+    for out in (QUERIES["op4_mixing"](spark, str(tmp_path)), corpus_pipeline.source_mix(spark, docs, str(tmp_path))):
+        n = Counter(r["doc_id"] for r in out.select("doc_id").collect())
+        assert all(abs(n[i] - rate["tiny"]) < 6 * math.sqrt(rate["tiny"]) for i in (1, 2)) and n[1] != n[2]
+
+
+def test_counts_of_large_means(spark):
+    """Mean and variance of a Poisson variable, below and above the mean that one draw serves."""
+    from pyspark.sql import functions as F
+
+    for rate in (499.0, 501.0, 5000.0):
+        uniform = lambda part: mixing.hashed("id", *([] if part is None else [part.cast("string")])) / F.lit(2.0**52)
+        n = [r[0] for r in spark.range(2000).withColumn("id", F.col("id").cast("string")).select(mixing.draws(F.lit(rate), uniform)).collect()]
+        assert abs(np.mean(n) - rate) < 5 * math.sqrt(rate / 2000) and 0.8 * rate < np.var(n) < 1.2 * rate
