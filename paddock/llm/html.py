@@ -22,9 +22,14 @@ from paddock.llm.texts import small_batches
 
 # Fixed values of HTML: elements that don't break a block, that hold raw text, that stand for parts of a page.
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr img".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr img "
+    "math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub "
+    "msubsup msup mtable mtd mtext mtr munder munderover none semantics".split()
+)
+# Elements whose content is not text of the page; of these only the first two run to the page's end if they aren't closed.
+RAW = frozenset(
+    "script style noscript template title textarea svg annotation annotation-xml iframe object canvas audio video select button".split()
 )
-RAW = "script|style|noscript|template|title|textarea|svg|math|iframe|object|canvas|audio|video|select|button"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SIDE = frozenset("nav footer header aside form menu dialog head fieldset".split())
 ARTICLE = frozenset("article main".split())
@@ -35,16 +40,19 @@ SIDE_WORDS = frozenset(
     "notice notices overlay pagination pager popup promo promoted promotion recommended related replies reply search share sharing "
     "sidebar signup skip social sponsor sponsored subscribe tags toolbar toc widget widgets".split()
 )
+# Parts of a compound name behind the part that names the thing, and parts that make it a property of something else.
+PLACES = frozenset("area bar block bottom box container inner item items left links list outer right section slot top unit wrap wrapper".split())
+PROPERTIES = frozenset("category format has hide is js no not show status tag type with without".split())
 ARTICLE_WORDS = frozenset("article articlebody content entry main maincontent post postcontent story storybody".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)"
-    rf"|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-z][^\s/>]*)(?P<rest2>[^>]*+)(?:>|\Z)"
     r"|<[!?][^>]*+(?:>|\Z)|</[^>]*+(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
+_RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.IGNORECASE) for tag in RAW}
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+")
 
@@ -193,6 +201,24 @@ class Block:
     region: int
 
 
+def _named(name: str) -> int:
+    """What one class, id or role says of an element: 1 article, -1 aside, 0 nothing.
+
+    The part that names the thing is the last one that isn't a place: ``left-sidebar`` and ``comments-area`` are
+    aside, ``comments-open`` and ``has-sidebar`` say nothing, and ``entry-header`` is the article's own.
+    """
+    parts = _WORD.findall(name)
+    held = set(parts)
+    aside = held & SIDE_WORDS
+    if not aside:
+        return 1 if held & ARTICLE_WORDS else 0
+    if aside == {"header"} and held & {"article", "entry", "post", "story"}:
+        return 1
+    while len(parts) > 1 and parts[-1] in PLACES:
+        parts.pop()
+    return -1 if parts[-1] in SIDE_WORDS and not held & PROPERTIES else 0
+
+
 def _region(tag: str, rest: str, now: int) -> int:
     """The region inside an element that stands in region ``now``."""
     if tag in ARTICLE:
@@ -205,10 +231,10 @@ def _region(tag: str, rest: str, now: int) -> int:
         names = set()
         if tag not in ("html", "body"):
             for m in _NAMES.finditer(rest):
-                names.update(_WORD.findall((m[1] or m[2] or m[3] or "").lower()))
-        if names & SIDE_WORDS:
+                names.update(map(_named, (m[1] or m[2] or m[3] or "").lower().split()))
+        if -1 in names:
             return -1
-        if now == 0 and names & ARTICLE_WORDS:
+        if now == 0 and 1 in names:
             return 1
     return now
 
@@ -219,6 +245,7 @@ def blocks(page: str) -> list[Block]:
     open_tags: list[tuple[str, int]] = []  # elements that aren't inline, with the region outside them
     region, in_link, at = 0, False, 0
     parts: list[tuple[str, bool]] = []
+    unclosed: set[str] = set()  # raw elements that no end tag follows any more
 
     def close():
         if parts:
@@ -229,17 +256,28 @@ def blocks(page: str) -> list[Block]:
                 found.append(Block(text, n, min(1.0, linked / n), region))
             parts.clear()
 
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             parts.append((page[at : m.start()], in_link))
         at = m.end()
         tag = m["tag"] or m["tag2"]
         if tag is None:
-            if m["raw"] and m["raw"].lower() in ("select", "button", "textarea"):
-                close()
             continue
         tag = tag.lower()
         ends = bool(m["end"] or m["end2"])
+        rest = m["rest"] or m["rest2"] or ""
+        if tag in ("svg", "math") and rest.endswith("/"):
+            continue
+        if tag in RAW and not ends and tag not in unclosed:
+            if tag in ("select", "button", "textarea"):
+                close()
+            if end := _RAW_ENDS[tag].search(page, at):
+                at = end.end()
+                continue
+            if tag in ("script", "style"):
+                at = len(page)
+                break
+            unclosed.add(tag)
         if tag in INLINE:
             if tag == "a":
                 in_link = not ends
@@ -261,7 +299,7 @@ def blocks(page: str) -> list[Block]:
                 open_tags.clear()
                 region = 0
             open_tags.append((tag, region))
-            region = _region(tag, m["rest"] or m["rest2"] or "", region)
+            region = _region(tag, rest, region)
     if at < len(page):
         parts.append((page[at:], in_link))
     close()

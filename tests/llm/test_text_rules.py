@@ -95,6 +95,27 @@ def test_pages_without_marks():
     assert html.main_text(page, html.train()) == " ".join((words(80), words(60), words(70)))
 
 
+def test_elements_that_end_early_or_never():
+    tree = html.train()
+    for odd in ("<svg/>", "<svg class=i/>", "<svg class='i' />", "<video-player></video-player>", "<button-bar>", "<title-x>", "<svg>", "<canvas>", "<math/>"):
+        assert html.main_text(f"<article><p>one</p>{odd}<p>two</p><p>three</p></article>", tree) == "one two three"
+    page = "<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds<svg><text>no</text></svg> <video>no</video>here</p><script>no"
+    assert html.main_text(page, tree) == "so x=2 holds here"
+    for piece in ("<svg>", "<video>", "<button>", "<svg/>"):
+        html.main_text(piece * 50_000, tree)
+
+
+def test_names_that_only_mention_a_side():
+    tree = html.train()
+    words = lambda n: " ".join(f"w{i}" for i in range(n))
+    text = f"<p>{words(80)}</p><p>{words(60)}</p>"
+    for name in ("layout has-sidebar", "post comments-open", "no-sidebar", "post category-social", "page header-fixed"):
+        assert html.main_text(f'<div class="{name}">{text}</div>', tree) == f"{words(80)} {words(60)}"
+    assert html.main_text(f'<div class="post"><div class="entry-header"><h1>The title</h1></div>{text}</div>', tree).startswith("The title w0")
+    for name in ("sidebar", "left-sidebar", "sidebar-left", "comments-area", "cookie-notice", "main-nav", "site-header", "post-comments", "widget_area"):
+        assert html.main_text(f'<div class="{name}">{text}</div>', tree) == ""
+
+
 def test_tree_learns_the_table():
     tree = html.train()
     assert all(tree.decide(x) == y for x, y in html.LABELLED)
