@@ -5,7 +5,8 @@ A shard holds the documents of one range of doc_id in ascending order:
 - frames, each the zstandard form of at most ``FRAME_IDS`` ids as
   little-endian unsigned 32-bit integers; documents may cross frames;
 - a skippable frame (magic 0x184D2A50) with the index of documents: their ids
-  and numbers of tokens, as two compressed columns of 64-bit integers;
+  and numbers of tokens as two columns of 64-bit integers, and a column of
+  bytes that is 0 where a document has no id, compressed together;
 - a skippable frame (magic 0x184D2A5E) with the seek table of the public
   seekable format: for each frame its compressed size, its size and the lower
   32 bits of the XXH64 of its content; then the number of frames, a descriptor
@@ -65,7 +66,7 @@ class ShardWriter:
         self.hash = xxhash.xxh64_intdigest
         self.pending, self.table, self.docs, self.counts = bytearray(), [], [], []
 
-    def add(self, doc_id: int, packed: bytes) -> None:
+    def add(self, doc_id: int | None, packed: bytes) -> None:
         self.docs.append(doc_id)
         self.counts.append(len(packed) // 4)
         self.pending += packed
@@ -82,8 +83,8 @@ class ShardWriter:
         """Number of documents and of ids."""
         if self.pending:
             self._frame(bytes(self.pending))
-        ids, counts = (np.array(c, "<i8").tobytes() for c in (self.docs, self.counts))
-        index = struct.pack("<Q", len(self.docs)) + self.compress(ids + counts)
+        ids, counts = (np.array(c, "<i8").tobytes() for c in ([d or 0 for d in self.docs], self.counts))
+        index = struct.pack("<Q", len(self.docs)) + self.compress(ids + counts + bytes([d is not None for d in self.docs]))
         self.out.write(struct.pack("<II", INDEX_MAGIC, len(index)) + index)
         seek = b"".join([struct.pack("<III", *t) for t in self.table]) + struct.pack("<IBI", len(self.table), 0x80, FOOTER_MAGIC)
         self.out.write(struct.pack("<II", SEEK_MAGIC, len(seek)) + seek)
@@ -115,8 +116,9 @@ class ShardReader:
         self.decompress = zstandard.ZstdDecompressor().decompress
         index = self._at(at + 8, size)
         (n,) = struct.unpack("<Q", index[:8])
-        both = np.frombuffer(self.decompress(index[8:]), "<i8")
-        self.doc_ids, self.counts = both[:n], both[n:]
+        columns = self.decompress(index[8:])
+        self.doc_ids, self.counts = np.frombuffer(columns, "<i8", 2 * n).reshape(2, n)
+        self.named = np.frombuffer(columns, np.uint8, n, 16 * n).astype(bool)
         self.first = np.concatenate([[0], np.cumsum(self.counts)])
         self._held: tuple[int, bytes] = (-1, b"")
 
@@ -155,13 +157,17 @@ def _shard_number(docs: DataFrame, key: str, shards: int):
     return F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= F.col(key))) if cuts else F.lit(0)
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int, shards: int | None = None) -> DataFrame:
+def write_token_files(
+    docs: DataFrame, tokenizer: str, folder: str, end_id: int, shards: int | None = None, nameless: bool = False
+) -> DataFrame:
     """Write the ids of ``docs`` (doc_id, text) to shards in ``folder``; return one row per shard.
 
     Documents are in ascending order of doc_id, across shards too; rows with
     the same doc_id share a shard, ordered by text.  ``end_id`` ends every
     document; a null or empty text is the end id alone.  An empty table gives
-    no shard.  Rows without doc_id cannot be asked for and raise an error.
+    no shard.  Rows without doc_id cannot be asked for and raise an error,
+    unless ``nameless`` says that they come first, ordered by text, in the
+    first shard; they are read back with a null doc_id.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -179,7 +185,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int,
         for batch in batches:
             numbers, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for number, doc_id, packed in zip(numbers, ids, encoder.packed([t or "" for t in batch.column(2).to_pylist()])):
-                if doc_id is None:
+                if doc_id is None and not nameless:
                     raise ValueError("a document without doc_id")
                 if number != shard:
                     if writer:
@@ -228,7 +234,7 @@ def read_token_files(shards: DataFrame) -> DataFrame:
                 sums = [zlib.crc32(reader.document(i)) for i in range(low, high)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(reader.doc_ids[low:high]),
+                        pa.array(reader.doc_ids[low:high], mask=~reader.named[low:high]),
                         pa.array(reader.first[low:high] + row["base"]),
                         pa.array(reader.counts[low:high]),
                         pa.array(sums, pa.int64()),
@@ -242,6 +248,6 @@ def read_token_files(shards: DataFrame) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """Write token files to the shared folder and read every document back from them."""
+    """Write token files to the shared folder and read every document back from them, those without doc_id too."""
     folder = scratch_path(docs.sparkSession, "tokens")
-    return read_token_files(stage(write_token_files(docs, tokenizer, folder, end_id), "shards"))
+    return read_token_files(stage(write_token_files(docs, tokenizer, folder, end_id, nameless=True), "shards"))

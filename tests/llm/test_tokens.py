@@ -108,6 +108,20 @@ def test_token_files_round_trip(spark, make, odd, tmp_path):
         tokenfile.write_token_files(make([(None, "x")]), JSON, folder, 2).collect()
 
 
+def test_token_files_of_documents_without_id(spark, make, odd):
+    """They come first, in the order of their texts, and count for the start of all others."""
+    own = Tokenizer.from_file(JSON)
+    own.encode_special_tokens = True
+    for rows in ([(None, "zero"), (None, None), *odd, (None, "a first one"), (0, "nought")], [(None, "only this")]):
+        want, at = [], 0
+        for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+            ids = own.encode(text or "", add_special_tokens=False).ids + [2]
+            want.append((doc_id, at, len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))))
+            at += len(ids)
+        got = tokenfile.round_trip(make(rows), JSON, 2).collect()
+        assert sorted(map(tuple, got), key=lambda r: r[1]) == want
+
+
 def test_documents_cross_frames(tmp_path):
     path = str(tmp_path / "s" / "x.zst")
     writer = tokenfile.ShardWriter(path)
