@@ -196,8 +196,8 @@ def ridge_fit(spark, d):
 
 @register("gbt_fit")
 def gbt_fit(spark, d):
-    """Boosted trees on all race rows, five rounds of boosting, scored on the same rows."""
-    tree = next(m for m in models.candidates(iterations=5) if m.name == "hist_gradient_boosting")
+    """Boosted trees on all race rows, scored on the same rows."""
+    tree = next(m for m in models.candidates() if m.name == "hist_gradient_boosting")
     train = _materialised(spark, d)
     return tree.predict(train, train, list(RACE_FEATURES)).select(*DRIVER, "target", "pred")
 
@@ -233,7 +233,7 @@ def _tables(spark, d) -> Tables:
 @register("predict_qualifying")
 def predict_qualifying(spark, d):
     """Model chosen among boosted trees and ridge on the earlier rounds of the season."""
-    known = models.candidates(iterations=5)
+    known = models.candidates()
     return predict_round(_tables(spark, d), "qualifying", 1998, 6, [1996, 1997, 1998], candidates=known).table
 
 
