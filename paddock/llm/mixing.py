@@ -108,7 +108,7 @@ def mix(
     The key deals every copy to a partition and orders it there.
 
     Rows with the same doc_id and source are replicated alike; rows of a null
-    doc_id share one number.  Sources with rate 0 and empty tables give no
+    doc_id are told apart by text and source.  Sources with rate 0 and empty tables give no
     rows.  A source whose rate is above ``most_copies`` makes the mix fail; None
     sets no limit.  Columns named ``copy`` or ``shuffle_key`` in ``docs`` give way to those
     of the mix.
@@ -117,7 +117,8 @@ def mix(
     named, rate, count = fresh(docs, "_source", "_rate", "_count")
     # Written, so that its real size decides on a broadcast; sources may be many.
     rates = stage(source_rates(docs, weights, temperature, most_copies), "rates").select(F.col("source").alias(named), F.col("rate").alias(rate))
-    doc_id = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    content = F.concat_ws(":", F.md5(F.coalesce("text", F.lit(""))), "source")
+    doc_id = F.coalesce(F.col("doc_id").cast("string"), content)
 
     def uniform(part: Column | None) -> Column:
         return hashed(F.lit(f"{seed}:count"), doc_id, *([] if part is None else [part.cast("string")])) / F.lit(float(1 << _BITS))

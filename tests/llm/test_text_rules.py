@@ -254,6 +254,16 @@ def test_mix_of_a_tiny_source(spark, make, tmp_path):
         assert all(abs(n[i] - rate["tiny"]) < 6 * math.sqrt(rate["tiny"]) for i in (1, 2)) and n[1] != n[2]
 
 
+def test_mix_of_rows_without_doc_id(spark, make):
+    """They are drawn and placed one by one, not all together."""
+    rows = [(None, f"text {i:04d}", None, "big") for i in range(1000)] + [(i, f"x{i:08d}", None, "small") for i in range(100)]
+    docs = make(rows)
+    rate = {r["source"]: r["rate"] for r in mixing.source_rates(docs).collect()}["big"]
+    got = [r for r in mixing.mix(docs).collect() if r["source"] == "big"]
+    assert abs(len(got) - 1000 * rate) < 6 * math.sqrt(1000 * rate)
+    assert len({r["shuffle_key"] for r in got}) == len(got)
+
+
 def test_counts_of_large_means(spark):
     """Mean and variance of a Poisson variable, below and above the mean that one draw serves."""
     from pyspark.sql import functions as F
