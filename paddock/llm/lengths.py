@@ -25,7 +25,11 @@ CHUNKS = 350_000
 
 
 class ChunkEncoder:
-    """A byte-level tokenizer of the ``tokenizers`` library that keeps the ids of chunks it has met, as 4-byte numbers."""
+    """A byte-level tokenizer of the ``tokenizers`` library that keeps the ids of chunks it has met, as 4-byte numbers.
+
+    Names of special tokens in a text, such as ``<|endoftext|>``, are encoded as plain text
+    (``encode_special_tokens``); by default the library gives them their own ids.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
