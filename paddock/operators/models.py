@@ -8,11 +8,11 @@ from functools import reduce
 from importlib.util import find_spec
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paddock.functions.scalars import row_mean
+from paddock.operators import boosting
 from paddock.operators.ordering import impute_medians
 from paddock.operators.walkforward import (
     fit_ridge,
@@ -22,12 +22,8 @@ from paddock.operators.walkforward import (
     mean_of_folds,
 )
 
-# Settings of the models.
+# Fixed value: penalty of the ridge weights.
 RIDGE_ALPHA = 1.0
-BOOSTING_STEP = 0.05
-BOOSTING_DEPTH = 5
-BOOSTING_SEED = 42
-BOOSTING_ITERATIONS = 600
 
 
 @dataclass(frozen=True)
@@ -64,7 +60,29 @@ def ridge_predict(train: DataFrame, current: DataFrame, features: Sequence[str])
 # -- boosted trees -----------------------------------------------------------
 
 
-def _boosted(train: DataFrame, current: DataFrame, features: Sequence[str], regressor) -> DataFrame:
+class BoostedTrees:
+    """Trees for all folds and for the whole table from one fit, which the prediction uses if it is of the same table."""
+
+    def __init__(self, settings: boosting.Settings = boosting.Settings()):
+        self.settings = settings
+        self._known: tuple | None = None
+
+    def _fit(self, train: DataFrame, features: Sequence[str], folds: Sequence[int]) -> boosting.Fit:
+        found = boosting.fit(train, features, folds, self.settings)
+        self._known = (train, list(features), found)
+        return found
+
+    def errors(self, train: DataFrame, features: Sequence[str], folds: DataFrame) -> DataFrame:
+        # The list of folds is as long as the calendar.
+        return fold_errors(self._fit(train, features, [r["event_key"] for r in folds.collect()]).validation)
+
+    def predict(self, train: DataFrame, current: DataFrame, features: Sequence[str]) -> DataFrame:
+        same = self._known is not None and self._known[0] is train and self._known[1] == list(features)
+        found = self._known[2] if same else self._fit(train, features, ())
+        return boosting.score(found.forest, _one_group(current, features), features)
+
+
+def _library(train: DataFrame, current: DataFrame, features: Sequence[str], regressor) -> DataFrame:
     pack = VectorAssembler(inputCols=list(features), outputCol="_x")
     labelled = _one_group(train, features).where("target is not null")
     model = regressor.fit(pack.transform(labelled.select(*features, "target")))
@@ -76,30 +94,18 @@ def _per_fold(train: DataFrame, features: Sequence[str], folds: DataFrame, regre
     """One distributed fit per fold; the fold list is as long as the calendar."""
     keys = [r["event_key"] for r in folds.orderBy("event_key").collect()]
     scored = [
-        _boosted(train.where(F.col("event_key") < k), train.where(F.col("event_key") == k), features, regressor)
+        _library(train.where(F.col("event_key") < k), train.where(F.col("event_key") == k), features, regressor)
         for k in keys
     ]
     return fold_errors(reduce(DataFrame.unionByName, scored).select("event_key", "target", "pred"))
 
 
-def boosted_trees(iterations: int = BOOSTING_ITERATIONS):
-    return GBTRegressor(
-        featuresCol="_x",
-        labelCol="target",
-        predictionCol="_y",
-        stepSize=BOOSTING_STEP,
-        maxDepth=BOOSTING_DEPTH,
-        seed=BOOSTING_SEED,
-        maxIter=iterations,
-    )
-
-
 def _tree_candidate(name: str, priority: int, make: Callable[[], object]) -> Candidate:
     return Candidate(
         name,
         priority,
         lambda train, features, folds: _per_fold(train, features, folds, make()),
-        lambda train, current, features: _boosted(train, current, features, make()),
+        lambda train, current, features: _library(train, current, features, make()),
     )
 
 
@@ -119,12 +125,13 @@ def _xgboost():
     )
 
 
-def candidates(iterations: int = BOOSTING_ITERATIONS) -> list[Candidate]:
+def candidates(iterations: int = boosting.Settings.iterations) -> list[Candidate]:
     """Known models in priority order; one whose library is missing is left out."""
     found = []
     if find_spec("xgboost") is not None:
         found.append(_tree_candidate("xgboost", 0, _xgboost))
-    found.append(_tree_candidate("hist_gradient_boosting", 1, lambda: boosted_trees(iterations)))
+    trees = BoostedTrees(boosting.Settings(iterations=iterations))
+    found.append(Candidate("hist_gradient_boosting", 1, trees.errors, trees.predict))
     found.append(Candidate("ridge", 2, ridge_errors, ridge_predict))
     return found
 

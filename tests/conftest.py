@@ -11,12 +11,3 @@ from paddock.session import local_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     return local_session(4, partitions=4, memory="6g", stages=str(tmp_path_factory.mktemp("stages")))
-
-
-def values(df, *order):
-    """Rows as tuples, sorted by the given columns or by all."""
-    rows = [tuple(r) for r in df.collect()]
-    if not order:
-        return sorted(rows, key=lambda r: tuple((v is None, str(v)) for v in r))
-    at = [df.columns.index(c) for c in order]
-    return sorted(rows, key=lambda r: tuple((r[i] is None, r[i]) for i in at))

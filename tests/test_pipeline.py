@@ -5,8 +5,8 @@ import json
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import values
 from pyspark.sql import functions as F
+from rows import values
 
 from paddock import schemas
 from paddock.operators import dataset as ds

@@ -9,8 +9,6 @@ from workload.registry import ENTRIES
 
 SF_DIR = "/root/testdata/sf0.001"
 SQL = entry.oracle_sql()
-# Fits many models; exercised on inline tables in test_pipeline.
-SLOW = {"predict_qualifying", "predict_race", "gbt_fit"}
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +19,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", [n for n in ENTRIES if n not in SLOW])
+@pytest.mark.parametrize("name", list(ENTRIES))
 def test_query(spark, duck, name):
     frame = entry.queries()[name](spark, SF_DIR)
     rows = frame.collect()
@@ -35,21 +33,3 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
-
-
-def test_registered_models_boost_in_full(spark, monkeypatch):
-    """Both queries fit the default number of iterations; the fits themselves are replaced by short ones."""
-    from types import SimpleNamespace
-
-    from paddock.operators import models
-    from workload import training
-
-    asked, real = [], models.boosted_trees
-    monkeypatch.setattr(models, "boosted_trees", lambda iterations: asked.append(iterations) or real(1))
-    ENTRIES["gbt_fit"].run(spark, SF_DIR)
-    assert asked == [models.BOOSTING_ITERATIONS]
-    known, default = [], models.candidates
-    monkeypatch.setattr(models, "candidates", lambda *args, **more: known.append((args, more)) or default(*args, **more))
-    monkeypatch.setattr(training, "predict_round", lambda *_, **more: SimpleNamespace(table=more["candidates"]))
-    ENTRIES["predict_qualifying"].run(spark, SF_DIR)
-    assert known == [((), {})]

@@ -3,8 +3,8 @@
 import json
 
 import pytest
-from conftest import values
 from pyspark.sql import functions as F
+from rows import values
 
 from paddock import schemas
 from paddock.operators import catalog
