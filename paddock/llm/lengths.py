@@ -7,35 +7,39 @@ tokens they hold and how many tokens remain when each is cut there.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paddock.llm.texts import ChunkCache, chunks, small_batches, worker_cache
+from paddock.llm.texts import ChunkCache, chunks, small_batches, stage, worker_cache
 
 #: Lengths that one task orders; the number of blocks is the longest length over this.
 BLOCK = 4096
 #: New chunks encoded in one call.
 JOINED = 1000
 #: Chunks in a generation of the cache; their ids take little room.
-CHUNKS = 350_000
+CHUNKS = 700_000
 
 
 class ChunkEncoder:
     """A byte-level tokenizer of the ``tokenizers`` library that keeps the ids of chunks it has met, as 4-byte numbers.
 
-    Names of special tokens in a text, such as ``<|endoftext|>``, are encoded as plain text
-    (``encode_special_tokens``); by default the library gives them their own ids.
+    As with the library's own call, the name of an added token in a text, such as ``<|endoftext|>``, gives that
+    token's id; texts are cut there first.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.added = {name: np.array([i], "<u4").tobytes() for name, i in added.items()}
+        self.names = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         # A character of a token's name is a byte of its text.
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
@@ -60,6 +64,21 @@ class ChunkEncoder:
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        named = [i for i, t in enumerate(texts) if any(name in t for name in self.added)]
+        if not named:
+            return self._packed(texts)
+        parts = [self.names.split(texts[i]) for i in named]
+        plain = list(texts)
+        for i, p in zip(named, parts):
+            plain[i] = p[0]
+        rest = [x for p in parts for x in p[2::2]]
+        found = self._packed(plain + rest)
+        out, more = found[: len(texts)], iter(found[len(texts) :])
+        for i, p in zip(named, parts):
+            out[i] += b"".join([self.added[name] + next(more) for name in p[1::2]])
+        return out
+
+    def _packed(self, texts: list[str]) -> list[bytes]:
         cut, heads, tails = chunks(texts, self.first, self.later)
         self._learn_heads(heads)
         # White space at a chunk's end would run into the space of the next.
@@ -68,7 +87,8 @@ class ChunkEncoder:
         for chunk in rough:
             self._learn_tails([chunk])
         first, later = self.first.found, self.later.found
-        out = [b"".join([first[c[0]], *[later[x] for x in c[1:]]]) if c else b"" for c in cut]
+        ids = later.__getitem__
+        out = [first[c[0]] + b"".join(map(ids, islice(c, 1, None))) if c else b"" for c in cut]
         self.first.forget(heads)
         self.later.forget(tails)
         return out
@@ -101,12 +121,9 @@ def length_table(lengths: DataFrame, column: str = "n_tokens") -> DataFrame:
     no longer.  Rows without a length are left out; an empty table gives no
     rows.  Lengths are ordered in blocks, and only block totals meet in one task.
     """
-    counted = (
-        lengths.where(F.col(column).isNotNull())
-        .groupBy(F.col(column).cast("long").alias("n_tokens"))
-        .agg(F.count(F.lit(1)).alias("n_docs"))
-        .withColumn("_block", F.floor(F.col("n_tokens") / BLOCK))
-    )
+    counted = lengths.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("long").alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs"))
+    # Written, as two branches read the counts and the texts are to be encoded once.
+    counted = stage(counted.withColumn("_block", F.floor(F.col("n_tokens") / BLOCK)), "counted")
     held = F.col("n_docs") * F.col("n_tokens")
     after = Window.partitionBy(F.lit(0)).orderBy(F.col("_block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     blocks = (

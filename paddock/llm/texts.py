@@ -6,6 +6,7 @@ import re
 import sys
 import types
 from collections.abc import Callable, Iterator
+from itertools import chain, islice
 from typing import Any
 
 import pyarrow as pa
@@ -89,7 +90,7 @@ def chunks(texts: list[str], first: ChunkCache, later: ChunkCache) -> tuple[list
     cut = [t.split(" ") if t else [] for t in texts]
 
     def lacking() -> tuple[list[str], list[str]]:
-        return first.lacking({c[0] for c in cut if c}), later.lacking({x for c in cut for x in c[1:]})
+        return first.lacking({c[0] for c in cut if c}), later.lacking(set(chain.from_iterable([islice(c, 1, None) for c in cut])))
 
     heads, tails = lacking()
     # Caches hold no rough chunks, so only new ones can come from a text with other white space at a space.

@@ -23,10 +23,12 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +38,8 @@ from paddock.session import scratch_path
 
 #: Ids in a frame.
 FRAME_IDS = 1 << 16
+#: Documents that a shard aims at, at most; its writer and its readers hold their ids and lengths.
+SHARD_DOCS = 1 << 16
 #: Documents whose ids a reader asks for at once.
 READ_DOCS = 256
 LEVEL = 3
@@ -64,10 +68,11 @@ class ShardWriter:
         self.out = self.fs.open_output_stream(self.own)
         self.compress = zstandard.ZstdCompressor(level=LEVEL).compress
         self.hash = xxhash.xxh64_intdigest
-        self.pending, self.table, self.docs, self.counts = bytearray(), [], [], []
+        self.pending, self.table, self.docs, self.named, self.counts = bytearray(), [], array("q"), bytearray(), array("q")
 
     def add(self, doc_id: int | None, packed: bytes) -> None:
-        self.docs.append(doc_id)
+        self.docs.append(doc_id or 0)
+        self.named.append(doc_id is not None)
         self.counts.append(len(packed) // 4)
         self.pending += packed
         while len(self.pending) >= 4 * FRAME_IDS:
@@ -83,8 +88,8 @@ class ShardWriter:
         """Number of documents and of ids."""
         if self.pending:
             self._frame(bytes(self.pending))
-        ids, counts = (np.array(c, "<i8").tobytes() for c in ([d or 0 for d in self.docs], self.counts))
-        index = struct.pack("<Q", len(self.docs)) + self.compress(ids + counts + bytes([d is not None for d in self.docs]))
+        ids, counts = (np.array(c, "<i8").tobytes() for c in (self.docs, self.counts))
+        index = struct.pack("<Q", len(self.docs)) + self.compress(ids + counts + bytes(self.named))
         self.out.write(struct.pack("<II", INDEX_MAGIC, len(index)) + index)
         seek = b"".join([struct.pack("<III", *t) for t in self.table]) + struct.pack("<IBI", len(self.table), 0x80, FOOTER_MAGIC)
         self.out.write(struct.pack("<II", SEEK_MAGIC, len(seek)) + seek)
@@ -149,14 +154,6 @@ class ShardReader:
         return b"".join(out)
 
 
-def _shard_number(docs: DataFrame, key: str, shards: int):
-    """An expression that numbers ranges of ``key`` from 0, with about as many rows in each."""
-    cuts = docs.select(F.percentile_approx(key, [i / shards for i in range(1, shards)], 10_000).alias("c")).first()["c"]
-    cuts = sorted(set(cuts or []))
-    # A fold over a bounded list of cuts; nulls come first, as in the order of rows.
-    return F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= F.col(key))) if cuts else F.lit(0)
-
-
 def write_token_files(
     docs: DataFrame, tokenizer: str, folder: str, end_id: int, shards: int | None = None, nameless: bool = False
 ) -> DataFrame:
@@ -171,42 +168,27 @@ def write_token_files(
     """
     spark = docs.sparkSession
     small_batches(spark)
-    shards = shards or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shards = shards or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // SHARD_DOCS))
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer, shard, done = chunk_encoder(tokenizer), None, None, []
-
-        def close():
-            n_docs, n_ids = writer.close()
-            done.append((shard, f"{folder}/shard-{shard:06d}.zst", n_docs, n_ids))
-
+        shard = TaskContext.get().partitionId()
+        path = f"{folder}/shard-{shard:06d}.zst"
+        encoder, writer = chunk_encoder(tokenizer), None
         for batch in batches:
-            numbers, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for number, doc_id, packed in zip(numbers, ids, encoder.packed([t or "" for t in batch.column(2).to_pylist()])):
+            for doc_id, packed in zip(batch.column(0).to_pylist(), encoder.packed([t or "" for t in batch.column(1).to_pylist()])):
                 if doc_id is None and not nameless:
                     raise ValueError("a document without doc_id")
-                if number != shard:
-                    if writer:
-                        close()
-                    writer, shard = ShardWriter(f"{folder}/shard-{number:06d}.zst"), number
+                writer = writer or ShardWriter(path)
                 writer.add(doc_id, packed + end)
         if writer:
-            close()
-        if done:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*done), (pa.int64(), pa.string(), pa.int64(), pa.int64()))],
-                ["shard", "path", "n_docs", "n_ids"],
-            )
-
-    return (
-        docs.withColumn("_shard", _shard_number(docs, "doc_id", shards).cast("long"))
-        .select("_shard", "doc_id", "text")
-        .repartition(shards, "_shard")
-        .sortWithinPartitions("_shard", "doc_id", "text")
-        .mapInArrow(run, SHARDS)
-    )
+            row = zip((shard, path, *writer.close()), (pa.int64(), pa.string(), pa.int64(), pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in row], ["shard", "path", "n_docs", "n_ids"])
+
+    # A range of doc_id is a partition, and a partition a shard: each task writes one.
+    ranges = docs.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    return ranges.mapInArrow(run, SHARDS)
 
 
 def read_token_files(shards: DataFrame) -> DataFrame:
@@ -242,7 +224,8 @@ def read_token_files(shards: DataFrame) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return pieces.repartition(parts, "path", "low").sortWithinPartitions("path", "low").mapInArrow(
+    # Ranges of (path, low): a task opens few shards, and each shard's index is read by few tasks.
+    return pieces.repartitionByRange(parts, "path", "low").sortWithinPartitions("path", "low").mapInArrow(
         run, "doc_id long, start long, n_tokens long, ids_crc32 long"
     )
 

@@ -81,7 +81,6 @@ def test_documents_encode(spark, make, odd, library):
 
 def test_token_files_round_trip(spark, make, odd, tmp_path):
     own = Tokenizer.from_file(JSON)
-    own.encode_special_tokens = True
     folder = str(tmp_path / "tokens")
     shards = tokenfile.write_token_files(make(odd), JSON, folder, 2, shards=3).collect()
     rows = sorted(odd, key=lambda r: (r[0], r[1] is not None, r[1] or ""))
@@ -111,7 +110,6 @@ def test_token_files_round_trip(spark, make, odd, tmp_path):
 def test_token_files_of_documents_without_id(spark, make, odd):
     """They come first, in the order of their texts, and count for the start of all others."""
     own = Tokenizer.from_file(JSON)
-    own.encode_special_tokens = True
     for rows in ([(None, "zero"), (None, None), *odd, (None, "a first one"), (0, "nought")], [(None, "only this")]):
         want, at = [], 0
         for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
@@ -137,7 +135,6 @@ def test_documents_cross_frames(tmp_path):
 
 def test_length_table(spark, make, odd):
     own = Tokenizer.from_file(JSON)
-    own.encode_special_tokens = True
     sizes = [len(own.encode(t or "", add_special_tokens=False).ids) for _, t in odd]
     found = lengths.encoded_lengths(make(odd), JSON)
     assert sorted(r[0] for r in found.collect()) == sorted(sizes)
