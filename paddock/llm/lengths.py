@@ -8,6 +8,7 @@ tokens they hold and how many tokens remain when each is cut there.
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Iterator
 from itertools import islice
 
@@ -16,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paddock.llm.texts import ChunkCache, chunks, small_batches, stage, worker_cache
+from paddock.llm.texts import CACHE_ENTRIES, ChunkCache, chunks, small_batches, stage, worker_cache
 
 #: Lengths that one task orders; the number of blocks is the longest length over this.
 BLOCK = 4096
+#: Fixed value: marks that may stand behind a word, all ASCII but letters, digits and space.
+MARKS = string.punctuation
 #: New chunks encoded in one call.
 JOINED = 1000
 #: Chunks in a generation of the cache; their ids take little room.
@@ -45,13 +48,35 @@ class ChunkEncoder:
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for name, i in vocabulary.items():
             self.sizes[i] = len(name)
-        self.first, self.later = ChunkCache(), ChunkCache(CHUNKS)
+        self.first, self.later, self.marks = ChunkCache(), ChunkCache(CHUNKS), {}
 
     def _learn_heads(self, new: list[str]) -> None:
         for chunk, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
             self.first.found[chunk] = np.array(found.ids, "<u4").tobytes()
 
     def _learn_tails(self, new: list[str]) -> None:
+        """Learn chunks that don't end in white space; letters and the marks behind them never merge, so words are learnt once."""
+        found, before = self.later.found, self.later.before
+        alone, marked = [], []
+        for chunk in new:
+            word = chunk.rstrip(MARKS)
+            if len(word) < len(chunk) and word.isalpha():
+                marked.append((chunk, word, chunk[len(word) :]))
+            else:
+                alone.append(chunk)
+        words = {word for _, word, _ in marked}.difference(alone, found)
+        for word in words & before.keys():
+            found[word] = before[word]
+        self._encode_tails(alone + [w for w in words if w not in found])
+        for chunk, word, marks in marked:
+            if marks not in self.marks:
+                if len(self.marks) >= CACHE_ENTRIES:
+                    self.marks.clear()
+                (ids,) = self.tokenizer.encode_batch_fast([marks], add_special_tokens=False)
+                self.marks[marks] = np.array(ids.ids, "<u4").tobytes()
+            found[chunk] = found[word] + self.marks[marks]
+
+    def _encode_tails(self, new: list[str]) -> None:
         """Encode many chunks as one text, each with the space before it, and part the ids by their bytes."""
         for low in range(0, len(new), JOINED):
             part = new[low : low + JOINED]
@@ -82,10 +107,10 @@ class ChunkEncoder:
         cut, heads, tails = chunks(texts, self.first, self.later)
         self._learn_heads(heads)
         # White space at a chunk's end would run into the space of the next.
-        rough = [c for c in tails if c[-1].isspace()]
-        self._learn_tails([c for c in tails if not c[-1].isspace()])
+        rough = [c for c in tails if c.rstrip() != c]
+        self._learn_tails([c for c in tails if c.rstrip() == c] if rough else tails)
         for chunk in rough:
-            self._learn_tails([chunk])
+            self._encode_tails([chunk])
         first, later = self.first.found, self.later.found
         ids = later.__getitem__
         out = [first[c[0]] + b"".join(map(ids, islice(c, 1, None))) if c else b"" for c in cut]

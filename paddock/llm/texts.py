@@ -76,7 +76,7 @@ class ChunkCache:
 
     def forget(self, chunks: list[str]) -> None:
         """Drop chunks that are long or begin or end with white space."""
-        for chunk in [c for c in chunks if len(c) >= CACHED_CHUNK or c[0].isspace() or c[-1].isspace()]:
+        for chunk in [c for c in chunks if len(c) >= CACHED_CHUNK or c.strip() != c]:
             self.found.pop(chunk, None)
 
 
@@ -94,7 +94,7 @@ def chunks(texts: list[str], first: ChunkCache, later: ChunkCache) -> tuple[list
 
     heads, tails = lacking()
     # Caches hold no rough chunks, so only new ones can come from a text with other white space at a space.
-    if rough := {x for new in (heads, tails) for x in new if not x or x[0].isspace() or x[-1].isspace()}:
+    if rough := {x for new in (heads, tails) for x in new if not x or x.strip() != x}:
         cut = [c if rough.isdisjoint(c) else _BETWEEN_WORDS.split(t) for c, t in zip(cut, texts)]
         heads, tails = lacking()
     return cut, heads, tails

@@ -156,3 +156,16 @@ def test_length_table(spark, make, odd):
         assert got["quantile", s] == min(x for x in ordered if sum(y <= x for y in ordered) / len(ordered) >= s)
     none = lengths.length_table(spark.createDataFrame([], "n_tokens long"))
     assert none.collect() == []
+
+
+def test_words_with_marks_behind_them():
+    """Words, marks and names of added tokens in every combination, with caches that turn over."""
+    own = Tokenizer.from_file(JSON)
+    encoder = lengths.ChunkEncoder(JSON)
+    encoder.later.entries = encoder.first.entries = 40
+    rng = random.Random(4)
+    parts = ["word", "naïve", "don't", "it's", "x2", "日本", "ß", "a_b", "²", "é", "", " ", "\n", "\t", "<|endoftext|>", "<|endo", "'", "'s", ",", "...", "!?", "'re'", "%%%", '"', "-", "Ⅷ", "'S,"]
+    for _ in range(40):
+        texts = ["".join(rng.choice(parts) + rng.choice(["", " ", " "]) for _ in range(rng.randrange(40))) for _ in range(20)]
+        want = [b"".join(i.to_bytes(4, "little") for i in own.encode(t, add_special_tokens=False).ids) for t in texts]
+        assert encoder.packed(texts) == want
