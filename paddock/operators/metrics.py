@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paddock.operators.ordering import first_places, with_average_rank
+from paddock.operators.ordering import first_places, totals_before, with_average_rank
 
 TOP = 10
 
@@ -68,3 +69,31 @@ def summary_stats(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
         F.max(x).alias("max"),
         (F.max(x) - F.min(x)).alias("range"),
     )
+
+
+def ndcg(graded: DataFrame, group: Sequence[str], n: int = 10, pred: str = "pred", target: str = "target") -> DataFrame:
+    """Discounted gain of the first ``n`` by prediction over that of the best order, per group; null without any gain.
+
+    A place is worth ``n + 1`` less the finishing position, or nothing; place
+    ``r`` is discounted by log2(r + 1).  Rows of equal prediction share the mean
+    discount of their places.
+    """
+    sums = [0.0]
+    for r in range(1, n + 1):
+        sums.append(sums[-1] + 1 / math.log2(r + 1))
+    upto = F.array(*[F.lit(x) for x in sums])
+
+    def discount(before: Column, ties: Column) -> Column:
+        first, last = F.least(before, F.lit(n)), F.least(before + ties, F.lit(n))
+        return (F.get(upto, last.cast("int")) - F.get(upto, first.cast("int"))) / ties
+
+    gain = F.greatest(F.lit(n + 1) - F.col(target), F.lit(0)).cast("double")
+    rows = graded.where(F.col(target).isNotNull() & F.col(pred).isNotNull())
+    # What has no gain adds nothing, wherever it stands; predictions are counted before any join.
+    counts = rows.groupBy(*group, pred).agg(F.count(F.lit(1)).alias("ties"), F.sum(gain).alias("_gain"))
+    placed = totals_before(counts, list(group), pred, "ties")
+    found = placed.groupBy(*group).agg(F.sum(F.col("_gain") * discount(F.col("before"), F.col("ties"))).alias("_found"))
+    best = rows.groupBy(*group, (-gain).alias("_less")).agg(F.count(F.lit(1)).alias("ties"))
+    best = totals_before(best, list(group), "_less", "ties", few=True)  # n + 1 gains at most for whole positions
+    ideal = best.groupBy(*group).agg(F.sum(-F.col("_less") * F.col("ties") * discount(F.col("before"), F.col("ties"))).alias("_ideal"))
+    return found.join(ideal, list(group)).select(*group, (F.col("_found") / F.nullif(F.col("_ideal"), F.lit(0.0))).alias("ndcg"))
