@@ -67,6 +67,25 @@ def typed_parameters(config: Column, parameters: tuple[Parameter, ...]) -> list[
     return [typed(config, p).alias(p.name) for p in parameters]
 
 
+def rejections(config: Column, parameters: tuple[Parameter, ...]) -> Column:
+    """What is wrong with a JSON object of parameters, in their order; an empty array accepts it.
+
+    A required parameter may not be absent or empty, a number has to be one, and a choice has to be among its options.
+    """
+
+    def fault(p: Parameter) -> Column:
+        text = F.get_json_object(config, f"$.{p.name}")
+        given = F.coalesce(F.trim(text) != "", F.lit(False))
+        wrong = F.lit(None).cast("string")
+        if p.kind == "int":
+            wrong = F.when(given & typed(config, p).isNull(), F.lit(f"{p.name} is not a number"))
+        if p.kind == "select":
+            wrong = F.when(given & ~text.isin(*p.options), F.lit(f"{p.name} is not one of {', '.join(p.options)}"))
+        return F.when(~given & F.lit(p.required), F.lit(f"{p.name} is missing")).otherwise(wrong)
+
+    return F.array_compact(F.array(*map(fault, parameters)))
+
+
 def _number(document: Column, name: str) -> Column:
     """A JSON number as it is, a JSON text by its leading number; other kinds have none."""
     value = F.try_variant_get(document, f"$.{name}", "variant")

@@ -82,7 +82,8 @@ def driver_universe(stacked: DataFrame) -> DataFrame:
 
 def _last_of(kind: str, cols: Sequence[str]) -> Column:
     """Values of the last row of one kind; rows of other kinds have no order and are ignored."""
-    order = F.when(F.col("kind") == KINDS.index(kind), F.struct("ord", "driver_name"))
+    # Rows without an ordinal, or of the same one, are told apart by all their values.
+    order = F.when(F.col("kind") == KINDS.index(kind), F.struct("ord", "driver_name", *cols))
     return F.max_by(F.struct(*cols), order).alias(kind)
 
 
@@ -150,6 +151,16 @@ def rounds_with(calendar: DataFrame, *frames: DataFrame) -> DataFrame:
     return reduce(lambda cal, f: cal.join(f.select(*EVENT).distinct(), list(EVENT), "left_semi"), frames, calendar)
 
 
+def notes_of_coverage(covered: DataFrame) -> DataFrame:
+    """One note per round and kind without rows, from the flags of ``coverage``: no table is read again."""
+    flags = dict(zip(KINDS, ("fp_available", "qualifying_available", "race_available", "standings_available")))
+    kinds = F.array(*[F.when(F.col(c) == 0, F.lit(k)) for k, c in flags.items()])
+    place = F.concat_ws(" ", "source", F.col("year").cast("string"), F.lit("round"), F.col("round_number").cast("string"))
+    return covered.select(F.explode(F.array_compact(kinds)).alias("stage"), *EVENT, place.alias("_place")).select(
+        "stage", *EVENT, F.concat("_place", F.lit(": no "), "stage", F.lit(" data")).alias("message")
+    )
+
+
 def missing_notes(calendar: DataFrame, frames: dict[str, DataFrame]) -> DataFrame:
     """One note per calendar round and kind without rows."""
     notes = [

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from paddock.functions.scalars import first_filled, nan_to_null, row_mean, session_label, to_number
@@ -110,6 +110,17 @@ def find_meeting(
     return hit.orderBy("ord").limit(1)
 
 
+def required_meeting(
+    meetings: DataFrame, year: int, round_number: int, meeting_name: str | None = None, country_name: str | None = None
+) -> Row:
+    """The one meeting that ``find_meeting`` finds; an error says what was asked for if there is none."""
+    found = find_meeting(meetings, year, round_number, meeting_name, country_name).first()
+    if found is None:
+        asked = meeting_name or country_name or f"round {round_number}"
+        raise LookupError(f"no meeting for {asked} in {year}")
+    return found
+
+
 def session_keys(sessions: DataFrame) -> DataFrame:
     """First session of every (meeting, session name)."""
     return sessions.groupBy("meeting_key", "session_name").agg(F.min_by("session_key", "ord").alias("session_key"))

@@ -39,8 +39,7 @@ def build_dataset(
     rounds = ds.first_rounds(calendar, max_rounds)
     merged = cut_lineage(ds.merge_kinds(ds.stack_kinds(practice, qualifying, race, standings)))
     dataset, covered = ds.dataset_rows(rounds, merged), ds.coverage(rounds, merged)
-    kinds = {"practice": practice, "qualifying": qualifying, "race": race, "standings": standings}
-    notes = ds.missing_notes(rounds, kinds)
+    notes = ds.notes_of_coverage(covered)
     paths: dict[str, str | None] = {}
     failures: list[str] = []
     for name, frame in (("dataset", in_order(dataset)), ("coverage", covered)):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from paddock.operators import models
 from paddock.operators.ordering import first_places
+from paddock.operators.practice import required_meeting
 from paddock.operators.training import (
     before_target,
     in_seasons,
@@ -98,14 +99,20 @@ def _collected(table: DataFrame) -> DataFrame:
 
 def predict_round(tables: Tables, mode: str, year: int, round_number: int, seasons: Sequence[int],
                   include_standings: bool = False, top_n: int = TOP_N,
-                  candidates: Sequence[models.Candidate] | None = None) -> Prediction:
+                  candidates: Sequence[models.Candidate] | None = None, meetings: DataFrame | None = None,
+                  meeting_name: str | None = None, country_name: str | None = None) -> Prediction:
     """Ranked prediction of one round by the model with the smallest walk-forward error.
 
+    With ``meetings`` the round is that of the meeting by name, by country or
+    by number; one that the season doesn't have is an error.
+
     A feature that no table has is null.  A candidate that fails is left out
     with a note; the next best one predicts in its place, and without labelled
     rows or a working candidate the heuristic does.  The training table feeds
     several fits, so it is written once.
     """
+    if meetings is not None:
+        round_number = required_meeting(meetings, year, round_number, meeting_name, country_name)["round_number"]
     features = feature_columns(mode, include_standings)
     result = Prediction(table=None, model="heuristic", version="V1" if round_number <= 1 else f"V{round_number}")
     fallback = fallback_columns(mode)
@@ -115,6 +122,11 @@ def predict_round(tables: Tables, mode: str, year: int, round_number: int, seaso
     train = cut_lineage(train, "training")
     if include_standings and tables.standings is None:
         result.notes.append("no standings: position_start is unknown")
+    used = train.select("year", "round_number").distinct()
+    known_rounds = tables.practice.where(in_seasons(seasons) & before_target(year, round_number)).select("year", "round_number").distinct()
+    # As many rows as the calendar of the seasons.
+    for r in known_rounds.join(used, ["year", "round_number"], "left_anti").orderBy("year", "round_number").collect():
+        result.notes.append(f"{r['year']} round {r['round_number']}: left out of training, not all tables have it")
     if current.isEmpty():
         result.notes.append("no practice data" if mode == "qualifying" else "no practice or qualifying data")
 

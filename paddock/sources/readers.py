@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from paddock import schemas
 from paddock.functions.scalars import to_number
+from paddock.session import cut_lineage
 
 # Folders that hold no notebooks.
 SKIPPED_FOLDERS = (".git", "node_modules", ".next", "target", "data", ".turbo", "platform", "papers")
@@ -79,6 +80,40 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
     return raw.select(*map(typed, schema.fields))
 
 
+def read_csv_checked(
+    spark: SparkSession, path: str, schema: T.StructType, names: Sequence[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of a CSV that fit the schema, and a note (reason, record) on every other one: together all records.
+
+    A record doesn't fit if it has too many or too few fields, or if a field
+    that isn't empty can't be read as its type; each such field is named.
+    ``names`` are the columns of files without a header.
+    """
+    options = {"quote": '"', "escape": '"', "header": names is None}
+    found = list(names) if names is not None else spark.read.options(**options).csv(path).columns
+    texts = T.StructType([T.StructField(c, T.StringType()) for c in [*found, "_broken"]])
+    raw = spark.read.schema(texts).options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord="_broken").csv(path)
+    place = {c.strip().lower(): F.col(f"`{c}`") for c in found}
+
+    def value(field: T.StructField) -> Column:
+        text = place.get(field.name.lower(), F.lit(None).cast("string"))
+        number = isinstance(field.dataType, (T.DoubleType, T.FloatType))
+        return (to_number(text) if number else text.try_cast(field.dataType)).cast(field.dataType)
+
+    unread = [
+        F.when((F.trim(place[f.name.lower()]) != "") & value(f).isNull(), F.lit(f"{f.name} is no {f.dataType.simpleString()}"))
+        for f in schema.fields
+        if f.name.lower() in place
+    ]
+    faults = F.array_join(F.array(*unread), "; ") if unread else F.lit("")
+    reason = F.when(F.col("_broken").isNotNull(), "wrong number of fields").otherwise(faults)
+    # Written once, as both results read it, and a query of the broken column alone would find none.
+    whole = cut_lineage(raw.withColumn("_reason", reason), "csv")
+    rows = whole.where("_reason = ''").select(*[value(f).alias(f.name) for f in schema.fields])
+    record = F.coalesce("_broken", F.to_json(F.struct(*[F.col(f"`{c}`") for c in found])))
+    return rows, whole.where("_reason <> ''").select(F.col("_reason").alias("reason"), record.alias("record"))
+
+
 def read_endpoint(
     spark: SparkSession, root: str, endpoint: str, schema: T.StructType, **equal: object
 ) -> DataFrame:

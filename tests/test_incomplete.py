@@ -3,10 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from paddock.functions.parameters import MOTORSPORT, rejections
 from paddock.functions.scalars import param_int
+from paddock.operators import dataset as ds
 from paddock.operators import models, practice
 from paddock.plans.predict import Tables, predict_round
-from paddock.sources import readers
+from paddock.sources import readers, sinks
 from paddock.streaming import live
 
 
@@ -87,3 +89,47 @@ def test_no_targets_and_no_practice(spark):
     assert got.model == "heuristic" and got.table.count() == 6
     none = predict_round(tables(spark, practice_rows=False), "qualifying", 2024, 7, [2024], candidates=[ridge()])
     assert none.table.collect() == [] and any("no practice" in n for n in none.notes)
+
+
+def test_broken_records_become_notes(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('match_id,goals,date\nm1,3,2024-01-02\nm2,three,2024-01-02\nm3,1\nm4,,\nm5,1,2024-01-02,more\nm6,x,soon\n"m,7",0,2024-02-30\n')
+    schema = spark.createDataFrame([], "match_id string, goals int, date date, venue string").schema
+    rows, notes = readers.read_csv_checked(spark, str(tmp_path / "t.csv"), schema)
+    assert sorted((r["match_id"], r["goals"], str(r["date"]), r["venue"]) for r in rows.collect()) == [("m1", 3, "2024-01-02", None), ("m4", None, "None", None)]
+    got = sorted(r["reason"] for r in notes.collect())
+    assert got == ["date is no date", "goals is no int", "goals is no int; date is no date", "wrong number of fields", "wrong number of fields"]
+
+
+def test_files_of_a_clustered_sink(spark, tmp_path):
+    """A large value has as many files as its rows need, a small one has one, wherever the rows were."""
+    rows = spark.range(3000).select((F.col("id") % 30 == 0).cast("int").alias("year"), F.lit("s").alias("source"), "id").repartition(8)
+    path = sinks.write_parquet(rows, str(tmp_path / "out"), ["source", "year"], file_rows=1000)
+    files = {y: len(list((tmp_path / "out" / "source=s" / f"year={y}").glob("*.parquet"))) for y in (0, 1)}
+    assert files[1] == 1 and 1 < files[0] <= 3
+    assert spark.read.parquet(path).count() == 3000
+
+
+def test_rounds_of_meetings(spark):
+    kind = "source string, year int, meeting_key long, meeting_name string, country_name string, date_start string, ord long"
+    meetings = spark.createDataFrame([("a", 2024, 1, "One", "X", "2024-03-01", 0), ("a", 2024, 2, "Two", "Y", "2024-02-01", 1)], kind)
+    assert practice.required_meeting(meetings, 2024, 9, meeting_name="One")["round_number"] == 2
+    with pytest.raises(LookupError, match="round 9 in 2024"):
+        practice.required_meeting(meetings, 2024, 9)
+
+
+def test_rejections(spark):
+    configs = ['{"mode":"race","source":"openf1","year":2024,"round_number":"3"}', '{"mode":"sprint","source":" ","year":"x"}', "no json", None]
+    df = spark.createDataFrame([(c,) for c in configs], "c string")
+    got = [r[0] for r in df.select(rejections(F.col("c"), MOTORSPORT)).collect()]
+    missing = [f"{n} is missing" for n in ("mode", "source", "year", "round_number")]
+    assert got == [[], ["mode is not one of qualifying, race", "source is missing", "year is not a number", "round_number is missing"], missing, missing]
+
+
+def test_last_row_without_ordinal_is_defined(spark):
+    rows = [("s", 2024, 1, "A", "A", p, None) for p in (3.0, 1.0, 2.0)]
+    kind = "source string, year int, round_number int, driver_id string, driver_name string, position double, q3_time double"
+    quali = spark.createDataFrame(rows, kind)
+    none = quali.where("false")
+    for parts in (1, 3):
+        merged = ds.merge_kinds(ds.stack_kinds(none, quali.repartition(parts), none, none)).collect()
+        assert [r["qualy_position"] for r in merged] == [3.0]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from paddock import schemas
 from paddock.functions import scalars as fn
-from paddock.functions.parameters import MOTORSPORT, savings, typed_parameters
+from paddock.functions.parameters import MOTORSPORT, rejections, savings, typed_parameters
 from paddock.operators.experiments import display_rows, result_rows
 from paddock.operators.training import align, before_target, qualifying_targets
 from paddock.schemas import DRIVER, RACE_FEATURES
@@ -338,6 +338,23 @@ def project_parameters(spark, d):
     return views.table(spark, d, "orders").select("o_orderkey", *typed_parameters(config, MOTORSPORT))
 
 
+@register(
+    "parameter_rejections",
+    """SELECT o_orderkey, '[' || array_to_string(list_filter([
+         CASE WHEN o_orderkey % 4 = 0 THEN 'mode is missing' WHEN o_orderkey % 4 = 1 THEN 'mode is not one of qualifying, race' END,
+         CASE WHEN o_orderkey % 3 = 0 THEN 'year is not a number' WHEN o_orderkey % 3 = 1 THEN 'year is missing' END], lambda x: x IS NOT NULL), ', ') || ']' AS rejections
+       FROM orders""",
+)
+def parameter_rejections(spark, d):
+    """Orders as run configurations, some without a mode or a year and some with wrong ones."""
+    key = F.col("o_orderkey")
+    mode = F.when(key % 4 == 0, F.lit("")).when(key % 4 == 1, F.lit('"mode":"sprint",')).otherwise(F.lit('"mode":"race",'))
+    year = F.when(key % 3 == 0, F.lit('"year":"soon",')).when(key % 3 == 1, F.lit('"year":null,')).otherwise(F.lit('"year":"1997",'))
+    config = F.concat(F.lit("{"), mode, year, F.lit('"source":"openf1","round_number":3}'))
+    found = F.array_join(rejections(config, MOTORSPORT), ", ")
+    return views.table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("["), found, F.lit("]")).alias("rejections"))
+
+
 @register(
     "savings_in_range",
     """SELECT c_custkey, greatest(0.0::DOUBLE, c_acctbal) AS bankroll, CAST(c_nationkey AS DOUBLE) AS "monthlySavingsTarget",

@@ -104,6 +104,34 @@ def scan_matches(spark, d):
     )
 
 
+@register(
+    "broken_records",
+    with_views(
+        """SELECT 'row' AS kind, match_id, home_goals, NULL AS reason, count(*) AS records FROM matches
+             WHERE match_id::BIGINT % 11 <> 0 AND match_id::BIGINT % 7 <> 0 GROUP BY ALL
+           UNION ALL SELECT 'note', NULL, NULL, CASE WHEN match_id::BIGINT % 11 = 0 THEN 'wrong number of fields' ELSE 'home_goals is no int' END, count(*)
+             FROM matches WHERE match_id::BIGINT % 11 = 0 OR match_id::BIGINT % 7 = 0 GROUP BY ALL""",
+        "matches",
+    ),
+)
+def broken_records(spark, d):
+    """Matches landed as CSV lines, some a field short and some with a text for a number: rows and notes hold them all."""
+    names = ["match_id", "date", "season", "home_goals"]
+    key = F.col("match_id").cast("bigint")
+    goals = F.when(key % 7 == 0, "two").otherwise(F.coalesce(F.col("home_goals").cast("string"), F.lit("")))
+    fields = [F.col("match_id"), F.col("date"), F.col("season").cast("string")]
+    line = F.when(key % 11 == 0, F.concat_ws(",", *fields)).otherwise(F.concat_ws(",", *fields, goals))
+    path = scratch_path(spark, "lines")
+    views.matches(spark, d).select(line.alias("value")).write.text(path)
+    schema = schemas.MATCHES
+    schema = type(schema)([schema[c] for c in names])
+    rows, notes = readers.read_csv_checked(spark, path, schema, names)
+    counted = rows.groupBy(F.lit("row").alias("kind"), "match_id", "home_goals", F.lit(None).cast("string").alias("reason"))
+    noted = notes.groupBy(F.lit("note").alias("kind"), F.lit(None).cast("string").alias("match_id"), F.lit(None).cast("int").alias("home_goals"), "reason")
+    records = F.count(F.lit(1)).alias("records")
+    return counted.agg(records).unionByName(noted.agg(records))
+
+
 @register("sink_csv_roundtrip", "SELECT p_partkey, p_name, p_brand, p_retailprice FROM part")
 def sink_csv_roundtrip(spark, d):
     part = views.table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_retailprice")
