@@ -36,12 +36,17 @@ ARTICLE = frozenset("article main".split())
 # Words of class, id and role that name a part of a page.
 SIDE_WORDS = frozenset(
     "ad ads adv advert advertisement advertising adverts alert banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo "
-    "cookie cookies copyright disqus footer form gdpr header login masthead menu menubar modal nav navbar navigation newsletter "
-    "notice notices overlay pagination pager popup promo promoted promotion recommended related replies reply search share sharing "
-    "sidebar signup skip social sponsor sponsored subscribe tags toolbar toc widget widgets".split()
+    "adsbygoogle cookie cookies copyright disqus footer form gdpr header login masthead menu menubar modal nav navbar navigation newsletter "
+    "notice notices overlay pagination pager popular popup promo promoted promotion recommended related replies reply search share sharing "
+    "sidebar signup skip social sponsor sponsored subscribe tagcloud taglist tags toolbar toc trending widget widgets".split()
 )
 # Parts of a compound name behind the part that names the thing, and parts that make it a property of something else.
-PLACES = frozenset("area bar block bottom box container inner item items left links list outer right section slot top unit wrap wrapper".split())
+PLACES = frozenset(
+    "area articles bar block body bottom box buttons card cards container content group inner item items left links list message outer policy "
+    "posts right section slot stories text thread top trail unit wrap wrapper".split()
+)
+# Pairs of parts that name a part of a page only together.
+SIDE_PAIRS = frozenset([("tag", "cloud"), ("tag", "links"), ("tag", "list")])
 PROPERTIES = frozenset("category format has hide is js no not show status tag type with without".split())
 ARTICLE_WORDS = frozenset("article articlebody content entry main maincontent post postcontent story storybody".split())
 
@@ -124,6 +129,15 @@ LABELLED: tuple[tuple[Features, bool], ...] = (
     ((65, 0.0, 2, 1.0, 4, 0.0, 0), True),
     ((28, 0.0, 0, 0.0, 6, 0.0, 0), True),
     ((90, 0.05, 3, 1.0, 8, 0.9, 0), True),
+    # A page of a sentence or two, with a heading or without.
+    ((5, 0.0, 0, 0.0, 0, 0.0, 0), True),
+    ((10, 0.0, 0, 0.0, 0, 0.0, 0), True),
+    ((14, 0.2, 0, 0.0, 0, 0.0, 0), True),
+    ((3, 0.0, 0, 0.0, 15, 0.0, 0), True),
+    ((2, 0.0, 0, 0.0, 12, 0.0, 0), True),
+    ((15, 0.0, 3, 0.0, 0, 0.0, 0), True),
+    ((12, 0.0, 2, 0.0, 0, 0.0, 0), True),
+    ((2, 1.0, 0, 0.0, 0, 0.0, 0), False),
     # And what surrounds them.
     ((2, 1.0, 1, 1.0, 70, 0.0, 0), False),
     ((1, 1.0, 2, 1.0, 9, 0.0, 0), False),
@@ -173,7 +187,7 @@ def _impurity(rows: list[tuple[Features, bool]]) -> float:
     return len(rows) * p * (1 - p)
 
 
-def train(rows: tuple | list = LABELLED, depth: int = 6) -> Tree:
+def train(rows: tuple | list = LABELLED, depth: int = 8) -> Tree:
     """A tree that splits where the classes separate best, midway between two values; of equal splits the first."""
     rows = list(rows)
     main = 2 * sum(y for _, y in rows) > len(rows)
@@ -210,6 +224,8 @@ def _named(name: str) -> int:
     parts = _WORD.findall(name)
     held = set(parts)
     aside = held & SIDE_WORDS
+    if tuple(parts[-2:]) in SIDE_PAIRS:
+        return -1
     if not aside:
         return 1 if held & ARTICLE_WORDS else 0
     if aside == {"header"} and held & {"article", "entry", "post", "story"}:

@@ -272,3 +272,22 @@ def test_counts_of_large_means(spark):
         uniform = lambda part: mixing.hashed("id", *([] if part is None else [part.cast("string")])) / F.lit(2.0**52)
         n = [r[0] for r in spark.range(2000).withColumn("id", F.col("id").cast("string")).select(mixing.draws(F.lit(rate), uniform)).collect()]
         assert abs(np.mean(n) - rate) < 5 * math.sqrt(rate / 2000) and 0.8 * rate < np.var(n) < 1.2 * rate
+
+
+ASIDE = (
+    "related-posts related-articles recommended-stories popular-posts social-share-buttons share-buttons sponsored-content advert-text promo-card "
+    "adsbygoogle comment-body comment-text comment-thread comments__body reply-thread cookie_policy breadcrumb-trail tag-list left-sidebar"
+).split()
+
+
+@pytest.mark.parametrize("name", ASIDE)
+def test_parts_inside_an_article_that_are_aside(name):
+    page = f"<article><p>one</p><div class='{name}'><p>not this</p><ul><li>nor <a href=x>that</a></li></ul></div><p>two</p></article>"
+    assert html.main_text(page, html.train()) == "one two"
+
+
+def test_pages_of_a_sentence():
+    tree = html.train()
+    assert html.main_text("<p>Just one sentence here.</p>", tree) == "Just one sentence here."
+    assert html.main_text(f"<h1>A short title</h1><p>{words(15)}</p>", tree) == f"A short title {words(15)}"
+    assert html.main_text("<p><a href=x>only links</a></p>", tree) == ""
