@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paddock.operators.ordering import first_places, totals_before, with_average_rank
+from paddock.operators.ordering import attach, first_places, totals_before, with_average_rank
 
 TOP = 10
 
@@ -97,3 +97,31 @@ def ndcg(graded: DataFrame, group: Sequence[str], n: int = 10, pred: str = "pred
     best = totals_before(best, list(group), "_less", "ties", few=True)  # n + 1 gains at most for whole positions
     ideal = best.groupBy(*group).agg(F.sum(-F.col("_less") * F.col("ties") * discount(F.col("before"), F.col("ties"))).alias("_ideal"))
     return found.join(ideal, list(group)).select(*group, (F.col("_found") / F.nullif(F.col("_ideal"), F.lit(0.0))).alias("ndcg"))
+
+
+def surprises(graded: DataFrame, group: Sequence[str], keys: Sequence[str], n: int = 3, pred: str = "pred", target: str = "target") -> DataFrame:
+    """The ``n`` rows of each group whose target is farthest from the prediction, ties by ``keys``; ``gap`` is target less prediction."""
+    gap = F.col(target) - F.col(pred)
+    known = graded.where(gap.isNotNull()).withColumn("gap", gap)
+    return first_places(known, list(group), [F.abs("gap").desc(), *[F.col(k) for k in keys]], n, "place")
+
+
+def confident_and_wrong(
+    df: DataFrame, group: Sequence[str], keys: Sequence[str], n: int = 10, sure: float = 0.8, p: str = "p", outcome: str = "outcome"
+) -> DataFrame:
+    """The ``n`` rows of each group that were predicted at ``sure`` or more and came out otherwise, the surest first."""
+    chance = F.when(F.col(outcome) == 1, 1 - F.col(p)).otherwise(F.col(p))
+    wrong = df.where(F.col(outcome).isNotNull()).withColumn("missed", chance).where(F.col("missed") >= sure)
+    return first_places(wrong, list(group), [F.col("missed").desc(), *[F.col(k) for k in keys]], n, "place")
+
+
+def baseline_gap(graded: DataFrame, group: Sequence[str], pred: str = "pred", target: str = "target") -> DataFrame:
+    """Error of the predictions, that of the group's mean target for every row, and by how much it is larger."""
+    known = graded.where(F.col(target).isNotNull() & F.col(pred).isNotNull())
+    # One row a group; a hot group's rows meet its mean by a broadcast or a split join.
+    means = known.groupBy(*group).agg(F.avg(target).alias("_mean"))
+    errors = attach(known, means, list(group), "inner").groupBy(*group).agg(
+        F.avg(F.abs(F.col(target) - F.col(pred))).alias("mae"), F.avg(F.abs(F.col(target) - F.col("_mean"))).alias("baseline")
+    )
+    return errors.withColumn("gap", F.col("baseline") - F.col("mae"))
+

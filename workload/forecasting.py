@@ -139,7 +139,7 @@ _CHANCES = _FORM + """, chances AS (
   SELECT league, season, (1 + h.form_points) / (2.0::DOUBLE + h.form_points + a.form_points) AS p, (h.points = 3)::INT AS outcome
   FROM matches m JOIN form h ON h.match_id = m.match_id AND h.league = m.league AND h.team_id = m.home_team_id
     JOIN form a ON a.match_id = m.match_id AND a.league = m.league AND a.team_id = m.away_team_id)"""
-_CHANCES = _CHANCES.replace("SELECT league, season, (1 +", "SELECT m.league, m.season, (1 +")
+_CHANCES = _CHANCES.replace("SELECT league, season, (1 +", "SELECT m.league, m.season, m.match_id, (1 +")
 
 
 def _chances(spark, d):
@@ -219,6 +219,54 @@ def ndcg_at_10(spark, d):
     return metrics.ndcg(graded, ["event_key"]).withColumn("ndcg", F.round("ndcg", 9))
 
 
+def _graded(spark, d):
+    """Grid position as the prediction of the finishing position."""
+    rows = views.train_race(spark, d).select("event_key", "driver_id", "target", F.col("qualy_position").alias("pred"))
+    return cut_lineage(rows, "graded")
+
+
+@register(
+    "surprises",
+    with_views(
+        """SELECT event_key, driver_id, target - qualy_position AS gap,
+             row_number() OVER (PARTITION BY event_key ORDER BY abs(target - qualy_position) DESC, driver_id) AS place
+           FROM train_race QUALIFY place <= 3""",
+        "train_race",
+    ),
+)
+def surprises(spark, d):
+    found = metrics.surprises(_graded(spark, d), ["event_key"], ["driver_id"])
+    return found.select("event_key", "driver_id", "gap", F.col("place").cast("bigint").alias("place"))
+
+
+@register(
+    "confident_and_wrong",
+    with_views(
+        _CHANCES
+        + """, missed AS (SELECT league, match_id, outcome, CASE WHEN outcome = 1 THEN 1 - p ELSE p END AS missed FROM chances)
+              SELECT league, match_id, round(missed, 9) AS missed, row_number() OVER (PARTITION BY league ORDER BY missed.missed DESC, match_id) AS place
+              FROM missed WHERE missed.missed >= 0.8 QUALIFY place <= 10""",
+        "matches",
+    ),
+)
+def confident_and_wrong(spark, d):
+    found = metrics.confident_and_wrong(_chances(spark, d), ["league"], ["match_id"])
+    return found.select("league", "match_id", F.round("missed", 9).alias("missed"), F.col("place").cast("bigint").alias("place"))
+
+
+@register(
+    "baseline_gap",
+    with_views(
+        """, m AS (SELECT *, avg(target) OVER (PARTITION BY event_key) AS mean FROM train_race),
+           e AS (SELECT event_key, avg(abs(target - qualy_position)) AS mae, avg(abs(target - mean)) AS baseline FROM m GROUP BY event_key)
+           SELECT event_key, round(mae, 9) AS mae, round(baseline, 9) AS baseline, round(baseline - mae, 9) AS gap FROM e""",
+        "train_race",
+    ),
+)
+def baseline_gap(spark, d):
+    return metrics.baseline_gap(_graded(spark, d), ["event_key"]).withColumns({c: F.round(c, 9) for c in ("mae", "baseline", "gap")})
+
+
 _WIDTHS = """, seasons AS (SELECT *, abs(target - qualy_position) AS residual FROM train_race),
   sized AS (SELECT event_year, residual, row_number() OVER (PARTITION BY event_year ORDER BY residual) AS place, count(*) OVER (PARTITION BY event_year) AS n FROM seasons),
   levels AS (SELECT unnest([0.5, 0.8, 0.9]) AS level),
