@@ -15,8 +15,10 @@ and writes both with the new suffixes inserted: a suffix goes to the place that
 the transform's symbol counts give, and its common prefix with a neighbour is
 one more than the least one between the last two places of the symbol.  In the
 end a 200-byte string is repeated if its suffix shares as much with a
-neighbour.  A minimizer with too many different pieces for one collection has
-its strings counted by hash instead, in as many tasks as they need.
+neighbour.  The pieces of a minimizer with too many different ones for one
+collection are cut again by longer minimizers, until they fit.  The arrays of a
+collection stand for the sequential files of the method: its bound, some
+``MOST_PIECES`` pieces of at most 336 bytes, keeps them below a few megabytes.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ LENGTH = 200
 SEED_BYTES = 64
 #: Pieces that one collection aims at; groups of one minimizer stay whole.
 COLLECTION = 192
-#: Different pieces of one minimizer that a collection takes.
+#: Different pieces of one minimizer that a collection takes; more are cut again by longer minimizers.
 MOST_PIECES = 2048
 #: Bytes of a text whose minimizers are found at once.
 SPAN = 1 << 17
@@ -299,23 +301,62 @@ def _sorted_collections(pieces: DataFrame, length: int) -> DataFrame:
     return pieces.select("h", "g", "data").repartition("h").sortWithinPartitions("h", "g").mapInArrow(run, "h long, g long, starts array<int>")
 
 
-def _counted_strings(pieces: DataFrame, length: int) -> DataFrame:
-    """The same as ``_sorted_collections``, from counts of the strings' 128-bit hashes."""
+def _verdicts(kinds: DataFrame, partly: DataFrame) -> DataFrame:
+    """(h, g, starts) of the kinds of pieces that hold repeats: null starts for all strings of a kind that occurs twice."""
+    return (
+        kinds.select("h", "g", (F.col("c") > 1).alias("whole"))
+        .join(partly, ["h", "g"], "left")
+        .where("whole OR starts IS NOT NULL")
+        .select("h", "g", F.when(~F.col("whole"), F.col("starts")).alias("starts"))
+    )
+
+
+def _shared_strings(pieces: DataFrame, length: int, seed: int) -> DataFrame:
+    """(h, g, starts): strings of each of the pieces (h, g, d, data) that another one of the same minimizer holds too.
+
+    Pieces are sorted in collections; those of a minimizer that has too many
+    for one are cut again by longer minimizers first.
+    """
+    sorted_ones = _sorted_collections(pieces.where(F.col("d") <= MOST_PIECES), length)
+    hot = pieces.where(F.col("d") > MOST_PIECES)
+    return sorted_ones if hot.isEmpty() else sorted_ones.union(_recut(hot, length, min(2 * seed, length)))
+
+
+def _recut(pieces: DataFrame, length: int, seed: int) -> DataFrame:
+    """The same for pieces of hot minimizers, by pieces of these pieces with minimizers of ``seed`` bytes.
+
+    Equal strings have equal minimizers of any size, so they meet again, in
+    smaller groups; with ``seed`` as long as the strings only equal ones meet.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in batches:
+            rows = []
             for h, g, data in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-                n = len(data) - length + 1
-                s1, s2 = zip(*[_text_key(data[i : i + length]) for i in range(n)])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([h] * n, pa.int64()), pa.array([g] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(s1), pa.array(s2)],
-                    ["h", "g", "start", "s1", "s2"],
-                )
-
-    strings = pieces.select("h", "g", "data").mapInArrow(run, "h long, g long, start int, s1 long, s2 long")
-    twice = strings.groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+                found = minimizers(np.frombuffer(data, np.uint8), length, seed)
+                for a, n, p, x in zip(*[c.tolist() for c in found]):
+                    part = data[a : a + n + length - 1]
+                    key = xxhash.xxh3_64_intdigest(h.to_bytes(8, "little", signed=True) + x.to_bytes(8, "little"))
+                    rows.append((h, g, a, n, key - (1 << 63), xxhash.xxh3_64_intdigest(part, p - a) - (1 << 63), part))
+            if rows:
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+                names = ["h0", "g0", "a", "n", "h", "g", "data"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+
+    cut = pieces.select("h", "g", "data").mapInArrow(run, "h0 long, g0 long, a int, n int, h long, g long, data binary")
+    cut = stage(cut, "recut")
+    kinds = cut.groupBy("h", "g").agg(F.count(F.lit(1)).alias("c"), F.min("data").alias("data"))
+    groups = kinds.groupBy("h").agg(F.sum("c").alias("all"), F.count(F.lit(1)).alias("d")).where("all > 1").select("h", "d")
+    kinds = stage(kinds.join(groups, "h"), "kinds")
+    partly = stage(_shared_strings(kinds.where("d > 1"), length, seed), "partly")
+    whole = F.sequence(F.col("a"), F.col("a") + F.col("n") - 1)
+    starts = F.when(F.col("starts").isNull(), whole).otherwise(F.transform("starts", lambda x: x + F.col("a")))
+    found = cut.select("h0", "g0", "a", "n", "h", "g").join(_verdicts(kinds, partly), ["h", "g"]).select("h0", "g0", starts.alias("starts"))
     # At most as many starts as a piece has.
-    return strings.join(twice, ["s1", "s2"]).groupBy("h", "g").agg(F.sort_array(F.collect_list("start")).alias("starts"))
+    joined = F.array_sort(F.array_distinct(F.flatten(F.collect_list("starts"))))
+    return found.groupBy(F.col("h0").alias("h"), F.col("g0").alias("g")).agg(joined.alias("starts"))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED_BYTES) -> DataFrame:
@@ -328,16 +369,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED_BYTES
     kinds = stage(kinds.join(groups.select("h", "d"), "h"), "kinds")
     differing = kinds.where("d > 1").select("h", "g", "d", "one.*")
     cut = stage(_with_bytes(docs, differing.drop("d"), length).join(differing.select("h", "g", "d"), ["h", "g"]), "cut")
-    sorted_ones = _sorted_collections(cut.where(F.col("d") <= MOST_PIECES), length)
-    hot = cut.where(F.col("d") > MOST_PIECES)
-    partly = sorted_ones if hot.isEmpty() else sorted_ones.union(_counted_strings(hot, length))
-    partly = stage(partly, "partly")
-    verdict = (
-        kinds.select("h", "g", (F.col("c") > 1).alias("whole"))
-        .join(partly, ["h", "g"], "left")
-        .where("whole OR starts IS NOT NULL")
-        .select("h", "g", F.when(~F.col("whole"), F.col("starts")).alias("starts"))
-    )
+    partly = stage(_shared_strings(cut, length, seed), "partly")
+    verdict = _verdicts(kinds, partly)
     found = pieces.join(verdict, ["h", "g"]).select("t1", "t2", F.struct("a", "n", "starts").alias("p"))
     # The runs of one text are no more than its bytes; equal texts give the same runs.
     return found.groupBy("t1", "t2").agg(F.collect_set("p").alias("pieces"))
