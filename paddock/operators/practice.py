@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from paddock.functions.scalars import first_filled, nan_to_null, row_mean, session_label, to_number
 from paddock.operators.ordering import attach, keep_last, known, value_ranks
 from paddock.schemas import EVENT, SESSIONS
+from paddock.session import cut_lineage
 
 
 def best_laps(laps: DataFrame, event: Sequence[str] = EVENT, time: str = "lap_time") -> DataFrame:
@@ -23,6 +24,7 @@ def session_features(best: DataFrame, event: Sequence[str] = EVENT) -> DataFrame
 
     ``best`` holds one row per driver and session.  Both columns depend on the
     lap time alone, so they are computed once per distinct time and joined back.
+    ``best`` is read for both: write it first if it comes from all laps.
     """
     session = [*event, "session"]
     times = value_ranks(best, session, "best_lap", lowest="_fastest")
@@ -75,8 +77,13 @@ def with_row_means(wide: DataFrame) -> DataFrame:
 def features_from_laps(
     laps: DataFrame, event: Sequence[str] = EVENT, time: str = "lap_time"
 ) -> DataFrame:
-    """Laps to the wide practice table; the driver id doubles as the name."""
-    scored = session_features(best_laps(laps, event, time), event)
+    """Laps to the wide practice table; the driver id doubles as the name.  Laps are read once."""
+    return features_from_best(cut_lineage(best_laps(laps, event, time), "best"), event)
+
+
+def features_from_best(best: DataFrame, event: Sequence[str] = EVENT) -> DataFrame:
+    """Fastest laps per driver and session to the wide practice table."""
+    scored = session_features(best, event)
     return with_row_means(practice_wide(scored.withColumn("driver_name", F.col("driver_id")), event))
 
 
@@ -168,7 +175,7 @@ def practice_from_results(
     best = attach(timed, practice, ["session_key"], "inner").select(
         *EVENT, "session", "driver_id", "driver_name", "best_lap"
     )
-    return with_row_means(practice_wide(session_features(best, EVENT)))
+    return with_row_means(practice_wide(session_features(cut_lineage(best, "best"), EVENT)))
 
 
 def qualifying_from_results(

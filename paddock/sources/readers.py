@@ -161,6 +161,11 @@ def read_teams(spark: SparkSession, root: str) -> DataFrame:
     return read_best_format(spark, root, "teams", schemas.TEAMS)
 
 
+def read_schedule(spark: SparkSession, root: str) -> DataFrame:
+    """The season schedule; rows without a season or round are no rounds and are dropped."""
+    return read_best_format(spark, root, "schedule", schemas.SCHEDULE).where("year IS NOT NULL AND round_number IS NOT NULL")
+
+
 def fixtures_of(matches: DataFrame) -> DataFrame:
     """Matches not played yet."""
     return matches.where(F.col("home_goals").isNull())
@@ -176,10 +181,17 @@ def fixtures_head(fixtures: DataFrame, limit: int = 5) -> DataFrame:
 # -- documents and files -----------------------------------------------------
 
 
+def read_experiments(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tables of runs, sweeps and the runs of each sweep."""
+    names = {"runs": schemas.RUNS, "sweeps": schemas.SWEEPS, "sweep_runs": schemas.SWEEP_RUNS}
+    runs, sweeps, bridge = (read_best_format(spark, root, name, schema) for name, schema in names.items())
+    return runs, sweeps, bridge
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Result documents (one JSON file per run) as (run_id, result)."""
+    """Result documents (one JSON file per run) as (run_id, result); the folder, ``<id>`` or ``run_id=<id>``, names the run."""
     files = spark.read.option("wholetext", True).text(path).withColumn("_path", F.col("_metadata.file_path"))
-    run_id = F.regexp_extract("_path", r"([^/]+)/[^/]+$", 1)
+    run_id = F.regexp_extract("_path", r"/(?:run_id=)?([^/]+)/[^/]+$", 1)
     return files.select(run_id.alias("run_id"), F.from_json("value", schemas.RESULT_DOCUMENT).alias("result"))
 
 

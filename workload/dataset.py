@@ -33,7 +33,7 @@ def best_lap(spark, d):
 
 
 def _scored(spark, d):
-    return session_features(best_laps(views.laps(spark, d), EVENT, "lap_ms"), EVENT)
+    return session_features(cut_lineage(best_laps(views.laps(spark, d), EVENT, "lap_ms"), "best"), EVENT)
 
 
 @register(
@@ -210,9 +210,10 @@ def standings_previous_round(spark, d):
 
 def stacked_kinds(spark, d):
     """The four kinds of every round; race results also feed the standings."""
-    races = cut_lineage(views.race(spark, d), "race")
+    base = views.by_driver(spark, d)
+    races = cut_lineage(views.race(spark, d, base), "race")
     return ds.stack_kinds(
-        views.practice_features(spark, d), views.quali(spark, d), races, views.standings(spark, d, races)
+        views.practice_features(spark, d, base), views.quali(spark, d, base), races, views.standings(spark, d, races)
     )
 
 
@@ -314,8 +315,9 @@ def union_sources(spark, d):
     ),
 )
 def rounds_with_data(spark, d):
-    races = cut_lineage(views.race(spark, d), "race")
-    frames = [best_laps(views.laps(spark, d)), views.quali(spark, d), races, views.standings(spark, d, races)]
+    base = views.by_driver(spark, d)
+    races = cut_lineage(views.race(spark, d, base), "race")
+    frames = [best_laps(base), views.quali(spark, d, base), races, views.standings(spark, d, races)]
     return ds.rounds_with(views.calendar(spark, d), *frames).select(*EVENT)
 
 

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from paddock import schemas
 from paddock.functions.scalars import version_label
 from paddock.operators import dataset as ds
+from paddock.operators import practice
 from paddock.operators.experiments import result_rows
+from paddock.operators.ordering import first_places
+from paddock.operators.practice import best_laps
 from paddock.plans.predict import predict_all_heuristic
-from paddock.schemas import EVENT
+from paddock.schemas import EVENT, SESSIONS
 from paddock.session import cut_lineage, scratch_path
 from paddock.sources import readers, sinks
 from workload import views
@@ -23,7 +26,11 @@ from workload.sqlviews import with_views
     with_views("SELECT source, year, round_number, event_name FROM calendar", "calendar"),
 )
 def scan_schedule(spark, d):
-    return views.calendar(spark, d).select(*EVENT, "event_name")
+    """The calendar landed as CSV with its columns in another order and one more, read by the schema."""
+    home = scratch_path(spark, "schedule")
+    landed = views.calendar(spark, d).select("event_name", F.lit("x").alias("note"), "round_number", "source", "year")
+    sinks.write_csv(landed, f"{home}/schedule.csv")
+    return readers.read_schedule(spark, home).select(*EVENT, "event_name")
 
 
 @register(
@@ -69,6 +76,106 @@ def scan_best_format(spark, d):
     return readers.read_best_format(spark, d, "supplier")
 
 
+@register(
+    "scan_csv_where_no_parquet",
+    "SELECT p_partkey, p_name, p_retailprice, CAST(NULL AS INT) AS p_size FROM part",
+)
+def scan_csv_where_no_parquet(spark, d):
+    """Parts landed as CSV only, columns shuffled and one missing: found by the second format, read by name."""
+    home = scratch_path(spark, "formats")
+    parts = views.table(spark, d, "part")
+    sinks.write_csv(parts.select("p_retailprice", "p_name", "p_partkey"), f"{home}/part.csv")
+    wanted = parts.select("p_partkey", "p_name", "p_retailprice", "p_size").schema
+    return readers.read_best_format(spark, home, "part", wanted)
+
+
+def _landed_matches(spark, d):
+    """Matches as CSV, columns in reverse and without those of expected goals, odds, venue and cards."""
+    home, matches = scratch_path(spark, "football"), views.matches(spark, d)
+    sinks.write_csv(matches.select(*reversed(matches.columns)), f"{home}/matches.csv")
+    return readers.read_matches(spark, home)
+
+
+@register(
+    "scan_teams",
+    """SELECT CAST(n_nationkey AS VARCHAR) AS team_id, n_name AS team_name, r_name AS league, n_name AS country, CAST(NULL AS VARCHAR) AS team_aliases
+       FROM nation JOIN region ON r_regionkey = n_regionkey""",
+)
+def scan_teams(spark, d):
+    """Nations as teams of their region's league, landed without aliases."""
+    home = scratch_path(spark, "teams")
+    regions = spark.read.schema("r_regionkey int, r_name string").parquet(f"{d}/region.parquet")
+    nations = views.table(spark, d, "nation").join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
+    landed = nations.select(
+        F.col("n_name").alias("country"), F.col("r_name").alias("league"), F.col("n_name").alias("team_name"), F.col("n_nationkey").alias("team_id")
+    )
+    sinks.write_csv(landed, f"{home}/teams.csv")
+    return readers.read_teams(spark, home)
+
+
+@register(
+    "scan_runs",
+    """SELECT CAST(c_custkey AS VARCHAR) AS sweep_id, c_mktsegment AS sport, count(o_orderkey) AS runs,
+         count(o_orderkey) FILTER (o_orderstatus = 'F') AS done, strftime(max(o_orderdate), '%Y-%m-%d') AS last_day
+       FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL""",
+)
+def scan_runs(spark, d):
+    """Runs, sweeps and their bridge landed in three formats of columns, read by their schemas and joined."""
+    home, runs = scratch_path(spark, "experiments"), views.runs(spark, d)
+    sinks.write_csv(runs.select("status", "created_at", "sweep_id", "id"), f"{home}/runs.csv")
+    runs.select(F.col("id").alias("run_id"), "sweep_id", F.lit("1").alias("param_value")).write.parquet(f"{home}/sweep_runs.parquet")
+    sweeps = views.table(spark, d, "customer").select(F.col("c_mktsegment").alias("sport"), F.col("c_custkey").cast("string").alias("id"))
+    sinks.write_csv(sweeps, f"{home}/sweeps.csv")
+    found, sweeps, bridge = readers.read_experiments(spark, home)
+    of_sweep = found.drop("sweep_id", "sport").join(bridge.withColumnRenamed("run_id", "id"), "id")
+    joined = sweeps.select(F.col("id").alias("sweep_id"), "sport").join(of_sweep, "sweep_id", "left")
+    return joined.groupBy("sweep_id", "sport").agg(
+        F.count("id").alias("runs"),
+        F.count_if(F.col("status") == "success").alias("done"),
+        F.date_format(F.max("created_at"), "yyyy-MM-dd").alias("last_day"),
+    )
+
+
+@register(
+    "practice_from_results",
+    with_views(
+        """SELECT year, dense_rank() OVER (PARTITION BY year ORDER BY round_number) AS round_number, driver_id, driver_name,
+             fp1_delta, fp1_rank, fp2_delta, fp2_rank, fp3_delta, fp3_rank, round(fp_mean_delta, 6) AS fp_mean_delta FROM features""",
+        "features",
+    ),
+)
+def practice_from_results(spark, d):
+    """Every driver's best lap as a session result, landed with text durations of which some are missing, in practice tables."""
+    base = views.by_driver(spark, d)
+    meeting = F.col("year") * 100 + F.col("round_number")
+    months = base.select("source", "year", "round_number").distinct()
+    meetings = months.select(
+        "source", "year", meeting.cast("long").alias("meeting_key"), F.concat(F.lit("M"), meeting.cast("string")).alias("meeting_name"),
+        F.lit(None).cast("string").alias("country_name"), meeting.cast("string").alias("date_start"), meeting.cast("long").alias("ord"),
+    )
+    number = F.col("session").substr(3, 1).cast("int")
+    key = (meeting * 10 + number).cast("long")
+    sessions = base.select(
+        "source", "year", meeting.cast("long").alias("meeting_key"), key.alias("session_key"),
+        F.concat(F.lit("Practice "), number.cast("string")).alias("session_name"), key.alias("ord"),
+    ).distinct()
+    best = best_laps(base, EVENT, "lap_ms")
+    entries = best.select(key.alias("session_key"), F.col("driver_id").alias("driver_number"), F.lit("1").alias("position"), F.col("best_lap").cast("string").alias("text"))
+    unplaced = entries.select("session_key", F.concat(F.lit("x"), "driver_number").alias("driver_number"), "position", F.lit(None).cast("string").alias("text"))
+    home = scratch_path(spark, "results")
+    landed = entries.unionByName(unplaced).withColumn("ord", F.xxhash64("session_key", "driver_number"))
+    # A duration is a bare number or absent in the documents.
+    landed.select("session_key", "driver_number", "position", F.try_parse_json("text").alias("duration"), "ord").write.json(f"{home}/session_result")
+    results = readers.read_endpoint(spark, home, "session_result", schemas.SESSION_RESULTS)
+    drivers = entries.select("session_key", "driver_number", F.lit("").alias("name_acronym"), F.lit(0).cast("long").alias("ord"))
+    rows = practice.practice_from_results(meetings, sessions, results, drivers)
+    gaps = [F.col(f"{s.lower()}_delta").cast("bigint").alias(f"{s.lower()}_delta") for s in SESSIONS]
+    ranks = [f"{s.lower()}_rank" for s in SESSIONS]
+    return rows.select(
+        "year", F.col("round_number").cast("bigint").alias("round_number"), "driver_id", "driver_name", *gaps, *ranks, F.round("fp_mean_delta", 6).alias("fp_mean_delta")
+    )
+
+
 @register(
     "fixtures_head",
     with_views(
@@ -78,7 +185,7 @@ def scan_best_format(spark, d):
     ),
 )
 def fixtures_head(spark, d):
-    upcoming = readers.fixtures_of(views.matches(spark, d)).orderBy("date", "match_id")
+    upcoming = readers.fixtures_of(_landed_matches(spark, d)).orderBy("date", "match_id")
     return readers.fixtures_head(upcoming, 8)
 
 
@@ -91,7 +198,7 @@ def fixtures_head(spark, d):
     ),
 )
 def scan_matches(spark, d):
-    return views.matches(spark, d).select(
+    return _landed_matches(spark, d).select(
         "match_id",
         readers.match_time(F.col("date")).cast("timestamp_ntz").alias("kick_off"),
         "season",
@@ -145,8 +252,6 @@ def sink_csv_roundtrip(spark, d):
 )
 def sink_parquet_roundtrip(spark, d):
     """Best laps written by source and year, and read back."""
-    from paddock.operators.practice import best_laps
-
     best = best_laps(views.laps(spark, d), EVENT, "lap_ms")
     path = sinks.write_parquet(best, scratch_path(spark, "parquet"), ["source", "year"])
     return spark.read.schema(best.schema).parquet(path).select(*EVENT, "driver_id", "session", "best_lap")
@@ -234,6 +339,25 @@ def explode_result_rows(spark, d):
     return result_rows(documents).select("run_id", "driver_name", "pred")
 
 
+@register(
+    "scan_result_files",
+    """SELECT CAST(n_nationkey AS VARCHAR) AS run_id, CASE WHEN s_suppkey IS NOT NULL THEN CAST(place AS INT) END AS rank, s_name AS driver_name, s_acctbal AS pred
+       FROM nation LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS place FROM supplier
+         QUALIFY place <= 10) ON s_nationkey = n_nationkey""",
+)
+def scan_result_files(spark, d):
+    """A run per nation that predicts its first ten suppliers, landed as one JSON file a run and read back; a run may be empty."""
+    order = [F.desc("s_acctbal"), F.col("s_suppkey")]
+    top = first_places(views.table(spark, d, "supplier"), ["s_nationkey"], order, 10, "rank")
+    row = F.struct("rank", F.col("s_name").alias("driver_name"), F.col("s_acctbal").alias("pred"))
+    listed = top.groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    runs = views.table(spark, d, "nation").join(listed, "n_nationkey", "left")
+    document = F.to_json(F.struct(F.coalesce("rows", F.array()).alias("rows")))
+    path = scratch_path(spark, "runs")
+    runs.select(F.col("n_nationkey").alias("run_id"), document.alias("value")).repartition("run_id").write.partitionBy("run_id").text(path)
+    return result_rows(readers.read_results(spark, path)).select("run_id", "rank", "driver_name", "pred")
+
+
 @register("file_inventory")
 def file_inventory(spark, d):
     """Paths and sizes of the supplied tables' files."""

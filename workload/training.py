@@ -63,7 +63,8 @@ def train_race_standings(spark, d):
 )
 def current_features(spark, d):
     this = (F.col("year") == 1998) & (F.col("round_number") == 6)
-    rows = race_features(views.practice_features(spark, d).where(this), views.quali(spark, d).where(this))
+    base = views.by_driver(spark, d).where(this)
+    rows = race_features(views.practice_features(spark, d, base), views.quali(spark, d, base))
     return rows.select(*DRIVER, *RACE_FEATURES)
 
 
@@ -271,8 +272,10 @@ def predict_top_n(spark, d):
 
 
 def _tables(spark, d) -> Tables:
-    quali = views.quali(spark, d).drop("q3_time").withColumnRenamed("q3_ms", "q3_time")
-    return Tables(views.practice_features(spark, d), quali, views.race(spark, d), views.standings(spark, d))
+    base = views.by_driver(spark, d)
+    quali = views.quali(spark, d, base).drop("q3_time").withColumnRenamed("q3_ms", "q3_time")
+    races = cut_lineage(views.race(spark, d, base), "race")
+    return Tables(views.practice_features(spark, d, base), quali, races, views.standings(spark, d, races))
 
 
 @register("predict_qualifying")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from paddock.functions.scalars import event_key
 from paddock.operators.ordering import known, with_min_rank
-from paddock.operators.practice import features_from_laps
+from paddock.operators.practice import best_laps, features_from_best, features_from_laps
 from paddock.operators.standings import standings_before_round
 from paddock.operators.training import qualifying_training, race_training
 from paddock.schemas import DRIVER, EVENT
@@ -52,7 +52,7 @@ def _cents(col: str):
     return F.rint(F.col(col) * 100).cast("bigint")
 
 
-def laps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def laps(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     flag = F.col("l_returnflag")
     return table(spark, sf_dir, "lineitem").select(
         *_round("l_shipdate"),
@@ -60,33 +60,41 @@ def laps(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_suppkey").cast("string").alias("driver_id"),
         F.col("l_extendedprice").alias("lap_time"),
         _cents("l_extendedprice").alias("lap_ms"),
+        *more,
     )
 
 
-def _driver_rounds(spark: SparkSession, sf_dir: str, status: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where(F.col("l_linestatus") == status).select(
-        *_round("l_shipdate"),
-        F.col("l_suppkey").cast("string").alias("driver_id"),
-        "l_extendedprice",
-        _cents("l_extendedprice").alias("cents"),
+def by_driver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best and total of every driver's lines by round, session and status.
+
+    Practice, qualifying and race all come from it, and each of them reads it
+    for the ranks and again for the rows, so it is written once.
+    """
+    rows = laps(spark, sf_dir, "l_linestatus")
+    grouped = known(rows, *DRIVER).groupBy(*DRIVER, "session", "l_linestatus").agg(
+        F.min("lap_time").alias("lap_time"), F.min("lap_ms").alias("lap_ms"), F.sum("lap_ms").alias("total")
     )
-    return known(rows, *DRIVER).groupBy(*DRIVER).agg(
-        F.min("l_extendedprice").alias("best"), F.min("cents").alias("best_ms"), F.sum("cents").alias("total")
+    return cut_lineage(grouped, "drivers")
+
+
+def _driver_rounds(base: DataFrame, status: str) -> DataFrame:
+    return base.where(F.col("l_linestatus") == status).groupBy(*DRIVER).agg(
+        F.min("lap_time").alias("best"), F.min("lap_ms").alias("best_ms"), F.sum("total").alias("total")
     )
 
 
-def quali(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = with_min_rank(_driver_rounds(spark, sf_dir, "F"), EVENT, "best_ms", "position")
+def quali(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
+    base = by_driver(spark, sf_dir) if base is None else base
+    ranked = with_min_rank(_driver_rounds(base, "F"), EVENT, "best_ms", "position")
     third = F.col("best_ms") % 3 != 0  # drivers without a third time, at any position
     return ranked.select(
         *DRIVER, "position", F.when(third, F.col("best")).alias("q3_time"), F.when(third, F.col("best_ms")).alias("q3_ms")
     )
 
 
-def race(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = with_min_rank(
-        _driver_rounds(spark, sf_dir, "O"), EVENT, "total", "position", descending=True
-    )
+def race(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
+    base = by_driver(spark, sf_dir) if base is None else base
+    ranked = with_min_rank(_driver_rounds(base, "O"), EVENT, "total", "position", descending=True)
     return ranked.select(*DRIVER, "position")
 
 
@@ -95,8 +103,10 @@ def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return months.withColumn("event_name", F.concat(F.lit("Round "), F.col("round_number").cast("string")))
 
 
-def practice_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features_from_laps(laps(spark, sf_dir), EVENT, "lap_ms")
+def practice_features(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
+    if base is None:
+        return features_from_laps(laps(spark, sf_dir), EVENT, "lap_ms")
+    return features_from_best(best_laps(base, EVENT, "lap_ms"))
 
 
 def standings(spark: SparkSession, sf_dir: str, races: DataFrame | None = None) -> DataFrame:
@@ -105,17 +115,19 @@ def standings(spark: SparkSession, sf_dir: str, races: DataFrame | None = None)
 
 
 def train_qualifying(spark: SparkSession, sf_dir: str) -> DataFrame:
-    timed = quali(spark, sf_dir).drop("q3_time").withColumnRenamed("q3_ms", "q3_time")
-    return qualifying_training(practice_features(spark, sf_dir), timed)
+    base = by_driver(spark, sf_dir)
+    timed = quali(spark, sf_dir, base).drop("q3_time").withColumnRenamed("q3_ms", "q3_time")
+    return qualifying_training(practice_features(spark, sf_dir, base), timed)
 
 
 def train_race(spark: SparkSession, sf_dir: str, with_standings: bool = False) -> DataFrame:
-    races = race(spark, sf_dir)
+    base = by_driver(spark, sf_dir)
+    races = race(spark, sf_dir, base)
     if with_standings:
         races = cut_lineage(races, "race")
     return race_training(
-        practice_features(spark, sf_dir),
-        quali(spark, sf_dir),
+        practice_features(spark, sf_dir, base),
+        quali(spark, sf_dir, base),
         races,
         standings(spark, sf_dir, races) if with_standings else None,
     )
