@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paddock.functions.scalars import display_label, json_text, nan_to_null, status_word
@@ -21,6 +21,40 @@ def upsert_latest(existing: DataFrame, changes: DataFrame, key: str, order: Sequ
     return keep_last(existing.unionByName(changes), [key], order)
 
 
+def run_spans(
+    changes: DataFrame, key: str, time: str, order: str, state: str, final: Sequence[str], patience_seconds: int
+) -> DataFrame:
+    """Finished runs of every key: (key, started, ended, state, changes, seconds).
+
+    A run starts with the first change after a finished one and ends with a
+    ``final`` state, or as ``aborted`` when no change follows within
+    ``patience_seconds``.  Changes of a key are in order of ``time``, then
+    ``order``; those without key or time are dropped.
+    """
+    log = changes.where(F.col(key).isNotNull() & F.col(time).isNotNull())
+    log = log.select(key, F.unix_micros(F.col(time).cast("timestamp")).alias("_us"), order, F.col(state).alias("_state"))
+    in_order = Window.partitionBy(key).orderBy("_us", order)
+    patience = patience_seconds * 1_000_000
+    over = F.lag("_state").over(in_order).isin(*final) | (F.col("_us") >= F.lag("_us").over(in_order) + patience)
+    numbered = log.withColumn("_new", F.coalesce(over, F.lit(False))).withColumn("_run", F.count_if("_new").over(in_order))
+    spans = numbered.groupBy(key, "_run").agg(
+        F.min("_us").alias("_from"),
+        F.max("_us").alias("_last"),
+        F.max_by("_state", F.struct("_us", order)).alias("_state"),
+        F.count(F.lit(1)).alias("changes"),
+    )
+    finished = F.coalesce(F.col("_state").isin(*final), F.lit(False))
+    to = F.when(finished, F.col("_last")).otherwise(F.col("_last") + patience)
+    return spans.select(
+        key,
+        F.timestamp_micros("_from").alias("started"),
+        F.timestamp_micros(to).alias("ended"),
+        F.when(finished, F.col("_state")).otherwise("aborted").alias("state"),
+        "changes",
+        ((to - F.col("_from")) / 1_000_000).alias("seconds"),
+    )
+
+
 def abort_cascade(runs: DataFrame, sweeps: DataFrame) -> DataFrame:
     """Unfinished runs of a failed sweep become errors."""
     failed = sweeps.where(status_word(F.col("status")) == "error").select(

@@ -133,3 +133,27 @@ def test_last_row_without_ordinal_is_defined(spark):
     for parts in (1, 3):
         merged = ds.merge_kinds(ds.stack_kinds(none, quali.repartition(parts), none, none)).collect()
         assert [r["qualy_position"] for r in merged] == [3.0]
+
+
+def test_spans_from_a_stream_of_shuffled_files(spark, tmp_path):
+    """Files whose changes overlap in time, one file a batch: the runs of the batch operator that end before the watermark."""
+    from paddock.operators import experiments as ex
+
+    hour = 3_600_000_000
+    words = ("queued", "running", "done", None)
+    log = [(k if k % 9 else None, (i * i * 3 + k * 5) % 400 * hour + k, k * 1000 + i, words[(i * i + k) % 4]) for k in range(12) for i in range(60)]
+    log += [(3, 90 * hour, 1, "done"), (3, 90 * hour, 2, "queued")]  # ties in time
+    log.sort(key=lambda r: (r[1] // (20 * hour), r[2] % 13))  # out of order by less than the lateness
+    part = len(log) // 4 + 1
+    frames = [spark.createDataFrame(log[i : i + part], "id int, us long, n long, state string") for i in range(0, len(log), part)]
+    frames = [f.withColumn("at", F.timestamp_micros("us")) for f in frames]
+    for i, frame in enumerate(frames):
+        frame.coalesce(1).write.parquet(f"{tmp_path}/log/{i}")
+    rule = {"key": "id", "time": "at", "order": "n", "state": "state", "final": ["done"], "patience_seconds": 10 * 3600}
+    stream = spark.readStream.schema(frames[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/log/*")
+    got = live.drain(live.live_spans(stream, **rule, lateness="2 days"), "spans", "append")
+    whole = ex.run_spans(spark.read.schema(frames[0].schema).parquet(f"{tmp_path}/log/*"), **rule)
+    until = max(us for k, us, _, _ in log if k is not None) // 1000 * 1000 - 48 * hour
+    want = whole.where(F.unix_micros("ended") < until)
+    assert got.where("state = 'aborted'").count() > 5
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

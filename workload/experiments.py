@@ -359,3 +359,29 @@ def stream_current_state(spark, d):
 @register("stream_daily_counts", "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS runs FROM events GROUP BY ALL")
 def stream_daily_counts(spark, d):
     return live.drain(live.live_daily_counts(_changes(spark, d), "ts"), "daily", "update", ["day"])
+
+
+_SPANS = """WITH c AS (SELECT *, lag(ts) OVER k AS ts_before, lag(event_type) OVER k AS type_before FROM events WINDOW k AS (PARTITION BY user_id ORDER BY ts, event_id)),
+  g AS (SELECT *, count(*) FILTER (type_before IN ('purchase', 'error') OR ts >= ts_before + INTERVAL 36 HOUR) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM c),
+  r AS (SELECT user_id, min(ts) AS t0, max(ts) AS t1, last(event_type ORDER BY ts, event_id) AS state, count(*) AS changes FROM g GROUP BY user_id, run),
+  spans AS (SELECT user_id, t0, CASE WHEN state IN ('purchase', 'error') THEN t1 ELSE t1 + INTERVAL 36 HOUR END AS t2,
+      CASE WHEN state IN ('purchase', 'error') THEN state ELSE 'aborted' END AS state, changes FROM r)
+  SELECT user_id, strftime(t0, '%Y-%m-%d %H:%M:%S.%f') AS started, strftime(t2, '%Y-%m-%d %H:%M:%S.%f') AS ended, state, changes,
+    (epoch_us(t2) - epoch_us(t0)) / 1000000 AS seconds FROM spans"""
+#: A user's events as the states of runs that end with a purchase or an error, or are aborted after 36 hours without a change.
+_SPAN_RULE = {"key": "user_id", "time": "ts", "order": "event_id", "state": "event_type", "final": ["purchase", "error"], "patience_seconds": 36 * 3600}
+
+
+def _shown(spans):
+    return spans.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c in ("started", "ended")})
+
+
+@register("run_spans", _SPANS)
+def run_spans(spark, d):
+    return _shown(ex.run_spans(views.table(spark, d, "events"), **_SPAN_RULE))
+
+
+@register("stream_run_spans", _SPANS + " WHERE t2 < (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 2 DAY FROM events)")
+def stream_run_spans(spark, d):
+    """The runs that are certain once all events are read and two days of lateness are allowed for."""
+    return _shown(live.drain(live.live_spans(_changes(spark, d), **_SPAN_RULE), "spans", "append"))
