@@ -3,9 +3,12 @@
 Normalised vectors of cosine 0.98 or more are at most 0.2 apart.  A table's key
 joins the quantised projections of a vector on Gaussian directions; near
 vectors share a key in some table, and vectors that share one are compared
-exactly.  A bucket of any size is cut into blocks, of which each task compares
-two by one matrix product.  Only sums per vector and a spanning forest leave a
-task, never pairs.
+exactly.  The number of projections in a key grows with the logarithm of the
+rows of a label, so that unrelated vectors seldom meet in a table of any size,
+and the number of tables with it, so that near ones always do.  Only ids go
+through the buckets.  A bucket of any size is cut into blocks, of which each
+task compares two by one matrix product.  Only sums per vector and a spanning
+forest leave a task, never pairs.
 """
 
 from __future__ import annotations
@@ -17,23 +20,35 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from paddock.llm.components import components
 from paddock.llm.texts import small_batches, stage, worker_cache
 
 LEAST_COSINE = 0.98
-#: 32 tables of 10 projections: a pair at the limit shares no key with probability 4e-6.
-TABLES, PROJECTIONS = 32, 10
+#: Chance that a pair at the limit shares no key.
+MISSED = 4e-6
+#: Projections of a key beyond those that leave a vector one unrelated partner in a table.
+SPARE = 2
 #: Width of a slot, in distances of a pair at the limit.
 WIDTH = 7.5
 #: Vectors of one bucket that one task compares with as many others.
 BLOCK = 1024
+#: Components and directions are rounded to these fractions, which makes sums of their products exact in any order.
+UNIT_STEPS, DIRECTION_STEPS = 1 << 20, 1 << 16
 _SEED = 20240301
 
 
-def _directions(size: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng((_SEED, size))
-    return rng.standard_normal((size, TABLES * PROJECTIONS)), rng.random(TABLES * PROJECTIONS)
+def _same_slot(width: float) -> float:
+    """Chance that two points share a slot of this width, in distances between them."""
+    return math.erf(width / math.sqrt(2)) - 2 / (math.sqrt(2 * math.pi) * width) * (1 - math.exp(-width * width / 2))
+
+
+def tables_for(rows: int, least: float = LEAST_COSINE) -> tuple[int, int]:
+    """Tables, and projections of each key, for a label with so many different vectors."""
+    unrelated, near = _same_slot(WIDTH * math.sqrt(1 - least)), _same_slot(WIDTH)
+    projections = SPARE + max(1, math.ceil(math.log(rows) / -math.log(unrelated)))
+    return math.ceil(math.log(MISSED) / math.log1p(-(near**projections))), projections
 
 
 def usable(vector: list[float | None] | None) -> bool:
@@ -47,55 +62,103 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
 
 
+def _directions(size: int, tables: int, projections: int) -> tuple[np.ndarray, ...]:
+    """Rounded directions, shifts of the slots, and factors and first terms of the keys."""
+    rng = np.random.default_rng((_SEED, size, projections))
+    along = np.rint(rng.standard_normal((size, tables * projections)) * DIRECTION_STEPS)
+    factors = rng.integers(0, 1 << 63, (tables, projections), np.uint64) * np.uint64(2) + np.uint64(1)
+    return along, rng.random(tables * projections), factors, rng.integers(0, 1 << 63, (2, tables), np.uint64)
+
+
+def _keys(units: np.ndarray, label: int, rows: int, least: float) -> np.ndarray:
+    """A row of keys, one for each table, for every unit vector of a label with so many different vectors.
+
+    The same vector gets the same keys in every task, as no sum is rounded.
+    """
+    tables, projections = tables_for(rows, least)
+    name = f"directions {units.shape[1]} {tables} {projections}"
+    along, shift, factors, first = worker_cache(name, lambda: _directions(units.shape[1], tables, projections))
+    width = WIDTH * math.sqrt(2 - 2 * least) * UNIT_STEPS * DIRECTION_STEPS
+    start = first[0] + first[1] * np.uint64(label)
+    out = []
+    for at in range(0, len(units), 256):
+        slots = np.floor(np.rint(units[at : at + 256] * UNIT_STEPS) @ along / width + shift).astype(np.int64).view(np.uint64)
+        out.append((slots.reshape(-1, tables, projections) * factors).sum(axis=2, dtype=np.uint64) + start)
+    return np.concatenate(out).view(np.int64)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.RecordBatch]]:
+    """Rows that follow each other with the same first ``keys`` columns, all of them long."""
+    held, parts = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        where = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(keys)], axis=1)
+        cuts = [0, *(np.flatnonzero((where[1:] != where[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+        for low, high in zip(cuts, cuts[1:]):
+            if (group := tuple(where[low].tolist())) != held:
+                if parts:
+                    yield parts
+                held, parts = group, []
+            parts.append(batch.slice(low, high - low))
+    if parts:
+        yield parts
+
+
+def _column(parts: list[pa.RecordBatch], name: str) -> np.ndarray:
+    return np.concatenate([p.column(p.schema.get_field_index(name)).to_numpy(zero_copy_only=False) for p in parts])
+
+
+def _vectors(parts: list[pa.RecordBatch], size: int) -> np.ndarray:
+    found = [p.column(p.schema.get_field_index("embedding")).flatten().to_numpy(zero_copy_only=False) for p in parts]
+    return np.concatenate(found).reshape(-1, size).astype(float)
+
+
 def _keyed(classes: DataFrame, least: float) -> DataFrame:
-    """(cid, keys): one key for each table."""
-    width = WIDTH * math.sqrt(2 - 2 * least)
+    """(cid, keys): one key for each table of the vector's label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for batch in batches:
-            cids, labels, vectors = (batch.column(i).to_pylist() for i in range(3))
-            keys = []
-            for label, vector in zip(labels, vectors):
-                along, shift = worker_cache(f"directions {len(vector)}", lambda n=len(vector): _directions(n))
-                slots = np.floor(_unit(np.array([vector], float))[0] @ along / width + shift).astype("<i4").reshape(TABLES, -1)
-                lead = f"{label}:{len(vector)}:"
-                keys.append([xxhash.xxh3_64_intdigest(f"{lead}{t}:".encode() + s.tobytes()) - (1 << 63) for t, s in enumerate(slots)])
-            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["cid", "keys"])
+        for parts in _runs(batches, 3):
+            label, size, rows = (parts[0].column(c)[0].as_py() for c in range(3))
+            keys = _keys(_unit(_vectors(parts, size)), label, rows, least)
+            ends = np.arange(len(keys) + 1, dtype=np.int32) * keys.shape[1]
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(_column(parts, "cid")), lists], ["cid", "keys"])
 
-    return classes.select("cid", F.col("label").cast("string"), F.col("embedding").cast("array<double>")).mapInArrow(run, "cid long, keys array<long>")
+    ordered = classes.select("lid", "size", "of_label", "cid", "embedding").sortWithinPartitions("lid", "size")
+    return ordered.mapInArrow(run, "cid long, keys array<long>")
 
 
-def _compared(buckets: DataFrame, least: float) -> DataFrame:
-    """From (key, i, j, left, right, cid, n, t, keys, embedding): (cid, links, root) for each vector with links found there.
+def _compared(blocks: DataFrame, least: float) -> DataFrame:
+    """From (key, i, j, lid, size, of_label, t, left, right, cid, n, embedding): (cid, links, root) of vectors with links found there.
 
     A pair counts in the first table in which its keys agree.  ``root`` stands
     for the vectors that links of this comparison join.
     """
 
-    def compare(rows: list[tuple]) -> list[tuple[int, int, int]]:
-        cid, n = (np.array([r[c] for r in rows], np.int64) for c in (0, 1))
-        table = rows[0][2]
-        keys = np.array([r[3] for r in rows], np.int64)
-        units = _unit(np.array([r[4] for r in rows], float))
-        left, right = (np.flatnonzero([r[c] for r in rows]) for c in (5, 6))
-        links, root = np.zeros(len(rows), np.int64), np.arange(len(rows))
+    def compare(parts: list[pa.RecordBatch]) -> list[np.ndarray] | None:
+        label, size, rows, table = (parts[0].column(c)[0].as_py() for c in range(3, 7))
+        cid, n = _column(parts, "cid"), _column(parts, "n")
+        units = _unit(_vectors(parts, size))
+        left, right = (np.flatnonzero(_column(parts, c)) for c in ("left", "right"))
         a, b = [], []
         for at in range(0, len(left), 64):
             part = left[at : at + 64]
             i, j = np.nonzero(units[part] @ units[right].T >= least)
             i, j = part[i], right[j]
             # Within one block every pair is met from both ends.
-            fresh = (i < j) if len(left) == len(right) == len(rows) else (i != j)
-            i, j = i[fresh], j[fresh]
-            first = ~(keys[i, :table] == keys[j, :table]).any(axis=1)
+            fresh = (i < j) if len(left) == len(right) == len(cid) else (i != j)
+            if fresh.any():
+                a.append(i[fresh])
+                b.append(j[fresh])
+        if not a:
+            return None
+        keys = _keys(units, label, rows, least)[:, :table]
+        links, root = np.zeros(len(cid), np.int64), np.arange(len(cid))
+        for i, j in zip(a, b):
+            first = ~(keys[i] == keys[j]).any(axis=1)
             np.add.at(links, i[first], n[j[first]])
             np.add.at(links, j[first], n[i[first]])
-            a.append(i)
-            b.append(j)
-        if not a:
-            return []
         i, j = np.concatenate(a), np.concatenate(b)
         while True:  # smallest label of the neighbours, then of the label's label
             before = root.copy()
@@ -105,24 +168,14 @@ def _compared(buckets: DataFrame, least: float) -> DataFrame:
             if (root == before).all():
                 break
         near = np.unique(np.concatenate([i, j]))
-        return [(int(cid[x]), int(links[x]), int(cid[root[x]])) for x in near]
+        return [cid[near], links[near], cid[root[near]]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, rows = None, []
+        for parts in _runs(batches, 5):
+            if sum(p.num_rows for p in parts) > 1 and (found := compare(parts)):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["cid", "links", "root"])
 
-        def out():
-            if len(rows) > 1 and (found := compare(rows)):
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["cid", "links", "root"])
-
-        for batch in batches:
-            for k, i, j, *row in zip(*[batch.column(c).to_pylist() for c in range(10)]):
-                if (k, i, j) != group:
-                    yield from out()
-                    group, rows = (k, i, j), []
-                rows.append(row)
-        yield from out()
-
-    return buckets.mapInArrow(run, "cid long, links long, root long")
+    return blocks.mapInArrow(run, "cid long, links long, root long")
 
 
 def near_vectors(vectors: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
@@ -135,7 +188,10 @@ def near_vectors(vectors: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     end.  Repeated rows count as vectors of their own; rows of one vec_id share
     a component.  The work for a group of ``m`` different vectors that are all
     near each other grows with ``m`` squared, as each has ``m`` links to count;
-    it is cut into blocks, and what leaves a task is linear.
+    it is cut into blocks, and what leaves a task is linear.  A row without
+    vec_id is compared like any other; it counts in the links of others and has
+    its own, but no component is named after it unless no other row is in it,
+    and it is kept.
     """
     spark = vectors.sparkSession
     small_batches(spark)
@@ -146,23 +202,28 @@ def near_vectors(vectors: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
         & F.forall(kinds, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
         & F.exists(kinds, lambda x: x != 0)
     )
-    rows = vectors.select(F.col("vec_id").cast("long").alias("id"), "label", F.col("embedding").cast("array<double>").alias("embedding"))
+    # Single precision stays as it is, half as much to shuffle; all arithmetic is double.
+    single = vectors.schema["embedding"].dataType == ArrayType(FloatType(), vectors.schema["embedding"].dataType.containsNull)
+    held = F.col("embedding").cast(f"array<{'float' if single else 'double'}>")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("id"), "label", held.alias("embedding"))
     rows = rows.withColumn("fit", F.coalesce(fit, F.lit(False)))
     grouped = rows.where("fit").groupBy("label", "embedding").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
     classes = stage(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
-
-    keyed = stage(_keyed(classes, least), "keys")
-    single = keyed.select("cid", F.posexplode("keys").alias("t", "key"))
-    sizes = single.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    shared = single.join(sizes, "key").withColumns({"blocks": blocks, "mine": F.pmod(F.xxhash64("cid"), blocks).cast("int")})
-    placed = shared.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    labels = classes.groupBy("label").agg(F.count(F.lit(1)).alias("of_label"))
+    labels = stage(labels.withColumn("lid", F.monotonically_increasing_id()), "labels")
+    sized = classes.join(labels, "label").withColumn("size", F.size("embedding").cast("long"))
+
+    keyed = stage(_keyed(sized, least), "keys")
+    entries = keyed.select("cid", F.posexplode("keys").alias("t", "key"))
+    sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    blocks = F.ceil(F.col("m") / BLOCK).cast("long")
+    shared = entries.join(sizes, "key").withColumns({"blocks": blocks, "mine": F.pmod(F.xxhash64("cid"), blocks)})
+    placed = shared.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     ready = (
-        placed.join(keyed, "cid")
-        .join(classes.select("cid", "n", "embedding"), "cid")
-        .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "cid", "n", "t", "keys", "embedding", (F.col("mine") <= F.col("other")).alias("left"), (F.col("mine") >= F.col("other")).alias("right"))
+        placed.join(sized, "cid")
+        .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "lid", "size", "of_label", "t", (F.col("mine") <= F.col("other")).alias("left"), (F.col("mine") >= F.col("other")).alias("right"), "cid", "n", "embedding")
         .repartition("key", "i", "j")
-        .sortWithinPartitions("key", "i", "j")
+        .sortWithinPartitions("key", "i", "j", "lid", "size")
     )
     found = stage(_compared(ready, least), "near")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -176,6 +177,31 @@ def test_near_vectors(spark, monkeypatch):
     assert vectors.near_vectors(spark.createDataFrame([], schema)).collect() == []
 
 
+def test_vectors_without_vec_id(spark):
+    """They are linked like others, but name no component that holds a vec_id, and stay."""
+    east, north = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(None, east, 1), (4, [1.0, 0.01, 0.0], 1), (3, east, 1), (None, north, 1), (None, north, 1), (9, north, 2)]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(
+        map(str, [(None, 2, 3, True), (4, 2, 3, False), (3, 2, 3, True), (None, 1, None, True), (None, 1, None, True), (9, 0, 9, True)])
+    )
+
+
+@pytest.mark.parametrize("rows", [2, 5_000, 10**9])
+def test_keys_of_near_and_unrelated_vectors(rows):
+    """Pairs at the limit share a key at any number of rows, unrelated ones seldom: less than one in a table."""
+    rng = np.random.default_rng(rows)
+    a, b = (vectors._unit(rng.standard_normal((4_000, 64))) for _ in range(2))
+    across = vectors._unit(b - (a * b).sum(axis=1, keepdims=True) * a)
+    near = 0.98 * a + np.sqrt(1 - 0.98**2) * across
+    own, others, apart = (vectors._keys(x, 3, rows, 0.98) for x in (a, near, b))
+    assert (own == others).any(axis=1).mean() > 0.999
+    tables, projections = vectors.tables_for(rows)
+    assert own.shape == (4_000, tables) and (own == apart).mean() <= max(1 / rows, 1e-3)
+    # Vectors taken one by one get the keys they have in a batch.
+    assert all((vectors._keys(a[i : i + 1], 3, rows, 0.98)[0] == own[i]).all() for i in range(0, 4_000, 400))
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.binary(max_size=40) | st.text("ab", max_size=40).map(str.encode), min_size=1, max_size=12), st.integers(1, 9))
 def test_collections_find_all_repeats(strings, length):
