@@ -31,6 +31,8 @@ SKETCH_BITS = 512
 SKETCH_LEAST = 0.60
 #: Documents of one bucket that one task compares with as many others.
 BLOCK = 1024
+#: Shingles of the documents of a block, about: a task holds the full sets of two blocks, or of two longer documents.
+BLOCK_SHINGLES = 1 << 21
 _SEED = 20240229
 
 
@@ -201,10 +203,11 @@ def _suspects(members: DataFrame, classes: DataFrame) -> DataFrame:
     """(k, i, j, left, right, cid, root): documents of a bucket with a document of another component and a close sketch.
 
     ``members``: (key, t, cid, root) of the buckets that hold several
-    components, ``t`` the number of the band.  A bucket is cut into blocks, and
-    each task compares two of them; a pair is met in the first band it shares.
+    components, ``t`` the number of the band.  A bucket is cut into blocks of
+    bounded documents and shingles, and each task compares two of them; a pair is met in the first band it shares.
     """
-    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    blocks = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)
+    sizes = members.join(classes.select("cid", "n_shingles"), "cid").groupBy("key").agg(F.ceil(blocks).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     placed = members.join(sizes, "key").join(classes.select("cid", "sketch", "bands"), "cid").withColumn("mine", mine)
     paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
@@ -316,10 +319,10 @@ def _linked(docs: DataFrame, n: int, percent: int, row: Column) -> tuple[DataFra
     rows = stage(_sets(docs, n, row), "sets")
     # The smallest doc_id there is: false comes before true, but null before any number.
     least = F.min(F.struct(F.col("id").isNull(), "id", "text_hash", "bands", "sketch")).alias("m")
-    grouped = rows.where("n_shingles > 0").groupBy("s1", "s2").agg(least)
+    grouped = rows.where("n_shingles > 0").groupBy("s1", "s2").agg(least, F.min("n_shingles").alias("n_shingles"))
     classes = stage(
         grouped.select(
-            F.monotonically_increasing_id().alias("cid"), "s1", "s2", F.col("m.id").alias("rep"), "m.text_hash", "m.bands", "m.sketch"
+            F.monotonically_increasing_id().alias("cid"), "s1", "s2", "n_shingles", F.col("m.id").alias("rep"), "m.text_hash", "m.bands", "m.sketch"
         ),
         "classes",
     )

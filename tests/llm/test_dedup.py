@@ -130,6 +130,15 @@ def test_large_group_of_near_copies(spark, make, monkeypatch):
     assert sorted(map(tuple, minhash.near_duplicates(make(rows, False)).collect())) == brute(rows, 5, 80)
 
 
+def test_long_documents_of_one_bucket(spark, make, monkeypatch):
+    """One very long document and many shorter ones share a bucket, whose blocks hold few shingles."""
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 900)
+    rng = random.Random(12)
+    texts = [*near_copies(rng, 300, 40, 30), *near_copies(rng, 6000, 3, 600), "word " * 50_000, "word " * 50_001 + "end"]
+    rows = list(enumerate(texts))
+    assert sorted(map(tuple, minhash.near_duplicates(make(rows, False)).collect())) == brute(rows, 5, 80)
+
+
 def test_odd_sketches_estimate_similarity():
     rng = np.random.default_rng(1)
     for same in (0.8, 0.9, 0.97):
