@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -141,25 +143,27 @@ def strength(matches: DataFrame, tolerance: float = 1e-12, most_rounds: int = 20
 def fair_probabilities(odds: Sequence[Column]) -> Column:
     """Probabilities behind decimal odds of all outcomes, without the margin: powers of 1 / odds that sum to 1.
 
-    The exponent is found by a fixed number of halvings in one expression.
+    The exponent is found by a fixed number of halvings in one expression: the
+    odds are inverted once a row, and a halving sums the powers once.
     Null unless all odds are above 1.
     """
     implied = F.array(*[1 / o.cast("double") for o in odds])
 
-    def total(k: Column) -> Column:
-        return F.aggregate(F.transform(implied, lambda p: F.pow(p, k)), F.lit(0.0), lambda s, p: s + p)
+    def powers(values: Column, k: Column) -> list[Column]:
+        return [F.pow(F.get(values, F.lit(i)), k) for i in range(len(odds))]
 
-    def halved(state: Column, _: Column) -> Column:
-        middle = (state["low"] + state["high"]) / 2
-        above = total(middle) > 1
-        return F.struct(
-            F.when(above, middle).otherwise(state["low"]).alias("low"), F.when(above, state["high"]).otherwise(middle).alias("high")
-        )
+    def found(values: Column) -> Column:
+        def higher(low: Column, width: Column) -> Column:
+            middle = low + width
+            return F.when(reduce(add, powers(values, middle)) > 1, middle).otherwise(low)
+
+        widths = F.array(*[F.lit(WIDEST / 2**i) for i in range(1, HALVINGS + 1)])
+        last = F.lit(WIDEST / 2 ** (HALVINGS + 1))
+        return F.aggregate(widths, F.lit(0.0), higher, lambda low: F.array(*powers(values, low + last)))
 
-    start = F.struct(F.lit(0.0).alias("low"), F.lit(WIDEST).alias("high"))
-    exponent = F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), start, halved, lambda s: (s["low"] + s["high"]) / 2)
     known = F.forall(F.array(*[o.cast("double") for o in odds]), lambda o: F.coalesce(o > 1, F.lit(False)))
-    return F.when(known, F.transform(implied, lambda p: F.pow(p, exponent)))
+    # A lambda's argument is computed once, however often the lambda reads it.
+    return F.when(known, F.get(F.transform(F.array(implied), found), F.lit(0)))
 
 
 def poisson(rate: Column, most: int = MOST_GOALS) -> Column:

@@ -62,6 +62,20 @@ def test_fair_probabilities(spark):
     assert got[1] == pytest.approx([1 / 2, 1 / 3, 1 / 6])
 
 
+def test_fair_probabilities_search_once_a_row(spark):
+    rows = [(1.31, 4.4, 6.7), (2.05, 3.3, 3.9), (1.02, 30.0, 41.0), (5.0, 5.0, 5.0)]
+    odds = spark.createDataFrame(rows, "h double, d double, a double").select(football.fair_probabilities([F.col(c) for c in "hda"]).alias("p"))
+    shares = odds.select(*[F.get("p", F.lit(i)) for i in range(3)])
+    # One search a row, though three columns are read from it: an expression in a lambda is computed at every step.
+    assert shares._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+    for row, got in zip(rows, shares.collect()):
+        low, high = 0.0, football.WIDEST
+        for _ in range(football.HALVINGS):
+            middle = (low + high) / 2
+            low, high = (middle, high) if sum((1 / o) ** middle for o in row) > 1 else (low, middle)
+        assert list(got) == pytest.approx([(1 / o) ** ((low + high) / 2) for o in row], rel=1e-13)
+
+
 def test_scorelines(spark):
     row = football.scorelines(spark.createDataFrame([(1.6, 0.9)], "home_rate double, away_rate double")).first()
     h, a = ([math.exp(-x) * x**i / math.factorial(i) for i in range(11)] for x in (1.6, 0.9))
