@@ -194,6 +194,28 @@ def test_running_medians(spark, history):
         assert got[k, "b"] == history.loc[history["event_key"] < k, "b"].median()
 
 
+def test_a_fold_meets_few_values(spark, monkeypatch):
+    """The values that are compared for a fold are those of one range, a small share of all."""
+    rng = np.random.default_rng(5)
+    n = 40_000
+    frame = pd.DataFrame({"event_key": 202401 + rng.integers(0, 8, n), "name": "b", "value": rng.normal(size=n) * 1000})
+    frame.loc[:3000, "value"] = 7.0
+    frame.loc[3000:3010, "value"] = np.inf
+    met, plain = [], walkforward.totals_before
+
+    def spy(counts, group, key, *rest, **more):
+        if key == "value":
+            met.append(counts.groupBy(*group).count().agg(F.max("count")).first()[0])
+        return plain(counts, group, key, *rest, **more)
+
+    monkeypatch.setattr(walkforward, "totals_before", spy)
+    df = spark.createDataFrame(frame)
+    folds = df.select("event_key").distinct().where("event_key > 202401")
+    got = {r.event_key: r["median"] for r in walkforward.running_medians(df, folds).collect()}
+    assert got == {k: frame.loc[frame["event_key"] < k, "value"].median() for k in range(202402, 202409)}
+    assert len(met) == 1 and met[0] < n / 200
+
+
 def test_qualifying_targets(spark):
     rows = [(1, "A", 80.5), (1, "B", 80.0), (1, "C", None), (2, "A", 70.0)]
     q = spark.createDataFrame([("s", 2024, *r) for r in rows], "source string, year int, round_number int, driver_id string, q3_time double")
