@@ -70,6 +70,41 @@ def test_folds_and_whole_table_equal_a_loop(spark, monkeypatch, block):
     assert scored["pred"].tolist() == pytest.approx(list(want), abs=1e-9)
 
 
+def test_jobs_and_rows_of_a_task(spark, monkeypatch):
+    """A small table meets every core; blocks beyond the tasks share them, and a tree whose guess holds is one job."""
+    monkeypatch.setattr(boosting, "LEAST", 50)
+    rows = pd.concat([table(seed=s, missing=0) for s in range(3)])
+    cores = spark.sparkContext.defaultParallelism
+    blocks = boosting._blocks(spark.createDataFrame(rows), NAMES, np.array([], np.int64), [np.arange(9.0)] * 3, np.zeros(1))
+    assert blocks.getNumPartitions() == cores
+    monkeypatch.setattr(boosting, "BLOCK", 20)
+    many = boosting._blocks(spark.createDataFrame(rows), NAMES, np.array([], np.int64), [np.arange(9.0)] * 3, np.zeros(1))
+    assert many.getNumPartitions() == boosting.WAVES * cores
+    assert sum(many.map(lambda b: b["bins"].shape[1]).collect()) == len(rows)
+    monkeypatch.setattr(boosting, "BLOCK", 16_384)
+    context, jobs = spark.sparkContext, {}
+    for n in (5, 25):
+        context.setJobGroup(f"trees-{n}", "")
+        boosting.fit(spark.createDataFrame(rows), NAMES, settings=boosting.Settings(iterations=n, step=0.3, depth=4, bins=16, least_rows=5))
+        jobs[n] = len(context.statusTracker().getJobIdsForGroup(f"trees-{n}"))
+    # The rows fit the guide, so guesses hold but for ties: 20 trees more are some 20 jobs, not 80.
+    assert jobs[25] - jobs[5] <= 30
+
+
+def test_sums_of_upper_nodes_follow_from_the_deepest():
+    rng = np.random.default_rng(2)
+    n, p = 500, 2
+    block = {"bins": rng.integers(0, 4, (p, n)).astype(np.uint8), "target": rng.normal(size=n), "first": np.zeros(n, np.int32), "pred": np.zeros((1, n))}
+    block["bins"][0, :50] = boosting.MISSING
+    levels = [boosting.Level(np.array([[1]]), np.array([[2]])), boosting.Level(np.array([[0, -1]]), np.array([[1, 0]]))]
+    fills = np.array([[2, 1]])
+    found = boosting._by_depth(boosting._sums(block, levels, fills, 4), 0)
+    assert [f.shape[2] for f in found] == [1, 2, 4]
+    for depth, sums in enumerate(found):
+        want = boosting._sums(block, levels[:depth], fills, 4)
+        assert np.array_equal(sums[1], want[1]) and np.allclose(sums[0], want[0], atol=1e-12)
+
+
 def test_odd_tables(spark):
     kind = "a double, b double, c double, target double, event_key int"
     empty = boosting.fit(spark.createDataFrame([], kind), NAMES, [1], SMALL)
