@@ -80,7 +80,7 @@ def test_jobs_and_rows_of_a_task(spark, monkeypatch):
     monkeypatch.setattr(boosting, "BLOCK", 20)
     many = boosting._blocks(spark.createDataFrame(rows), NAMES, np.array([], np.int64), [np.arange(9.0)] * 3, np.zeros(1))
     assert many.getNumPartitions() == boosting.WAVES * cores
-    assert sum(many.map(lambda b: b["bins"].shape[1]).collect()) == len(rows)
+    assert sum(many.map(lambda b: b["count"].sum()).collect()) == len(rows)
     monkeypatch.setattr(boosting, "BLOCK", 16_384)
     context, jobs = spark.sparkContext, {}
     for n in (5, 25):
@@ -91,10 +91,23 @@ def test_jobs_and_rows_of_a_task(spark, monkeypatch):
     assert jobs[25] - jobs[5] <= 30
 
 
+def test_rows_alike_are_one_cell(spark):
+    rows = table(n=4_000, missing=0)
+    rows["a"] = (rows["a"] > 4).astype(float)
+    folds = np.array(sorted(rows["event_key"].unique())[50:], np.int64)
+    blocks = boosting._blocks(spark.createDataFrame(rows), ["a"], folds, [np.array([0.0])], np.zeros(len(folds) + 1))
+    for block in blocks.collect():
+        assert block["pred"].shape == (len(folds) + 1, len(block["count"])) and len(block["count"]) <= 2 * (len(folds) + 1)
+        assert (np.diff(block["first"]) >= 0).all() and len(block["row_cell"]) == len(block["row_target"])
+    assert blocks.map(lambda b: b["count"].sum()).sum() == len(rows)
+    assert blocks.map(lambda b: len(b["row_cell"])).sum() == int((rows["event_key"] >= folds[0]).sum())
+
+
 def test_sums_of_upper_nodes_follow_from_the_deepest():
     rng = np.random.default_rng(2)
     n, p = 500, 2
     block = {"bins": rng.integers(0, 4, (p, n)).astype(np.uint8), "target": rng.normal(size=n), "first": np.zeros(n, np.int32), "pred": np.zeros((1, n))}
+    block["count"] = np.ones(n)
     block["bins"][0, :50] = boosting.MISSING
     levels = [boosting.Level(np.array([[1]]), np.array([[2]])), boosting.Level(np.array([[0, -1]]), np.array([[1, 0]]))]
     fills = np.array([[2, 1]])
