@@ -364,14 +364,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED_BYTES
     runs [first start, number] of strings of ``length`` bytes that stand anywhere else too."""
     small_batches(docs.sparkSession)
     pieces = stage(_pieces(docs, length, seed), "pieces")
-    kinds = pieces.groupBy("h", "g").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("t1", "t2", "a", "n")).alias("one"))
-    groups = kinds.groupBy("h").agg(F.sum("c").alias("all"), F.count(F.lit(1)).alias("d")).where("all > 1")
-    kinds = stage(kinds.join(groups.select("h", "d"), "h"), "kinds")
-    differing = kinds.where("d > 1").select("h", "g", "d", "one.*")
+    # Of a minimizer that occurs once only the hash moves.
+    often = pieces.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
+    shared = stage(pieces.join(often, "h", "left_semi"), "shared")
+    kinds = shared.groupBy("h", "g").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("t1", "t2", "a", "n")).alias("one"))
+    kinds = stage(kinds, "kinds")
+    groups = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("d")).where("d > 1")
+    differing = stage(kinds.join(groups, "h").select("h", "g", "d", "one.*"), "differing")
     cut = stage(_with_bytes(docs, differing.drop("d"), length).join(differing.select("h", "g", "d"), ["h", "g"]), "cut")
     partly = stage(_shared_strings(cut, length, seed), "partly")
     verdict = _verdicts(kinds, partly)
-    found = pieces.join(verdict, ["h", "g"]).select("t1", "t2", F.struct("a", "n", "starts").alias("p"))
+    found = shared.join(verdict, ["h", "g"]).select("t1", "t2", F.struct("a", "n", "starts").alias("p"))
     # The runs of one text are no more than its bytes; equal texts give the same runs.
     return found.groupBy("t1", "t2").agg(F.collect_set("p").alias("pieces"))
 

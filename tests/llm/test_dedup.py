@@ -283,3 +283,22 @@ def test_texts_without_repeats_keep_columns_and_characters(spark, make):
             assert r["n_chars"] == len(r["text"]) and r["_pieces"] == "own _pieces"
         else:
             assert r["doc_id"] == 70
+
+
+def test_only_pieces_of_recurring_minimizers_are_compared(spark, make, monkeypatch):
+    """Texts that share nothing take no part after their hashes were counted."""
+    rng, staged = random.Random(21), {}
+    keep = suffix.stage
+
+    def counted(df, label):
+        out = keep(df, label)
+        staged[label] = staged.get(label, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(suffix, "stage", counted)
+    alone = [(i, "".join(rng.choice("abcdefgh") for _ in range(90))) for i in range(40)]
+    part = "".join(rng.choice("ijklmnop") for _ in range(40))
+    rows = alone + [(50, part + "1" * 15), (51, "2" * 15 + part), (51, "2" * 15 + part), (52, None)]
+    got = suffix.removal_report(make(rows), length=20, seed=8).collect()
+    assert sorted(map(tuple, got)) == brute_removal(rows, 20)
+    assert 0 < staged["shared"] < staged["pieces"] / 4
