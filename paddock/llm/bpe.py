@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,6 +22,10 @@ from pyspark.sql import functions as F
 from paddock.llm.texts import CACHE_ENTRIES, CACHED_CHUNK, ChunkCache, chunks, rows_of, small_batches, worker_cache
 
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+#: Chunks and matches in a generation of the caches; a chunk of one match shares that match's entry.
+CHUNKS, MATCHES = 300_000, 300_000
+#: Chunks cut into matches in one call.
+JOINED = 1000
 _NEVER = 1 << 60
 #: Stands before the first token.
 _START = 1 << 30
@@ -177,13 +182,7 @@ class TextEncoder:
 
         self.vocabulary, self.find = vocabulary, regex.compile(pattern).findall
         self.decimal = {i: str(i) for i in vocabulary.tokens}
-        self.long: list[str] = []
-        self.forget()
-
-    def forget(self) -> None:
-        """Empty the caches; the vocabulary and what is known of its tokens stay."""
-        self.matches: dict[str, list[int]] = {}
-        self.first, self.later = ChunkCache(), ChunkCache()
+        self.first, self.later, self.matches = ChunkCache(), ChunkCache(CHUNKS), ChunkCache(MATCHES)
 
     def ids(self, text: str) -> list[int]:
         return [int(i) for part in self.encoded([text])[0] for i in part[1].split()]
@@ -191,16 +190,17 @@ class TextEncoder:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.vocabulary.tokens[i] for i in ids])
 
-    def _learn_matches(self, found: Iterable[str]) -> None:
+    def _learn_matches(self, found: set[str]) -> None:
         """Encode the matches not met before; in sorted order, so that each appends to what it shares with the last."""
-        ranks, v, last, before = self.vocabulary.ranks, self.vocabulary, [], b""
-        for data, match in sorted([(m.encode(), m) for m in set(found) if m not in self.matches]):
+        new, known = sorted(self.matches.lacking(found)), self.matches.found
+        v, decimal, last, before = self.vocabulary, self.decimal, [], b""
+        ranks, tokens = v.ranks, v.tokens
+        for match in new:
+            data = match.encode()
             # A match that is a token as a whole gives that token, as in the library to agree with.
-            if len(match) >= CACHED_CHUNK:
-                self.long.append(match)
             whole = ranks.get(data)
             if whole is not None:
-                self.matches[match] = [whole]
+                known[match] = (1, decimal[whole], tokens[whole])
                 continue
             same = 0
             for x, y in zip(before, data):
@@ -210,29 +210,48 @@ class TextEncoder:
             del last[same:]
             v.extend(data, last)
             before = data
-            self.matches[match] = v.walk(last)
+            ids = v.walk(last)
+            known[match] = (len(ids), " ".join([decimal[i] for i in ids]), b"".join([tokens[i] for i in ids]))
+
+    def _cut(self, new: list[str]) -> list[list[str]]:
+        """The matches of each chunk with the space before it.
+
+        Chunks without another space are cut as one text: a match that starts with a space starts a chunk.
+        """
+        out: list[list[str]] = []
+        for low in range(0, len(new), JOINED):
+            part = new[low : low + JOINED]
+            if any([" " in c or c.strip() != c or not c for c in part]):
+                out.extend([self.find(" " + c) for c in part])
+                continue
+            for match in self.find(" " + " ".join(part)):
+                if match[0] == " ":
+                    out.append([match])
+                else:
+                    out[-1].append(match)
+        return out
 
-    def _learn(self, cache: ChunkCache, new: list[str], lead: str) -> None:
-        cut = [self.find(lead + chunk) for chunk in new]
-        self._learn_matches([m for found in cut for m in found])
-        decimal, matches, tokens = self.decimal, self.matches, self.vocabulary.tokens
+    def _learn(self, cache: ChunkCache, new: list[str], cut: list[list[str]]) -> None:
+        self._learn_matches(set(chain.from_iterable(cut)))
+        known, into = self.matches.found, cache.found
         for chunk, found in zip(new, cut):
-            ids = [i for m in found for i in matches[m]]
-            cache.found[chunk] = (len(ids), " ".join([decimal[i] for i in ids]), b"".join([tokens[i] for i in ids]))
+            if len(found) == 1:
+                into[chunk] = known[found[0]]
+            else:
+                parts = [known[m] for m in found]
+                into[chunk] = (sum([p[0] for p in parts]), " ".join([p[1] for p in parts]), b"".join([p[2] for p in parts]))
+        for match in [m for m in chain.from_iterable(cut) if len(m) >= CACHED_CHUNK]:
+            known.pop(match, None)
 
     def encoded(self, texts: list[str]) -> list[list[tuple[int, str, bytes]]]:
         """Of each chunk of each text: number of ids, ids as decimal text, bytes decoded from them."""
-        if len(self.matches) > CACHE_ENTRIES:
-            self.matches.clear()
         cut, heads, tails = chunks(texts, self.first, self.later)
-        self._learn(self.first, heads, "")
-        self._learn(self.later, tails, " ")
+        self._learn(self.first, heads, [self.find(chunk) for chunk in heads])
+        self._learn(self.later, tails, self._cut(tails))
         first, later = self.first.found, self.later.found
         out = [[first[c[0]], *[later[x] for x in c[1:]]] if c else [] for c in cut]
         self.first.forget(heads)
         self.later.forget(tails)
-        while self.long:
-            self.matches.pop(self.long.pop(), None)
         return out
 
 
@@ -258,6 +277,5 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.string()))],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
-        encoder.forget()  # an idle worker's memory serves others
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ENCODED)

@@ -169,3 +169,22 @@ def test_words_with_marks_behind_them():
         texts = ["".join(rng.choice(parts) + rng.choice(["", " ", " "]) for _ in range(rng.randrange(40))) for _ in range(20)]
         want = [b"".join(i.to_bytes(4, "little") for i in own.encode(t, add_special_tokens=False).ids) for t in texts]
         assert encoder.packed(texts) == want
+
+
+def test_matches_are_learnt_once(library):
+    """A word alone and before marks is one match; a chunk of one match shares its entry, through many small generations too."""
+    own = bpe.TextEncoder(bpe.Vocabulary.read(RANKS), P.PATTERN)
+    own.encoded(["x tuquorim"])
+    assert own.later.found["tuquorim"] is own.matches.found[" tuquorim"]
+    learnt = []
+    extend = own.vocabulary.extend
+    own.vocabulary.extend = lambda data, last: (learnt.append(bytes(data)), extend(data, last))
+    own.encoded(["x tuquorim, tuquorim.\nTuquorim"])
+    assert b" tuquorim" not in learnt and len(learnt) == len(set(learnt))
+    own.later.entries = own.matches.entries = own.first.entries = 3
+    rng = random.Random(8)
+    for _ in range(40):
+        texts = ["".join(rng.choice("ab é.\n\t ,1") for _ in range(rng.randint(0, 40))) for _ in range(3)]
+        for text, parts in zip(texts, own.encoded(texts)):
+            assert [int(i) for p in parts for i in p[1].split()] == library.encode_ordinary(text)
+            assert b"".join(p[2] for p in parts) == text.encode()
