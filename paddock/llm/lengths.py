@@ -7,24 +7,25 @@ tokens they hold and how many tokens remain when each is cut there.
 
 from __future__ import annotations
 
+import os
 import re
 import string
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paddock.llm.texts import CACHE_ENTRIES, ChunkCache, chunks, small_batches, stage, worker_cache
+from paddock.llm.texts import BETWEEN_WORDS, CACHE_ENTRIES, ChunkCache, small_batches, stage, worker_cache
 
 #: Lengths that one task orders; the number of blocks is the longest length over this.
 BLOCK = 4096
 #: Fixed value: marks that may stand behind a word, all ASCII but letters, digits and space.
 MARKS = string.punctuation
-#: New chunks encoded in one call.
-JOINED = 1000
+#: New chunks encoded in one call, and in one text of it.
+JOINED, IN_TEXT = 1000, 50
 #: Chunks in a generation of the cache; their ids take little room.
 CHUNKS = 700_000
 
@@ -59,12 +60,11 @@ class ChunkEncoder:
         found, before = self.later.found, self.later.before
         alone, marked = [], []
         for chunk in new:
-            word = chunk.rstrip(MARKS)
-            if len(word) < len(chunk) and word.isalpha():
+            if not chunk.isalpha() and (word := chunk.rstrip(MARKS)).isalpha() and len(word) < len(chunk):
                 marked.append((chunk, word, chunk[len(word) :]))
             else:
                 alone.append(chunk)
-        words = {word for _, word, _ in marked}.difference(alone, found)
+        words = {word for _, word, _ in marked if word not in found}.difference(alone)
         for word in words & before.keys():
             found[word] = before[word]
         self._encode_tails(alone + [w for w in words if w not in found])
@@ -77,11 +77,12 @@ class ChunkEncoder:
             found[chunk] = found[word] + self.marks[marks]
 
     def _encode_tails(self, new: list[str]) -> None:
-        """Encode many chunks as one text, each with the space before it, and part the ids by their bytes."""
+        """Encode many chunks as a few texts, each chunk with the space before it, and part the ids by their bytes."""
         for low in range(0, len(new), JOINED):
             part = new[low : low + JOINED]
-            (found,) = self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
+            texts = [" " + " ".join(part[i : i + IN_TEXT]) for i in range(0, len(part), IN_TEXT)]
+            found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            ids = np.array([i for f in found for i in f.ids], "<u4")
             ends = np.cumsum([len(c.encode()) + 1 for c in part])
             cuts = [0, *(4 * (np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1)).tolist()]
             data = ids.tobytes()
@@ -104,22 +105,57 @@ class ChunkEncoder:
         return out
 
     def _packed(self, texts: list[str]) -> list[bytes]:
-        cut, heads, tails = chunks(texts, self.first, self.later)
+        if not texts:
+            return []
+        cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        words, known, codes, begins, heads, tails = self._coded(cut)
+        order = None
+        # Caches hold no rough chunks, so only new ones can come from a text with other white space at a space.
+        if rough := {c for new in (heads, tails) for c in new if not c or c.strip() != c}:
+            hit = np.array([w in rough for w in words])[codes]
+            again = np.add.reduceat(hit, begins[:-1], dtype=np.int64) > 0
+            recut = [BETWEEN_WORDS.split(texts[i]) for i in np.flatnonzero(again)]
+            cut = pa.concat_arrays([cut.filter(pa.array(~again)), pa.array(recut, cut.type)])
+            order = np.argsort(np.argsort(again, kind="stable"), kind="stable")
+            words, known, codes, begins, heads, tails = self._coded(cut)
         self._learn_heads(heads)
         # White space at a chunk's end would run into the space of the next.
-        rough = [c for c in tails if c.rstrip() != c]
-        self._learn_tails([c for c in tails if c.rstrip() == c] if rough else tails)
+        rough = {c for c in tails if c.rstrip() != c}
+        self._learn_tails([c for c in tails if c not in rough] if rough else tails)
         for chunk in rough:
             self._encode_tails([chunk])
+        # Ids of the different chunks, then those of the texts' first ones; the codes say how they follow each other.
         first, later = self.first.found, self.later.found
-        ids = later.__getitem__
-        out = [first[c[0]] + b"".join(map(ids, islice(c, 1, None))) if c else b"" for c in cut]
+        found = [later.get(w, b"") if ids is None else ids for w, ids in zip(words, known)] + [first[words[c]] for c in codes[begins[:-1]].tolist()]
+        codes[begins[:-1]] = len(words) + np.arange(len(texts))
+        joined = pa.array(found, pa.large_binary()).take(pa.array(codes))
+        _, offsets, data = joined.buffers()
+        ends = np.frombuffer(offsets, np.int64)[begins].tolist()
+        view = memoryview(data) if data else b""
+        out = [bytes(view[a:b]) for a, b in zip(ends, ends[1:])]
         self.first.forget(heads)
         self.later.forget(tails)
-        return out
+        return out if order is None else [out[i] for i in order.tolist()]
+
+    def _coded(self, cut: pa.ListArray) -> tuple[list[str], list[bytes | None], np.ndarray, np.ndarray, list[str], list[str]]:
+        """The different chunks of texts and the ids kept for them; for all chunks their numbers in these, and where each
+        text begins; the chunks that begin a text, and the others, that the caches lack."""
+        coded = cut.flatten().dictionary_encode()
+        words, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().copy()
+        begins = cut.offsets.to_numpy()
+        later = np.ones(len(codes), bool)
+        later[begins[:-1]] = False
+        inside = np.zeros(len(words), bool)
+        inside[codes[later]] = True
+        known = list(map(self.later.found.get, words))
+        heads = self.first.lacking({words[c] for c in codes[begins[:-1]].tolist()})
+        tails = self.later.lacking([w for w, ids, x in zip(words, known, inside.tolist()) if x and ids is None])
+        return words, known, codes, begins, heads, tails
 
 
 def chunk_encoder(path: str) -> ChunkEncoder:
+    # A task has one core; the library's own threads cost more CPU time than they save.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return worker_cache(f"chunks {path}", lambda: ChunkEncoder(path))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import sys
 import types
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain, islice
 from typing import Any
 
@@ -23,7 +23,7 @@ CACHE_ENTRIES = 200_000
 #: Longer chunks are seldom met again, and may be of any size.
 CACHED_CHUNK = 64
 
-_BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
+BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,12 +62,13 @@ class ChunkCache:
         self.found: dict[str, Any] = {}
         self.before: dict[str, Any] = {}
 
-    def lacking(self, wanted: set[str]) -> list[str]:
-        """The chunks to be found; all others of ``wanted`` are in ``found`` afterwards."""
+    def lacking(self, wanted: Iterable[str]) -> list[str]:
+        """The chunks to be found, of different ones; all others of ``wanted`` are in ``found`` afterwards."""
         if len(self.found) > self.entries:
             self.found, self.before = {}, self.found
         found, before, out = self.found, self.before, []
-        for chunk in wanted - found.keys():
+        # Not a difference of set and keys, which goes through all keys.
+        for chunk in [c for c in wanted if c not in found]:
             if chunk in before:
                 found[chunk] = before[chunk]
             else:
@@ -75,8 +76,8 @@ class ChunkCache:
         return out
 
     def forget(self, chunks: list[str]) -> None:
-        """Drop chunks that are long or begin or end with white space."""
-        for chunk in [c for c in chunks if len(c) >= CACHED_CHUNK or c.strip() != c]:
+        """Drop chunks that are long, empty, or begin or end with white space."""
+        for chunk in [c for c in chunks if len(c) >= CACHED_CHUNK or not c or c.strip() != c]:
             self.found.pop(chunk, None)
 
 
@@ -95,7 +96,7 @@ def chunks(texts: list[str], first: ChunkCache, later: ChunkCache) -> tuple[list
     heads, tails = lacking()
     # Caches hold no rough chunks, so only new ones can come from a text with other white space at a space.
     if rough := {x for new in (heads, tails) for x in new if not x or x.strip() != x}:
-        cut = [c if rough.isdisjoint(c) else _BETWEEN_WORDS.split(t) for c, t in zip(cut, texts)]
+        cut = [c if rough.isdisjoint(c) else BETWEEN_WORDS.split(t) for c, t in zip(cut, texts)]
         heads, tails = lacking()
     return cut, heads, tails
 

@@ -188,3 +188,32 @@ def test_matches_are_learnt_once(library):
         for text, parts in zip(texts, own.encoded(texts)):
             assert [int(i) for p in parts for i in p[1].split()] == library.encode_ordinary(text)
             assert b"".join(p[2] for p in parts) == text.encode()
+
+
+def test_a_batch_costs_its_own_chunks_not_the_whole_cache():
+    """Chunks kept from earlier batches are looked up one by one, and each different one of a batch once."""
+
+    class Kept(dict):
+        asked = 0
+
+        def keys(self):
+            raise AssertionError("walked")
+
+        __iter__ = keys
+
+        def get(self, *a):
+            self.asked += 1
+            return super().get(*a)
+
+        def __getitem__(self, key):
+            self.asked += 1
+            return super().__getitem__(key)
+
+    own = Tokenizer.from_file(JSON)
+    encoder = lengths.ChunkEncoder(JSON)
+    encoder.packed(["many words, kept from here."])
+    kept = encoder.later.found = Kept(encoder.later.found.items())
+    texts = ["many words, tuquorim, tuquorim", "", "kept  \n from", "x " + "here. words, " * 50]
+    want = [b"".join(i.to_bytes(4, "little") for i in own.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert encoder.packed(texts) == want
+    assert kept.asked < 50
