@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,8 @@ from paddock.schemas import DELTAS, EVENT, QUALIFYING_FEATURES, RACE_FEATURES
 from paddock.session import cut_lineage
 
 TOP_N = 10
+#: What a candidate raises whose library is missing or says that it can't run.
+UNUSABLE = (ImportError, RuntimeError)
 
 
 @dataclass(frozen=True)
@@ -42,6 +45,8 @@ class Prediction:
     version: str
     leaderboard: DataFrame | None = None
     notes: list[str] = field(default_factory=list)
+    #: Errors of the candidates that were left out, by name.
+    failures: dict[str, str] = field(default_factory=dict)
 
 
 def feature_columns(mode: str, include_standings: bool = False) -> list[str]:
@@ -100,16 +105,20 @@ def _collected(table: DataFrame) -> DataFrame:
 def predict_round(tables: Tables, mode: str, year: int, round_number: int, seasons: Sequence[int],
                   include_standings: bool = False, top_n: int = TOP_N,
                   candidates: Sequence[models.Candidate] | None = None, meetings: DataFrame | None = None,
-                  meeting_name: str | None = None, country_name: str | None = None) -> Prediction:
+                  meeting_name: str | None = None, country_name: str | None = None,
+                  every_candidate: bool = False) -> Prediction:
     """Ranked prediction of one round by the model with the smallest walk-forward error.
 
     With ``meetings`` the round is that of the meeting by name, by country or
     by number; one that the season doesn't have is an error.
 
-    A feature that no table has is null.  A candidate that fails is left out
-    with a note; the next best one predicts in its place, and without labelled
-    rows or a working candidate the heuristic does.  The training table feeds
-    several fits, so it is written once.
+    A feature that no table has is null.  A candidate whose library is missing
+    or can't run is left out, with a note and its error in ``failures``; the
+    next best one predicts in its place, and without labelled rows or a working
+    candidate the heuristic does.  With ``every_candidate`` nothing is left
+    out: the error is raised, for callers that hand on the table alone.  Any
+    other error, such as that of a Spark job, is raised in any case.  The
+    training table feeds several fits, so it is written once.
     """
     if meetings is not None:
         round_number = required_meeting(meetings, year, round_number, meeting_name, country_name)["round_number"]
@@ -130,6 +139,12 @@ def predict_round(tables: Tables, mode: str, year: int, round_number: int, seaso
     if current.isEmpty():
         result.notes.append("no practice data" if mode == "qualifying" else "no practice or qualifying data")
 
+    def leave_out(m: models.Candidate, failure: Exception) -> None:
+        if every_candidate or isinstance(failure, PySparkException):
+            raise failure
+        result.failures[m.name] = f"{type(failure).__name__}: {failure}"
+        result.notes.append(f"{m.name} failed: {result.failures[m.name]}")
+
     def heuristic(note: str) -> Prediction:
         result.notes.append(note)
         scored = models.heuristic(current.withColumn("_all", F.lit(0)), ["_all"], fallback).drop("_all")
@@ -147,8 +162,8 @@ def predict_round(tables: Tables, mode: str, year: int, round_number: int, seaso
         for m in list(known):
             try:
                 board += models.leaderboard(train, features, folds, [m]).collect()  # one row at most
-            except Exception as failure:  # noqa: BLE001 whatever a library raises, the other candidates go on
-                result.notes.append(f"{m.name} failed: {type(failure).__name__}")
+            except UNUSABLE as failure:
+                leave_out(m, failure)
                 known.remove(m)
     if board:
         board.sort(key=lambda r: (r["mae"], r["priority"]))
@@ -158,12 +173,14 @@ def predict_round(tables: Tables, mode: str, year: int, round_number: int, seaso
     for m in sorted(known, key=lambda m: (place.get(m.name, len(board)), m.priority)):
         try:
             result.table = _collected(top_table(m.predict(train, current, features), n=top_n))
-        except Exception as failure:  # noqa: BLE001
-            result.notes.append(f"{m.name} failed: {type(failure).__name__}")
+        except UNUSABLE as failure:
+            leave_out(m, failure)
             continue
         result.model = m.name
         result.notes.append(f"model: {m.name}")
         return result
+    if every_candidate:
+        raise ValueError("no candidate is known")
     return heuristic("no model could be fitted: heuristic")
 
 

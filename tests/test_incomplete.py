@@ -1,6 +1,7 @@
 """Incomplete and odd input: tables by name, streams in every mode, predictions without data."""
 
 import pytest
+from pyspark.errors import PySparkRuntimeError
 from pyspark.sql import functions as F
 
 from paddock.functions.parameters import MOTORSPORT, rejections
@@ -84,6 +85,33 @@ def test_failing_candidates_are_left_out(spark):
     assert alone.model == "heuristic" and alone.table.count() == 6
 
 
+def test_failures_are_no_results(spark, monkeypatch):
+    """A job's failure is raised, a candidate left out is named, and the queries, which return the table alone, leave none out."""
+    from workload import training
+
+    def fail(error):
+        def run(*_):
+            raise error
+        return run
+
+    def broken(error):
+        return models.Candidate("broken", 0, fail(error), fail(error)), models.Candidate("late", 0, ridge().errors, fail(error))
+
+    for candidate, kind in ((broken(ValueError("singular"))[0], ValueError), (broken(PySparkRuntimeError("job aborted"))[1], PySparkRuntimeError)):
+        with pytest.raises(kind):
+            predict_round(tables(spark), "qualifying", 2024, 7, [2024], candidates=[candidate, ridge()])
+    left_out, late = broken(RuntimeError("no library"))
+    got = predict_round(tables(spark), "qualifying", 2024, 7, [2024], candidates=[left_out, ridge()])
+    assert got.failures == {"broken": "RuntimeError: no library"} and got.model == "ridge"
+    now, ridge_candidate = tables(spark), ridge()
+    then = Tables(*(t.withColumns({"year": F.lit(1998), "round_number": F.col("round_number") - 1}) for t in (now.practice, now.qualifying, now.race)))
+    monkeypatch.setattr(training, "_tables", lambda *_: then)
+    for candidate in (left_out, late):
+        monkeypatch.setattr(models, "candidates", lambda c=candidate: [c, ridge_candidate])
+        with pytest.raises(RuntimeError, match="no library"):
+            training.predict_qualifying(spark, "")
+
+
 def test_no_targets_and_no_practice(spark):
     got = predict_round(tables(spark, targets=False), "qualifying", 2024, 7, [2024], candidates=[ridge()])
     assert got.model == "heuristic" and got.table.count() == 6
