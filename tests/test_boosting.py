@@ -91,6 +91,44 @@ def test_jobs_and_rows_of_a_task(spark, monkeypatch):
     assert jobs[25] - jobs[5] <= 30
 
 
+def test_cells_that_a_task_holds_take_as_many_jobs_for_any_trees(spark):
+    rows, jobs = spark.createDataFrame(table(n=800)), {}
+    folds = [199511, 199512, 199513]
+    for n in (2, 60):
+        spark.sparkContext.setJobGroup(f"held-{n}", "")
+        boosting.fit(rows, NAMES, folds, boosting.Settings(iterations=n, step=0.3, depth=4, bins=16, least_rows=5))
+        jobs[n] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"held-{n}"))
+    assert jobs[60] == jobs[2]
+
+
+@pytest.mark.parametrize("names", [NAMES, ["a"]])
+def test_trees_grown_in_a_task_equal_those_of_jobs(spark, monkeypatch, names):
+    """Also with cells of several rows, rows without event and an event after all others."""
+    rows = table(n=900, seed=5)
+    rows["event_key"] = rows["event_key"].astype("Int32").mask(np.arange(900) % 50 == 7)
+    train, folds, got = spark.createDataFrame(rows.astype(object).where(rows.notna(), None), "a double, b double, c double, target double, event_key int"), [199510, 199515, 199517], []
+    for held in (boosting.HELD, 0):
+        monkeypatch.setattr(boosting, "HELD", held)
+        found = boosting.fit(train, names, folds, boosting.Settings(iterations=12, step=0.3, depth=4, bins=16, least_rows=5))
+        values = rows[names].fillna(rows[names].median()).to_numpy(float)
+        got.append((sorted(map(tuple, found.validation.collect())), found.forest.score(values), len(found.forest.trees)))
+    (held_out, scores, n), (held_out_jobs, scores_jobs, n_jobs) = got
+    assert n == n_jobs == 12 and len(held_out) == len(held_out_jobs) == int(rows["event_key"].isin(folds).sum())
+    assert scores == pytest.approx(scores_jobs, abs=1e-9)
+    assert np.array(held_out) == pytest.approx(np.array(held_out_jobs), abs=1e-9)
+
+
+@pytest.mark.parametrize("block", [16_384, 60])
+def test_jobs_of_large_tables_equal_a_loop(spark, monkeypatch, block):
+    monkeypatch.setattr(boosting, "HELD", 0)
+    test_folds_and_whole_table_equal_a_loop(spark, monkeypatch, block)
+
+
+def test_guesses_of_large_tables(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "HELD", 0)
+    test_jobs_and_rows_of_a_task(spark, monkeypatch)
+
+
 def test_rows_alike_are_one_cell(spark):
     rows = table(n=4_000, missing=0)
     rows["a"] = (rows["a"] > 4).astype(float)
